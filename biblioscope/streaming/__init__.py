@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analytics reproduced here are batch only: the original tool re-reads its
+three collections and recomputes every result on request; it has no stream
+source, watermark, window or state.  Nothing is built in this package on
+purpose (see README, "Not built").  New documents are handled by re-running the
+landing readers and cleaning on the new landing folder (``sources.tables``).
+"""
