@@ -28,9 +28,11 @@ def normalized_keywords(keywords: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda k: F.trim(F.lower(k))))
 
 
-def words(text: Column) -> Column:
-    """Array of lower-cased words of a text, whole text, stop words removed."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    # filter, not array_except: repeats of a word inside one text all count
-    return F.filter(tokens, lambda w: ~F.array_contains(stop, w))
+def word_tokens(text: Column) -> Column:
+    """Array of the lower-cased words of a whole text, in order, repeats kept."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
+
+
+def is_stop_word(word: Column) -> Column:
+    """Membership in the stop-word list (planned as a hash-set lookup)."""
+    return word.isin(*STOP_WORDS)

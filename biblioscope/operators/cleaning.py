@@ -34,23 +34,23 @@ def clean(raw: DataFrame, collection: str) -> DataFrame:
     return deduplicate(drop_id(canonicalize(raw, collection)))
 
 
-def cleaning_report(spark: SparkSession, raw: dict[str, DataFrame]) -> DataFrame:
-    """One row per collection: rows before and after de-duplication.
+def row_counts(df: DataFrame) -> DataFrame:
+    """One row: rows before and after whole-row de-duplication, in one pass.
 
-    Each count is a scalar subquery, so the report is a single lazy plan of
-    three small aggregations per collection, joined on nothing.
+    Rows are grouped by their full value (partial aggregation map-side); the
+    number of groups is the de-duplicated count, the sum of group sizes the
+    original count.
     """
-    rows = []
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    return groups.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
+                      F.count(F.lit(1)).alias("rows_after"))
+
+
+def cleaning_report(spark: SparkSession, raw: dict[str, DataFrame]) -> DataFrame:
+    """One row per collection: rows before and after de-duplication."""
+    report = None
     for collection, label in COLLECTION_LABELS.items():
-        df = drop_id(canonicalize(raw[collection], collection))
-        before = df.select(F.count(F.lit(1))).scalar()
-        after = deduplicate(df).select(F.count(F.lit(1))).scalar()
-        rows.append(spark.range(1).select(
-            F.lit(label).alias("collection"),
-            before.alias("rows_before"),
-            after.alias("rows_after"),
-        ))
-    report = rows[0]
-    for r in rows[1:]:
-        report = report.unionByName(r)
+        counts = row_counts(drop_id(canonicalize(raw[collection], collection)))
+        row = counts.select(F.lit(label).alias("collection"), "rows_before", "rows_after")
+        report = row if report is None else report.unionByName(row)
     return report

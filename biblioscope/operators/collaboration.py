@@ -31,17 +31,20 @@ def country_tuples(doi_countries: DataFrame, k: int) -> DataFrame:
 
 
 def country_collaborations(articles: DataFrame, authors_labs: DataFrame, k: int = 2,
-                           **join_opts) -> DataFrame:
+                           ordered: bool = True, **join_opts) -> DataFrame:
+    """Counts per k-tuple; ``ordered`` sorts by count (desc) then countries."""
     tuples = country_tuples(article_countries(articles, authors_labs, **join_opts), k)
-    return tuples.orderBy(F.desc("collaboration_count"), *TUPLE_NAMES[:k])
+    return tuples.orderBy(F.desc("collaboration_count"), *TUPLE_NAMES[:k]) if ordered else tuples
 
 
-def country_pairs(articles: DataFrame, authors_labs: DataFrame, **join_opts) -> DataFrame:
-    return country_collaborations(articles, authors_labs, 2, **join_opts)
+def country_pairs(articles: DataFrame, authors_labs: DataFrame, ordered: bool = True,
+                  **join_opts) -> DataFrame:
+    return country_collaborations(articles, authors_labs, 2, ordered, **join_opts)
 
 
-def country_triples(articles: DataFrame, authors_labs: DataFrame, **join_opts) -> DataFrame:
-    return country_collaborations(articles, authors_labs, 3, **join_opts)
+def country_triples(articles: DataFrame, authors_labs: DataFrame, ordered: bool = True,
+                    **join_opts) -> DataFrame:
+    return country_collaborations(articles, authors_labs, 3, ordered, **join_opts)
 
 
 def collaboration_edges(pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblioscope.functions.text import normalized_keywords, words
+from biblioscope.functions.text import is_stop_word, normalized_keywords, word_tokens
 
 WORD_CLOUD_SIZE = 200
 
@@ -31,7 +31,8 @@ def top_keywords(articles: DataFrame, k: int = 10) -> DataFrame:
 def word_frequencies(texts: DataFrame, column: str) -> DataFrame:
     """Occurrences of each word over all texts (whole texts, no prefixes)."""
     return (texts
-            .select(F.explode(words(F.col(column))).alias("word"))
+            .select(F.explode(word_tokens(F.col(column))).alias("word"))
+            .where(~is_stop_word(F.col("word")))
             .groupBy("word")
             .agg(F.count(F.lit(1)).alias("n")))
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from biblioscope.operators import articles as art
 from biblioscope.operators import collaboration as col
@@ -88,7 +87,8 @@ def q_country_triples(spark, sf_dir):
 
 
 def q_collaboration_edges(spark, sf_dir):
-    return col.collaboration_edges(q_country_pairs(spark, sf_dir))
+    ws = _ws(spark, sf_dir)
+    return col.collaboration_edges(col.country_pairs(ws.articles(), ws.authors_labs(), ordered=False))
 
 
 def q_collaboration_nodes(spark, sf_dir):
@@ -185,4 +185,4 @@ QUERIES: dict[str, Query] = {
 # combinations and a pre-aggregated count.
 FLAGSHIP = "country_pairs"
 
-__all__ = ["QUERIES", "FLAGSHIP", "F"]
+__all__ = ["QUERIES", "FLAGSHIP"]

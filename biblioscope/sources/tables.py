@@ -1,7 +1,8 @@
 """Workspace: the cleaned collections every analytic reads.
 
-The cleaned tables are computed once and written as Parquet under the shared
-folder named by ``spark.checkpoint.dir`` (one sub-folder per input fingerprint).
+The landed collections and the cleaned tables are computed once and written as
+Parquet under the shared folder named by ``spark.checkpoint.dir`` (one
+sub-folder per input fingerprint): landing -> cleaning -> analytics.
 Later plans read them back, so
 
 * the lineage is cut - losing an executor re-reads Parquet instead of
@@ -52,32 +53,42 @@ def _committed(spark: SparkSession, path: str) -> bool:
 class Workspace:
     """Raw (landing) and cleaned collections for one input folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True,
+                 table_root: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.materialize = materialize
+        self.table_root = table_root
         self._cache: dict[str, DataFrame] = {}
 
     # landing form, ``_id`` included
     def raw(self, collection: str) -> DataFrame:
-        return testdata.LANDING_VIEWS[collection](self.spark, self.sf_dir)
+        """The landed collection; written once as Parquet when materializing."""
+        key = "landing/" + collection
+        if key not in self._cache:
+            df = testdata.LANDING_VIEWS[collection](self.spark, self.sf_dir)
+            self._cache[key] = self._written(df, key) if self.materialize else df
+        return self._cache[key]
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.table_path(name)
+        if not _committed(self.spark, path):
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     def raw_all(self) -> dict[str, DataFrame]:
         return {c: self.raw(c) for c in COLLECTIONS}
 
     def table_path(self, collection: str) -> str:
-        root = checkpoint_root(self.spark)
-        return f"{root}/biblioscope-tables/{_fingerprint(self.sf_dir)}/{collection}"
+        root = self.table_root or f"{checkpoint_root(self.spark)}/biblioscope-tables"
+        return f"{root}/{_fingerprint(self.sf_dir)}/{collection}"
 
     def cleaned(self, collection: str) -> DataFrame:
         if collection in self._cache:
             return self._cache[collection]
         df = clean(self.raw(collection), collection)
         if self.materialize:
-            path = self.table_path(collection)
-            if not _committed(self.spark, path):
-                df.write.mode("overwrite").parquet(path)
-            df = self.spark.read.parquet(path)
+            df = self._written(df, collection)
         self._cache[collection] = df
         return df
 
@@ -108,3 +119,9 @@ def workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Wor
     if key not in _WORKSPACES:
         _WORKSPACES[key] = Workspace(spark, sf_dir, materialize)
     return _WORKSPACES[key]
+
+
+def register_workspace(ws: Workspace) -> Workspace:
+    """Make ``ws`` the one ``workspace()`` returns for its session and folder."""
+    _WORKSPACES[(id(ws.spark), os.path.abspath(ws.sf_dir), ws.materialize)] = ws
+    return ws
