@@ -43,13 +43,13 @@ def countries_per_quartile(flat: DataFrame) -> DataFrame:
 def best_quartile_heatmap(flat: DataFrame) -> DataFrame:
     """Best quartile (1 = Q1 ... 4 = Q4, 0 = none) per category and year, dense.
 
-    The grid is every category present times every year present.  Years form a
+    The grid is every category present times every year present; a cell whose
+    rows carry no Q1-Q4 value (null or another label) is 0, like an absent cell.  Years form a
     small bounded domain; their sorted list is a scalar subquery, and each
     category row expands over it, looking its own cells up in a per-category map
     (at most one entry per year).  No cross join is planned.
     """
-    base = flat.where(F.col("category").isNotNull() & F.col("year").isNotNull()
-                      & F.col("quartile").isNotNull())
+    base = flat.where(F.col("category").isNotNull() & F.col("year").isNotNull())
     cells = base.groupBy("category", "year").agg(F.min(quartile_rank(F.col("quartile"))).alias("best"))
     years = base.select(F.array_sort(F.collect_set("year"))).scalar()
     per_category = cells.groupBy("category").agg(

@@ -209,8 +209,7 @@ WHERE category IS NOT NULL AND quartile IS NOT NULL GROUP BY 1, 2""",
 SELECT year, quartile, CAST(count(*) AS BIGINT) AS n FROM journals_flat
 WHERE year IS NOT NULL AND quartile IS NOT NULL GROUP BY 1, 2""",
     "best_quartile_heatmap": _with("journals_flat") + """
-, base AS (SELECT * FROM journals_flat
-           WHERE category IS NOT NULL AND year IS NOT NULL AND quartile IS NOT NULL),
+, base AS (SELECT * FROM journals_flat WHERE category IS NOT NULL AND year IS NOT NULL),
 cells AS (SELECT category, year,
                  min(CASE quartile WHEN 'Q1' THEN 1 WHEN 'Q2' THEN 2 WHEN 'Q3' THEN 3
                                    WHEN 'Q4' THEN 4 END) AS best
