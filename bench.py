@@ -33,7 +33,7 @@ def main() -> None:
                           shuffle_partitions=2 * cpus,
                           conf={"spark.driver.memory": "16g"})
     root = f"{checkpoint_root(spark)}/biblioscope-bench-{uuid.uuid4().hex[:8]}"
-    ws = register_workspace(Workspace(spark, sf_dir, materialize=True, table_root=root))
+    ws = register_workspace(Workspace.from_testdata(spark, sf_dir, table_root=root), sf_dir)
     t0 = time.perf_counter()
     ws.prepare()
     prepare = time.perf_counter() - t0

@@ -1,8 +1,9 @@
-"""Named results.  Each takes ``(spark, sf_dir)`` and returns a lazy DataFrame.
+"""Named results - the analytics a caller asks for by name.
 
-The cleaned collections come from the workspace (written once per input folder
-under the shared checkpoint folder); every result then reads those tables, so
-its work grows with the input.  Column names here are the public result schema.
+``RESULTS[name](ws)`` builds the lazy DataFrame of one result from a
+``Workspace`` (test tables or landed collections).  ``QUERIES[name](spark,
+sf_dir)`` is the same over the test tables.  Nothing is collected; the caller
+writes or shows the result.
 """
 
 from __future__ import annotations
@@ -18,171 +19,78 @@ from biblioscope.operators import keywords as kw
 from biblioscope.operators import rankings as rk
 from biblioscope.operators.affiliations import article_affiliations
 from biblioscope.operators.cleaning import cleaning_report
-from biblioscope.sources.tables import workspace
+from biblioscope.sources.tables import Workspace, workspace
 
+Result = Callable[[Workspace], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _ws(spark, sf_dir):
-    return workspace(spark, sf_dir)
+def _flat(ws: Workspace) -> DataFrame:
+    return rk.journals_flat(ws.journals())
 
 
-def _flat(spark, sf_dir):
-    return rk.journals_flat(_ws(spark, sf_dir).journals())
+def _dated(ws: Workspace) -> DataFrame:
+    return art.articles_dated(ws.articles())
 
 
-def _dated(spark, sf_dir):
-    return art.articles_dated(_ws(spark, sf_dir).articles())
+def _country_long(ws: Workspace) -> DataFrame:
+    return rk.quartile_by_country_long(_flat(ws))
 
 
-def q_cleaning_report(spark, sf_dir):
-    return cleaning_report(spark, _ws(spark, sf_dir).raw_all())
-
-
-def q_articles_dated(spark, sf_dir):
-    return _dated(spark, sf_dir).select("doi", "extracted_date", "publication_date")
-
-
-def q_journals_flat(spark, sf_dir):
-    return _flat(spark, sf_dir)
-
-
-def q_author_labs(spark, sf_dir):
-    return _ws(spark, sf_dir).authors_labs()
-
-
-def q_keyword_counts(spark, sf_dir):
-    return kw.keyword_counts(_ws(spark, sf_dir).articles())
-
-
-def q_top_keywords(spark, sf_dir):
-    return kw.top_keywords(_ws(spark, sf_dir).articles())
-
-
-def q_keyword_words(spark, sf_dir):
-    return kw.keyword_words(_ws(spark, sf_dir).articles())
-
-
-def q_category_words(spark, sf_dir):
-    return kw.category_words(_flat(spark, sf_dir))
-
-
-def q_document_words(spark, sf_dir):
-    return kw.document_words(_ws(spark, sf_dir).documents())
-
-
-def q_article_affiliations(spark, sf_dir):
-    ws = _ws(spark, sf_dir)
-    return article_affiliations(ws.articles(), ws.authors_labs())
-
-
-def q_country_pairs(spark, sf_dir):
-    ws = _ws(spark, sf_dir)
-    return col.country_pairs(ws.articles(), ws.authors_labs())
-
-
-def q_country_triples(spark, sf_dir):
-    ws = _ws(spark, sf_dir)
-    return col.country_triples(ws.articles(), ws.authors_labs())
-
-
-def q_collaboration_edges(spark, sf_dir):
-    ws = _ws(spark, sf_dir)
+def _edges(ws: Workspace) -> DataFrame:
     return col.collaboration_edges(col.country_pairs(ws.articles(), ws.authors_labs(), ordered=False))
 
 
-def q_collaboration_nodes(spark, sf_dir):
-    return col.collaboration_nodes(q_collaboration_edges(spark, sf_dir))
-
-
-def q_quartile_by_category(spark, sf_dir):
-    return rk.quartile_by_category(_flat(spark, sf_dir))
-
-
-def q_quartile_by_year(spark, sf_dir):
-    return rk.quartile_by_year(_flat(spark, sf_dir))
-
-
-def q_best_quartile_heatmap(spark, sf_dir):
-    return rk.best_quartile_heatmap(_flat(spark, sf_dir))
-
-
-def q_countries_per_quartile(spark, sf_dir):
-    return rk.countries_per_quartile(_flat(spark, sf_dir))
-
-
-def q_quartile_by_country_wide(spark, sf_dir):
-    return rk.quartile_by_country_wide(_flat(spark, sf_dir))
-
-
-def q_quartile_by_country_long(spark, sf_dir):
-    return rk.quartile_by_country_long(_flat(spark, sf_dir))
-
-
-def q_quartile_share_by_country(spark, sf_dir):
-    return rk.quartile_share_by_country(_flat(spark, sf_dir))
-
-
-def q_quartile_count_histogram(spark, sf_dir):
-    return dist.quartile_count_histogram(q_quartile_by_country_long(spark, sf_dir))
-
-
-def q_quartile_count_density(spark, sf_dir):
-    return dist.quartile_count_density(q_quartile_by_country_long(spark, sf_dir))
-
-
-def q_authors_by_country_top20(spark, sf_dir):
-    return art.authors_by_country_top20(_ws(spark, sf_dir).authors_labs())
-
-
-def q_labs_top20(spark, sf_dir):
-    return art.labs_top20(_ws(spark, sf_dir).authors_labs())
-
-
-def q_articles_by_year(spark, sf_dir):
-    return art.articles_by_year(_dated(spark, sf_dir))
-
-
-def q_articles_by_date(spark, sf_dir):
-    return art.articles_by_date(_dated(spark, sf_dir))
-
-
-def q_articles_by_date_frames(spark, sf_dir):
-    return art.articles_by_date_frames(_dated(spark, sf_dir))
-
-
-def q_articles_by_year_month(spark, sf_dir):
-    return art.articles_by_year_month(_dated(spark, sf_dir))
-
-
-def q_articles_by_year_month_wide(spark, sf_dir):
-    return art.articles_by_year_month_wide(_dated(spark, sf_dir))
-
-
-def q_articles_by_journal(spark, sf_dir):
-    return art.articles_by_journal(_ws(spark, sf_dir).articles())
-
-
-def q_articles_by_journal_country(spark, sf_dir):
-    ws = _ws(spark, sf_dir)
-    return art.articles_by_journal_country(ws.articles(), ws.journals())
-
-
-def q_top_authors(spark, sf_dir):
-    return art.top_authors(_ws(spark, sf_dir).articles())
+RESULTS: dict[str, Result] = {
+    # cleaning and full tables
+    "cleaning_report": lambda ws: cleaning_report(ws.spark, ws.raw_all()),
+    "articles_dated": lambda ws: _dated(ws).select("doi", "extracted_date", "publication_date"),
+    "journals_flat": _flat,
+    "author_labs": lambda ws: ws.authors_labs(),
+    # keywords and words
+    "keyword_counts": lambda ws: kw.keyword_counts(ws.articles()),
+    "top_keywords": lambda ws: kw.top_keywords(ws.articles()),
+    "keyword_words": lambda ws: kw.keyword_words(ws.articles()),
+    "category_words": lambda ws: kw.category_words(_flat(ws)),
+    "document_words": lambda ws: kw.document_words(ws.documents()),
+    # affiliations and collaboration
+    "article_affiliations": lambda ws: article_affiliations(ws.articles(), ws.authors_labs()),
+    "country_pairs": lambda ws: col.country_pairs(ws.articles(), ws.authors_labs()),
+    "country_triples": lambda ws: col.country_triples(ws.articles(), ws.authors_labs()),
+    "collaboration_edges": _edges,
+    "collaboration_nodes": lambda ws: col.collaboration_nodes(_edges(ws)),
+    # journal rankings
+    "quartile_by_category": lambda ws: rk.quartile_by_category(_flat(ws)),
+    "quartile_by_year": lambda ws: rk.quartile_by_year(_flat(ws)),
+    "best_quartile_heatmap": lambda ws: rk.best_quartile_heatmap(_flat(ws)),
+    "countries_per_quartile": lambda ws: rk.countries_per_quartile(_flat(ws)),
+    "quartile_by_country_wide": lambda ws: rk.quartile_by_country_wide(_flat(ws)),
+    "quartile_by_country_long": _country_long,
+    "quartile_share_by_country": lambda ws: rk.quartile_share_by_country(_flat(ws)),
+    "quartile_count_histogram": lambda ws: dist.quartile_count_histogram(_country_long(ws)),
+    "quartile_count_density": lambda ws: dist.quartile_count_density(_country_long(ws)),
+    # authors and labs
+    "authors_by_country_top20": lambda ws: art.authors_by_country_top20(ws.authors_labs()),
+    "labs_top20": lambda ws: art.labs_top20(ws.authors_labs()),
+    "top_authors": lambda ws: art.top_authors(ws.articles()),
+    "distinct_authors": lambda ws: art.distinct_authors(ws.articles()),
+    # article counts
+    "articles_by_year": lambda ws: art.articles_by_year(_dated(ws)),
+    "articles_by_date": lambda ws: art.articles_by_date(_dated(ws)),
+    "articles_by_date_frames": lambda ws: art.articles_by_date_frames(_dated(ws)),
+    "articles_by_year_month": lambda ws: art.articles_by_year_month(_dated(ws)),
+    "articles_by_year_month_wide": lambda ws: art.articles_by_year_month_wide(_dated(ws)),
+    "articles_by_journal": lambda ws: art.articles_by_journal(ws.articles()),
+    "articles_by_journal_country": lambda ws: art.articles_by_journal_country(ws.articles(), ws.journals()),
+}
 
 
-def q_distinct_authors(spark, sf_dir):
-    return art.distinct_authors(_ws(spark, sf_dir).articles())
+def _over_testdata(result: Result) -> Query:
+    return lambda spark, sf_dir: result(workspace(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {
-    name[2:]: fn for name, fn in sorted(globals().items())
-    if name.startswith("q_") and callable(fn)
-}
+QUERIES: dict[str, Query] = {name: _over_testdata(fn) for name, fn in RESULTS.items()}
 
 # The flagship result: nested explode, size-checked join, per-doi sets,
 # combinations and a pre-aggregated count.
 FLAGSHIP = "country_pairs"
-
-__all__ = ["QUERIES", "FLAGSHIP"]

@@ -1,42 +1,60 @@
-"""Workspace: the cleaned collections every analytic reads.
+"""Workspace: the landed and cleaned collections every analytic reads.
 
-The landed collections and the cleaned tables are computed once and written as
-Parquet under the shared folder named by ``spark.checkpoint.dir`` (one
-sub-folder per input fingerprint): landing -> cleaning -> analytics.
-Later plans read them back, so
+A workspace is built from a *loader* - a function returning one collection in
+landing form (``_id`` included):
+
+* ``Workspace.from_landing`` reads exported collections (JSON array, JSON lines
+  or Parquet) with the declared schemas - the production path;
+* ``Workspace.from_testdata`` derives them from the star-schema test tables.
+
+The landed collections (unless already Parquet) and the cleaned tables are
+computed once and written as Parquet under the shared folder named by
+``spark.checkpoint.dir`` (one sub-folder per input fingerprint): landing ->
+cleaning -> analytics.  Later plans read them back, so
 
 * the lineage is cut - losing an executor re-reads Parquet instead of
   re-running the landing derivation and the de-duplication shuffle;
 * every analytic keeps column pruning and filter pushdown into the scan, which
-  an RDD checkpoint would not give.
+  an RDD checkpoint would not give;
+* a one-line JSON array (one unsplittable task per file) is read only once.
 
-``materialize=False`` keeps everything as one lazy plan (used by tests that
-compare plans, and by callers that write the result themselves).
+``materialize=False`` keeps everything as one lazy plan.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from biblioscope.operators.cleaning import clean
 from biblioscope.session import checkpoint_root
 from biblioscope.sources import testdata
+from biblioscope.sources.landing import read_landing
 
 # Bump when a landing view rule changes, so stale written tables are not reused.
-VIEW_VERSION = "3"
+VIEW_VERSION = "5"
 COLLECTIONS = ("articles", "journaux", "authors_labs")
 
+Loader = Callable[[str], DataFrame]
 
-def _fingerprint(sf_dir: str) -> str:
+
+def _fingerprint(*parts: str) -> str:
+    """Hash of the input locations and, for local paths, their file sizes and times."""
     h = hashlib.sha1(VIEW_VERSION.encode())
-    root = os.path.abspath(sf_dir)
-    h.update(root.encode())
-    for name in sorted(os.listdir(root)) if os.path.isdir(root) else []:
-        st = os.stat(os.path.join(root, name))
-        h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    for part in parts:
+        h.update(part.encode())
+        local = part[len("file:"):] if part.startswith("file:") else part
+        if os.path.isdir(local):
+            for root, _, files in sorted(os.walk(local)):
+                for name in sorted(files):
+                    st = os.stat(os.path.join(root, name))
+                    h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+        elif os.path.isfile(local):
+            st = os.stat(local)
+            h.update(f"{st.st_size}:{int(st.st_mtime)}".encode())
     return h.hexdigest()[:16]
 
 
@@ -51,24 +69,46 @@ def _committed(spark: SparkSession, path: str) -> bool:
 
 
 class Workspace:
-    """Raw (landing) and cleaned collections for one input folder."""
+    """Landed and cleaned collections of one input."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True,
-                 table_root: str | None = None):
+    def __init__(self, spark: SparkSession, loader: Loader, key: str, *,
+                 materialize: bool = True, land_raw: bool = True,
+                 table_root: str | None = None,
+                 documents: Callable[[], DataFrame] | None = None):
         self.spark = spark
-        self.sf_dir = sf_dir.rstrip("/")
+        self.loader = loader
+        self.key = key
         self.materialize = materialize
+        self.land_raw = land_raw
         self.table_root = table_root
+        self._documents = documents
         self._cache: dict[str, DataFrame] = {}
 
-    # landing form, ``_id`` included
-    def raw(self, collection: str) -> DataFrame:
-        """The landed collection; written once as Parquet when materializing."""
-        key = "landing/" + collection
-        if key not in self._cache:
-            df = testdata.LANDING_VIEWS[collection](self.spark, self.sf_dir)
-            self._cache[key] = self._written(df, key) if self.materialize else df
-        return self._cache[key]
+    @classmethod
+    def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Workspace":
+        sf_dir = sf_dir.rstrip("/")
+        return cls(spark, lambda c: testdata.LANDING_VIEWS[c](spark, sf_dir),
+                   _fingerprint("testdata", os.path.abspath(sf_dir)),
+                   documents=lambda: testdata.documents(spark, sf_dir), **kw)
+
+    @classmethod
+    def from_landing(cls, spark: SparkSession, paths: dict[str, str], fmt: str = "jsonl",
+                     documents_path: str | None = None, **kw) -> "Workspace":
+        """``paths`` maps each of articles / journaux / authors_labs to its landing path."""
+        missing = set(COLLECTIONS) - set(paths)
+        if missing:
+            raise ValueError(f"landing paths missing for {sorted(missing)}")
+        docs = None
+        if documents_path:
+            docs = lambda: spark.read.parquet(documents_path)
+        kw.setdefault("land_raw", fmt != "parquet")
+        return cls(spark, lambda c: read_landing(spark, paths[c], c, fmt),
+                   _fingerprint(fmt, *[paths[c] for c in COLLECTIONS]),
+                   documents=docs, **kw)
+
+    def table_path(self, name: str) -> str:
+        root = self.table_root or f"{checkpoint_root(self.spark)}/biblioscope-tables"
+        return f"{root}/{self.key}/{name}"
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         path = self.table_path(name)
@@ -76,21 +116,24 @@ class Workspace:
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def raw(self, collection: str) -> DataFrame:
+        """The landed collection (landing names, ``_id`` included)."""
+        key = "landing/" + collection
+        if key not in self._cache:
+            df = self.loader(collection)
+            if self.materialize and self.land_raw:
+                df = self._written(df, key)
+            self._cache[key] = df
+        return self._cache[key]
+
     def raw_all(self) -> dict[str, DataFrame]:
         return {c: self.raw(c) for c in COLLECTIONS}
 
-    def table_path(self, collection: str) -> str:
-        root = self.table_root or f"{checkpoint_root(self.spark)}/biblioscope-tables"
-        return f"{root}/{_fingerprint(self.sf_dir)}/{collection}"
-
     def cleaned(self, collection: str) -> DataFrame:
-        if collection in self._cache:
-            return self._cache[collection]
-        df = clean(self.raw(collection), collection)
-        if self.materialize:
-            df = self._written(df, collection)
-        self._cache[collection] = df
-        return df
+        if collection not in self._cache:
+            df = clean(self.raw(collection), collection)
+            self._cache[collection] = self._written(df, collection) if self.materialize else df
+        return self._cache[collection]
 
     def articles(self) -> DataFrame:
         return self.cleaned("articles")
@@ -102,7 +145,9 @@ class Workspace:
         return self.cleaned("authors_labs")
 
     def documents(self) -> DataFrame:
-        return testdata.documents(self.spark, self.sf_dir)
+        if self._documents is None:
+            raise ValueError("this workspace has no documents table")
+        return self._documents()
 
     def prepare(self) -> "Workspace":
         for c in COLLECTIONS:
@@ -114,14 +159,14 @@ _WORKSPACES: dict[tuple[int, str, bool], Workspace] = {}
 
 
 def workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Workspace:
-    """One workspace per (session, folder) so the cleaned tables are built once."""
+    """One test-table workspace per (session, folder), so cleaning runs once."""
     key = (id(spark), os.path.abspath(sf_dir), materialize)
     if key not in _WORKSPACES:
-        _WORKSPACES[key] = Workspace(spark, sf_dir, materialize)
+        _WORKSPACES[key] = Workspace.from_testdata(spark, sf_dir, materialize=materialize)
     return _WORKSPACES[key]
 
 
-def register_workspace(ws: Workspace) -> Workspace:
-    """Make ``ws`` the one ``workspace()`` returns for its session and folder."""
-    _WORKSPACES[(id(ws.spark), os.path.abspath(ws.sf_dir), ws.materialize)] = ws
+def register_workspace(ws: Workspace, sf_dir: str) -> Workspace:
+    """Make ``ws`` the one ``workspace(spark, sf_dir)`` returns."""
+    _WORKSPACES[(id(ws.spark), os.path.abspath(sf_dir), ws.materialize)] = ws
     return ws

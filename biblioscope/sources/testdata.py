@@ -84,8 +84,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
         .groupBy("l_orderkey")
         .agg(
-            F.collect_set(F.struct(F.col("s_name").alias("name"),
-                                   author_labs(F.col("l_suppkey")).alias("labs"))).alias("authors_data"),
+            # sorted: a recomputed task yields the same array, hence the same row
+            F.array_sort(F.collect_set(F.struct(
+                F.col("s_name").alias("name"),
+                author_labs(F.col("l_suppkey")).alias("labs")))).alias("authors_data"),
             F.min("l_partkey").alias("first_part"),
         )
     )
