@@ -28,10 +28,13 @@ def quartile_count_histogram(long: DataFrame, bins: int = HISTOGRAM_BINS,
     Only non-empty cells are returned; ``stack_top`` adds the cells of the same bin
     in quartile order (the stacked drawing), ``n`` is the bar's own height.
     """
-    lo = long.select(F.min("n")).scalar()
-    hi = long.select(F.max("n")).scalar()
+    # One scalar subquery, projected once: the shared range of all values.
+    rng = long.select(F.struct(F.min("n").alias("lo"), F.max("n").alias("hi"))).scalar()
+    ranged = long.select("quartile", "n", rng.alias("_r"))
+    lo, hi = F.col("_r.lo"), F.col("_r.hi")
     b = equal_width_bin(F.col("n"), lo, hi, bins)
-    cells = long.groupBy("quartile", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    cells = (ranged.groupBy("quartile", b.alias("bin"), F.col("_r").alias("_r"))
+             .agg(F.count(F.lit(1)).alias("n")))
     start, end = bin_edges(F.col("bin"), lo, hi, bins)
     stack = Window.partitionBy("bin").orderBy("quartile").rowsBetween(Window.unboundedPreceding, 0)
     return cells.select(

@@ -10,7 +10,7 @@ from biblioscope.functions.text import is_stop_word, normalized_keywords, word_t
 WORD_CLOUD_SIZE = 200
 
 
-def keyword_counts(articles: DataFrame) -> DataFrame:
+def keyword_count_table(articles: DataFrame) -> DataFrame:
     """Number of articles carrying each normalised keyword ('' included).
 
     A keyword repeated inside one article counts once (``array_distinct`` per
@@ -20,8 +20,12 @@ def keyword_counts(articles: DataFrame) -> DataFrame:
     return (articles
             .select(F.explode(normalized_keywords(F.col("keywords"))).alias("keyword"))
             .groupBy("keyword")
-            .agg(F.count(F.lit(1)).alias("keyword_count"))
-            .orderBy(F.desc("keyword_count"), "keyword"))
+            .agg(F.count(F.lit(1)).alias("keyword_count")))
+
+
+def keyword_counts(articles: DataFrame) -> DataFrame:
+    """``keyword_count_table`` sorted by count (desc), then keyword."""
+    return keyword_count_table(articles).orderBy(F.desc("keyword_count"), "keyword")
 
 
 def top_keywords(articles: DataFrame, k: int = 10) -> DataFrame:
@@ -44,7 +48,7 @@ def top_words(freq: DataFrame, k: int = WORD_CLOUD_SIZE) -> DataFrame:
 
 def keyword_words(articles: DataFrame, k: int = WORD_CLOUD_SIZE) -> DataFrame:
     """Words of the distinct keywords, each keyword weighted once."""
-    distinct_keywords = keyword_counts(articles).select("keyword")
+    distinct_keywords = keyword_count_table(articles).select("keyword")
     return top_words(word_frequencies(distinct_keywords, "keyword"), k)
 
 
