@@ -2,7 +2,8 @@
 
 A k-tuple of countries counts once per doi whose authors' labs cover all k.  The
 distinct country set of each doi is built once (one shuffle by doi), its
-k-combinations are generated inside the row, and the tuples are counted with a
+k-combinations are generated inside the row by chained generators, and the
+tuples are counted with a
 partial+final aggregation (one shuffle by tuple, pre-combined map-side).  A doi
 with n distinct countries emits C(n, k) tuples; n is bounded by the number of
 countries, not by the size of the data.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblioscope.functions.combinations import combinations
+from biblioscope.functions.combinations import explode_combinations
 from biblioscope.operators.affiliations import article_countries
 
 TUPLE_NAMES = ("country_a", "country_b", "country_c", "country_d", "country_e")
@@ -23,9 +24,8 @@ def country_tuples(doi_countries: DataFrame, k: int) -> DataFrame:
     if not 2 <= k <= len(TUPLE_NAMES):
         raise ValueError(f"k must be in 2..{len(TUPLE_NAMES)}")
     names = list(TUPLE_NAMES[:k])
-    return (doi_countries
-            .where(F.size("countries") >= k)
-            .select(F.inline(combinations(F.col("countries"), names)))
+    sets = doi_countries.where(F.size("countries") >= k)
+    return (explode_combinations(sets, "countries", names)
             .groupBy(*names)
             .agg(F.count(F.lit(1)).alias("collaboration_count")))
 

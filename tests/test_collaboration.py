@@ -80,3 +80,20 @@ def test_graph_nodes_and_edges(spark):
     assert as_set(edges) == {("ES", "FR", 2), ("FR", "MA", 1)}
     nodes = as_set(collaboration_nodes(edges))
     assert nodes == {("ES", 1, 2), ("FR", 2, 3), ("MA", 1, 1)}
+
+
+def test_explode_combinations_counts(spark):
+    from math import comb
+
+    from biblioscope.functions.combinations import explode_combinations
+    df = spark.createDataFrame([(i, [f"c{j}" for j in range(i)]) for i in range(0, 8)],
+                               "id int, arr array<string>")
+    for k in (2, 3, 4):
+        names = [f"x{j}" for j in range(k)]
+        rows = explode_combinations(df, "arr", names, keep=("id",)).collect()
+        per_id = {}
+        for r in rows:
+            per_id[r.id] = per_id.get(r.id, 0) + 1
+            vals = [r[n] for n in names]
+            assert vals == sorted(vals) and len(set(vals)) == k
+        assert per_id == {i: comb(i, k) for i in range(8) if comb(i, k)}
