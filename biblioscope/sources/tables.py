@@ -35,7 +35,7 @@ from biblioscope.sources import testdata
 from biblioscope.sources.landing import read_landing
 
 # Bump when a landing view rule changes, so stale written tables are not reused.
-VIEW_VERSION = "5"
+VIEW_VERSION = "6"
 COLLECTIONS = ("articles", "journaux", "authors_labs")
 
 Loader = Callable[[str], DataFrame]
@@ -87,9 +87,10 @@ class Workspace:
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Workspace":
         sf_dir = sf_dir.rstrip("/")
-        return cls(spark, lambda c: testdata.LANDING_VIEWS[c](spark, sf_dir),
-                   _fingerprint("testdata", os.path.abspath(sf_dir)),
-                   documents=lambda: testdata.documents(spark, sf_dir), **kw)
+        ws = cls(spark, lambda c: testdata.LANDING_VIEWS[c](spark, sf_dir),
+                 _fingerprint("testdata", os.path.abspath(sf_dir)), **kw)
+        ws._documents = lambda: ws.landed("documents", lambda: testdata.documents_landing(spark, sf_dir))
+        return ws
 
     @classmethod
     def from_landing(cls, spark: SparkSession, paths: dict[str, str], fmt: str = "jsonl",
@@ -116,6 +117,14 @@ class Workspace:
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A side table landed once as Parquet (as is, when not materializing)."""
+        key = "landing/" + name
+        if key not in self._cache:
+            df = build()
+            self._cache[key] = self._written(df, key) if self.materialize else df
+        return self._cache[key]
+
     def raw(self, collection: str) -> DataFrame:
         """The landed collection (landing names, ``_id`` included)."""
         key = "landing/" + collection
@@ -152,6 +161,8 @@ class Workspace:
     def prepare(self) -> "Workspace":
         for c in COLLECTIONS:
             self.cleaned(c)
+        if self._documents is not None:
+            self.documents()
         return self
 
 
