@@ -25,10 +25,12 @@ PARSE_FORMATS = ("d MMMM yyyy", "MMMM yyyy", "yyyy")
 
 def extract_date_text(raw: Column) -> Column:
     """The date fragment of a free-text date, or null when nothing matches."""
-    return (
-        F.when(raw.rlike(DAY_MONTH_YEAR), F.regexp_extract(raw, DAY_MONTH_YEAR, 0))
-        .when(raw.rlike(VOLUME_MONTH_YEAR), F.regexp_extract(raw, MONTH_YEAR, 0))
-        .when(raw.rlike(YEAR), F.regexp_extract(raw, YEAR, 0))
+    # A match is never empty, so "matches, then extract" is "extract, '' -> null":
+    # one regex pass per branch instead of two.
+    return F.coalesce(
+        F.nullif(F.regexp_extract(raw, DAY_MONTH_YEAR, 0), F.lit("")),
+        F.when(raw.rlike(VOLUME_MONTH_YEAR), F.regexp_extract(raw, MONTH_YEAR, 0)),
+        F.nullif(F.regexp_extract(raw, YEAR, 0), F.lit("")),
     )
 
 

@@ -13,8 +13,11 @@ def articles_dated(articles: DataFrame) -> DataFrame:
     """Articles with the extracted date fragment and the parsed DATE.
 
     The raw text is kept as ``publication_date_raw``; ``publication_date`` is the
-    parsed value.
+    parsed value.  Idempotent: an input already carrying the parsed columns (the
+    workspace stores articles that way) is returned unchanged.
     """
+    if "publication_date_raw" in articles.columns:
+        return articles
     fragment = extract_date_text(F.col("publication_date_raw"))
     return (articles
             .withColumnRenamed("publication_date", "publication_date_raw")

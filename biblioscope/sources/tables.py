@@ -29,13 +29,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from biblioscope.operators.articles import articles_dated
 from biblioscope.operators.cleaning import clean
 from biblioscope.session import checkpoint_root
 from biblioscope.sources import testdata
 from biblioscope.sources.landing import read_landing
 
 # Bump when a landing view rule changes, so stale written tables are not reused.
-VIEW_VERSION = "6"
+VIEW_VERSION = "7"
 COLLECTIONS = ("articles", "journaux", "authors_labs")
 
 Loader = Callable[[str], DataFrame]
@@ -139,8 +140,15 @@ class Workspace:
         return {c: self.raw(c) for c in COLLECTIONS}
 
     def cleaned(self, collection: str) -> DataFrame:
+        """Cleaned collection; articles also carry their parsed dates.
+
+        Dates are parsed once here, as the original tool does at start-up, so
+        no result re-runs the regular-expression cascade.
+        """
         if collection not in self._cache:
             df = clean(self.raw(collection), collection)
+            if collection == "articles":
+                df = articles_dated(df)
             self._cache[collection] = self._written(df, collection) if self.materialize else df
         return self._cache[collection]
 
