@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,8 @@ class Workspace:
         self.table_root = table_root
         self._documents = documents
         self._cache: dict[str, DataFrame] = {}
+        # Callers may share a session across threads; each table is written once.
+        self._lock = threading.RLock()
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Workspace":
@@ -114,27 +117,30 @@ class Workspace:
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         path = self.table_path(name)
-        if not _committed(self.spark, path):
-            df.write.mode("overwrite").parquet(path)
+        with self._lock:
+            if not _committed(self.spark, path):
+                df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A side table landed once as Parquet (as is, when not materializing)."""
         key = "landing/" + name
-        if key not in self._cache:
-            df = build()
-            self._cache[key] = self._written(df, key) if self.materialize else df
-        return self._cache[key]
+        with self._lock:
+            if key not in self._cache:
+                df = build()
+                self._cache[key] = self._written(df, key) if self.materialize else df
+            return self._cache[key]
 
     def raw(self, collection: str) -> DataFrame:
         """The landed collection (landing names, ``_id`` included)."""
         key = "landing/" + collection
-        if key not in self._cache:
-            df = self.loader(collection)
-            if self.materialize and self.land_raw:
-                df = self._written(df, key)
-            self._cache[key] = df
-        return self._cache[key]
+        with self._lock:
+            if key not in self._cache:
+                df = self.loader(collection)
+                if self.materialize and self.land_raw:
+                    df = self._written(df, key)
+                self._cache[key] = df
+            return self._cache[key]
 
     def raw_all(self) -> dict[str, DataFrame]:
         return {c: self.raw(c) for c in COLLECTIONS}
@@ -145,12 +151,13 @@ class Workspace:
         Dates are parsed once here, as the original tool does at start-up, so
         no result re-runs the regular-expression cascade.
         """
-        if collection not in self._cache:
-            df = clean(self.raw(collection), collection)
-            if collection == "articles":
-                df = articles_dated(df)
-            self._cache[collection] = self._written(df, collection) if self.materialize else df
-        return self._cache[collection]
+        with self._lock:
+            if collection not in self._cache:
+                df = clean(self.raw(collection), collection)
+                if collection == "articles":
+                    df = articles_dated(df)
+                self._cache[collection] = self._written(df, collection) if self.materialize else df
+            return self._cache[collection]
 
     def articles(self) -> DataFrame:
         return self.cleaned("articles")
@@ -175,14 +182,16 @@ class Workspace:
 
 
 _WORKSPACES: dict[tuple[int, str, bool], Workspace] = {}
+_WORKSPACES_LOCK = threading.Lock()
 
 
 def workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Workspace:
     """One test-table workspace per (session, folder), so cleaning runs once."""
     key = (id(spark), os.path.abspath(sf_dir), materialize)
-    if key not in _WORKSPACES:
-        _WORKSPACES[key] = Workspace.from_testdata(spark, sf_dir, materialize=materialize)
-    return _WORKSPACES[key]
+    with _WORKSPACES_LOCK:
+        if key not in _WORKSPACES:
+            _WORKSPACES[key] = Workspace.from_testdata(spark, sf_dir, materialize=materialize)
+        return _WORKSPACES[key]
 
 
 def register_workspace(ws: Workspace, sf_dir: str) -> Workspace:

@@ -97,3 +97,21 @@ def test_explode_combinations_counts(spark):
             vals = [r[n] for n in names]
             assert vals == sorted(vals) and len(set(vals)) == k
         assert per_id == {i: comb(i, k) for i in range(8) if comb(i, k)}
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_hot_lab_and_hot_doi(spark, salted):
+    # one lab holds a third of all author rows, one doi has hundreds of authors
+    countries = ["FR", "MA", "ES", "DE", "IT", "PT"]
+    labs = authors_labs_df(spark, [(f"p{i}", f"L{i}", countries[i % 6]) for i in range(12)])
+    rows = []
+    for d in range(90):
+        authors = [author(f"h{d}", ["L0"])] if d % 3 == 0 else []
+        authors += [author(f"a{d}-{j}", [f"L{(d + j) % 12}"]) for j in range(2)]
+        rows.append({"doi": str(d), "authors_data": authors})
+    rows.append({"doi": "hot", "authors_data": [author(f"x{j}", [f"L{j % 12}", "L0"]) for j in range(400)]})
+    arts = articles_df(spark, rows)
+    opts = {"max_broadcast_rows": 0, "salt_buckets": 8} if salted else {}
+    got = as_set(country_pairs(arts, labs, **opts))
+    assert got == as_set(naive_pairs(arts, labs))
+    assert as_set(country_triples(arts, labs, **opts))
