@@ -1,13 +1,26 @@
 """Joining a large fact side to a dimension whose size is checked, not assumed.
 
-``join_dimension`` counts the dimension (at most ``max_broadcast_rows + 1`` rows
-are needed to decide).  Within the bound the dimension is broadcast and the fact
-side is not shuffled at all.  Beyond it, the join is a salted shuffle join: the
-fact side gets a deterministic salt in ``[0, buckets)`` from a hash of its own
-columns, the dimension is replicated once per salt, and the join key becomes
-``(key, salt)``.  A hot key - one lab holding a third of all rows - is then spread
-over ``buckets`` reducers instead of one.  The salt is a hash, not ``rand()``, so
-a recomputed task after an executor loss yields the same rows.
+``join_dimension`` first counts the dimension (it stops past the bound).  Within
+the bound the dimension is broadcast and the fact side is not shuffled at all.
+The bound defaults to ``spark.sql.autoBroadcastJoinThreshold`` divided by a
+conservative row width, so the cluster's own broadcast budget applies; a
+threshold of -1 disables broadcasting.
+
+Beyond the bound the join is a shuffle join in which only hot keys are salted:
+
+1. rows per key on the fact side are counted (partial aggregation, map-side
+   combined).  With ``P`` shuffle partitions, at most ``P`` keys can each hold
+   more than ``1/P`` of the rows - the hot-key table has a proven size bound and
+   is broadcast;
+2. a hot key holding share ``s`` of the rows gets ``ceil(s * P)`` salt buckets;
+   its fact rows take a salt from a hash of their own columns (not ``rand()``, so
+   a recomputed task after an executor loss yields the same rows), and its
+   dimension rows are replicated once per bucket;
+3. all other keys keep salt 0, so the dimension grows by at most about ``P``
+   rows in total, and one shuffle join on ``(key, salt)`` finishes the work.
+
+A lab holding a third of all rows is then spread over a third of the reducers
+instead of landing on one.
 """
 
 from __future__ import annotations
@@ -15,29 +28,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-DEFAULT_SALT_BUCKETS = 64
+# Conservative bytes per dimension row when turning the broadcast budget into rows.
+ROW_BYTES_ESTIMATE = 64
+
+
+def default_broadcast_rows(df: DataFrame) -> int:
+    spark = df.sparkSession
+    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    value = raw.strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+             "g": 1 << 30, "gb": 1 << 30}
+    for suffix in sorted(units, key=len, reverse=True):
+        if value.endswith(suffix) and value[: -len(suffix)].strip().lstrip("-").isdigit():
+            threshold = int(value[: -len(suffix)]) * units[suffix]
+            break
+    else:
+        threshold = int(value)
+    return -1 if threshold < 0 else threshold // ROW_BYTES_ESTIMATE
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def dimension_fits(dim: DataFrame, max_rows: int) -> bool:
     """True when ``dim`` has at most ``max_rows`` rows (stops counting past it)."""
+    if max_rows < 0:
+        return False
     return dim.limit(max_rows + 1).count() <= max_rows
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str,
-                buckets: int) -> DataFrame:
-    salt_cols = [c for c in fact.columns if c not in on] or fact.columns
-    salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(buckets)))
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted_fact.join(salted_dim, on + ["_salt"], how).drop("_salt")
+def hot_keys(fact: DataFrame, keys: list[str], partitions: int) -> DataFrame:
+    """Keys holding more than ``1/partitions`` of the fact rows, with their bucket count.
+
+    At most ``partitions`` rows by construction.
+    """
+    counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.select(F.sum("_rows")).scalar()
+    share = counts.select(*keys, "_rows", total.alias("_total"))
+    return (share.where(F.col("_rows") * partitions > F.col("_total"))
+            .select(*keys, F.ceil(F.col("_rows") * partitions / F.col("_total")).cast("int").alias("_buckets")))
+
+
+def hot_salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str,
+                    partitions: int) -> DataFrame:
+    # Computed once and cut from the lineage (checkpoint to the shared folder);
+    # both join sides then read the same small table.
+    hot = F.broadcast(hot_keys(fact, keys, partitions).checkpoint())
+    payload = [c for c in fact.columns if c not in keys] or fact.columns
+    buckets = F.coalesce(F.col("_buckets"), F.lit(1))
+    salted_fact = (fact.join(hot, keys, "left")
+                   .withColumn("_salt", F.pmod(F.xxhash64(*payload), buckets.cast("long")).cast("int"))
+                   .drop("_buckets"))
+    salted_dim = (dim.join(hot, keys, "left")
+                  .withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
+                  .drop("_buckets"))
+    return salted_fact.join(salted_dim, keys + ["_salt"], how).drop("_salt")
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "inner",
-                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                   salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
+                   max_broadcast_rows: int | None = None,
+                   partitions: int | None = None) -> DataFrame:
+    """``fact`` joined to ``dim`` on equal keys; the fact side is kept for ``left``."""
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left"):
         raise ValueError("join_dimension supports inner and left joins (fact side kept)")
-    if dimension_fits(dim, max_broadcast_rows):
+    limit = default_broadcast_rows(dim) if max_broadcast_rows is None else max_broadcast_rows
+    if dimension_fits(dim, limit):
         return fact.join(F.broadcast(dim), keys, how)
-    return salted_join(fact, dim, keys, how, salt_buckets)
+    return hot_salted_join(fact, dim, keys, how, partitions or shuffle_partitions(fact))

@@ -69,7 +69,7 @@ def test_pairs_equal_self_join_formulation(spark, salted):
         {"doi": str(d), "authors_data": [author(f"n{d}-{j}", [f"L{(d * j + j) % 11}", f"L{(d + j) % 11}"])
                                          for j in range(d % 4 + 1)]}
         for d in range(60)])
-    opts = {"max_broadcast_rows": 0, "salt_buckets": 4} if salted else {}
+    opts = {"max_broadcast_rows": 0, "partitions": 4} if salted else {}
     assert as_set(country_pairs(arts, labs, **opts)) == as_set(naive_pairs(arts, labs))
 
 
@@ -111,7 +111,7 @@ def test_hot_lab_and_hot_doi(spark, salted):
         rows.append({"doi": str(d), "authors_data": authors})
     rows.append({"doi": "hot", "authors_data": [author(f"x{j}", [f"L{j % 12}", "L0"]) for j in range(400)]})
     arts = articles_df(spark, rows)
-    opts = {"max_broadcast_rows": 0, "salt_buckets": 8} if salted else {}
+    opts = {"max_broadcast_rows": 0, "partitions": 8} if salted else {}
     got = as_set(country_pairs(arts, labs, **opts))
     assert got == as_set(naive_pairs(arts, labs))
     assert as_set(country_triples(arts, labs, **opts))
