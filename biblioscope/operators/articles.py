@@ -34,10 +34,14 @@ def articles_by_year(dated: DataFrame) -> DataFrame:
             .orderBy(F.col("year").cast("int")))
 
 
+def date_counts(dated: DataFrame) -> DataFrame:
+    """Articles per parsed date (unordered); unparsed dates form one null group."""
+    return dated.groupBy("publication_date").agg(F.count(F.lit(1)).alias("article_count"))
+
+
 def articles_by_date(dated: DataFrame) -> DataFrame:
-    """Articles per parsed date; unparsed dates form one null group, sorted first."""
-    return (dated.groupBy("publication_date").agg(F.count(F.lit(1)).alias("article_count"))
-            .orderBy(F.asc_nulls_first("publication_date")))
+    """``date_counts`` in date order, the null group first."""
+    return date_counts(dated).orderBy(F.asc_nulls_first("publication_date"))
 
 
 def series_positions(series: DataFrame, date_col: str) -> DataFrame:
@@ -69,7 +73,7 @@ def articles_by_date_frames(dated: DataFrame) -> DataFrame:
     whole series.  The expanded form (one copy of each point per frame) is
     quadratic in the series length and is not materialised.
     """
-    return (series_positions(articles_by_date(dated), "publication_date")
+    return (series_positions(date_counts(dated), "publication_date")
             .withColumnRenamed("position", "first_frame"))
 
 

@@ -2,7 +2,6 @@ from biblioscope.operators.articles import (articles_by_date_frames, articles_by
                                             articles_by_journal_country, articles_dated,
                                             authors_by_country_top20, distinct_authors,
                                             labs_top20, top_authors)
-from biblioscope.operators.rankings import journals_flat  # noqa: F401
 from biblioscope.sources.schemas import JOURNALS
 from helpers import articles_df, as_set, author, authors_labs_df
 

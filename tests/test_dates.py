@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from biblioscope.operators.articles import (articles_by_date, articles_by_year,
                                             articles_by_year_month, articles_by_year_month_wide,
                                             articles_dated)
@@ -69,4 +67,3 @@ def test_cascade_stays_native(spark):
     rows = [{"doi": "1", "publication_date": "3 March 2020"}]
     plan = articles_dated(articles_df(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert F is not None
