@@ -3,6 +3,8 @@
 De-duplication is a hash aggregation on the full row: partial aggregation merges
 copies inside each map task before the shuffle, so a row repeated in a third of
 the input collapses map-side and no reducer receives the hot key unaggregated.
+The same aggregation can carry each row's number of copies (``_copies``), which
+gives the before/after report without a second pass over the raw data.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ COLLECTION_LABELS = {
     "articles": "Articles",
 }
 
+COPIES = "_copies"
+
 
 def drop_id(df: DataFrame) -> DataFrame:
     return df.drop("_id")
@@ -34,6 +38,12 @@ def clean(raw: DataFrame, collection: str) -> DataFrame:
     return deduplicate(drop_id(canonicalize(raw, collection)))
 
 
+def clean_with_copies(raw: DataFrame, collection: str) -> DataFrame:
+    """``clean`` plus ``_copies``: how many landing rows each clean row stood for."""
+    df = drop_id(canonicalize(raw, collection))
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+
+
 def row_counts(df: DataFrame) -> DataFrame:
     """One row: rows before and after whole-row de-duplication, in one pass.
 
@@ -41,16 +51,30 @@ def row_counts(df: DataFrame) -> DataFrame:
     number of groups is the de-duplicated count, the sum of group sizes the
     original count.
     """
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    return groups.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
-                      F.count(F.lit(1)).alias("rows_after"))
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+    return copies_counts(groups)
 
 
-def cleaning_report(spark: SparkSession, raw: dict[str, DataFrame]) -> DataFrame:
-    """One row per collection: rows before and after de-duplication."""
+def copies_counts(cleaned_with_copies: DataFrame) -> DataFrame:
+    """One row (rows_before, rows_after) from a cleaned table carrying ``_copies``."""
+    return cleaned_with_copies.agg(F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows_before"),
+                                   F.count(F.lit(1)).alias("rows_after"))
+
+
+def _report(per_collection: dict[str, DataFrame]) -> DataFrame:
     report = None
     for collection, label in COLLECTION_LABELS.items():
-        counts = row_counts(drop_id(canonicalize(raw[collection], collection)))
-        row = counts.select(F.lit(label).alias("collection"), "rows_before", "rows_after")
+        row = per_collection[collection].select(
+            F.lit(label).alias("collection"), "rows_before", "rows_after")
         report = row if report is None else report.unionByName(row)
     return report
+
+
+def cleaning_report(spark: SparkSession, raw: dict[str, DataFrame]) -> DataFrame:
+    """One row per collection: rows before and after de-duplication (from landing rows)."""
+    return _report({c: row_counts(drop_id(canonicalize(raw[c], c))) for c in COLLECTION_LABELS})
+
+
+def cleaning_report_from_copies(cleaned: dict[str, DataFrame]) -> DataFrame:
+    """The same report read from cleaned tables that carry ``_copies`` (no raw pass)."""
+    return _report({c: copies_counts(cleaned[c]) for c in COLLECTION_LABELS})

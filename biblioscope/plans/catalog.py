@@ -18,7 +18,6 @@ from biblioscope.operators import distributions as dist
 from biblioscope.operators import keywords as kw
 from biblioscope.operators import rankings as rk
 from biblioscope.operators.affiliations import article_affiliations
-from biblioscope.operators.cleaning import cleaning_report
 from biblioscope.sources.tables import Workspace, workspace
 
 Result = Callable[[Workspace], DataFrame]
@@ -43,7 +42,7 @@ def _edges(ws: Workspace) -> DataFrame:
 
 RESULTS: dict[str, Result] = {
     # cleaning and full tables
-    "cleaning_report": lambda ws: cleaning_report(ws.spark, ws.raw_all()),
+    "cleaning_report": lambda ws: ws.cleaning_report(),
     "articles_dated": lambda ws: _dated(ws).select("doi", "extracted_date", "publication_date"),
     "journals_flat": _flat,
     "author_labs": lambda ws: ws.authors_labs(),
