@@ -30,11 +30,16 @@ def country_tuples(doi_countries: DataFrame, k: int) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("collaboration_count")))
 
 
+def ordered_tuples(tuples: DataFrame, k: int) -> DataFrame:
+    """Most frequent first, ties by the countries."""
+    return tuples.orderBy(F.desc("collaboration_count"), *TUPLE_NAMES[:k])
+
+
 def country_collaborations(articles: DataFrame, authors_labs: DataFrame, k: int = 2,
                            ordered: bool = True, **join_opts) -> DataFrame:
     """Counts per k-tuple; ``ordered`` sorts by count (desc) then countries."""
     tuples = country_tuples(article_countries(articles, authors_labs, **join_opts), k)
-    return tuples.orderBy(F.desc("collaboration_count"), *TUPLE_NAMES[:k]) if ordered else tuples
+    return ordered_tuples(tuples, k) if ordered else tuples
 
 
 def country_pairs(articles: DataFrame, authors_labs: DataFrame, ordered: bool = True,

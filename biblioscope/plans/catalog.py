@@ -17,7 +17,7 @@ from biblioscope.operators import collaboration as col
 from biblioscope.operators import distributions as dist
 from biblioscope.operators import keywords as kw
 from biblioscope.operators import rankings as rk
-from biblioscope.operators.affiliations import article_affiliations
+from biblioscope.operators.affiliations import article_affiliations, article_countries
 from biblioscope.sources.tables import Workspace, workspace
 
 Result = Callable[[Workspace], DataFrame]
@@ -36,8 +36,17 @@ def _country_long(ws: Workspace) -> DataFrame:
     return rk.quartile_by_country_long(_flat(ws))
 
 
+def _doi_countries(ws: Workspace) -> DataFrame:
+    """Per doi, its sorted distinct countries; shared by the four collaboration results."""
+    return ws.derived("doi_countries", lambda: article_countries(ws.articles(), ws.authors_labs()))
+
+
+def _tuples(ws: Workspace, k: int) -> DataFrame:
+    return col.country_tuples(_doi_countries(ws), k)
+
+
 def _edges(ws: Workspace) -> DataFrame:
-    return col.collaboration_edges(col.country_pairs(ws.articles(), ws.authors_labs(), ordered=False))
+    return col.collaboration_edges(_tuples(ws, 2))
 
 
 RESULTS: dict[str, Result] = {
@@ -54,8 +63,8 @@ RESULTS: dict[str, Result] = {
     "document_words": lambda ws: kw.document_words(ws.documents()),
     # affiliations and collaboration
     "article_affiliations": lambda ws: article_affiliations(ws.articles(), ws.authors_labs()),
-    "country_pairs": lambda ws: col.country_pairs(ws.articles(), ws.authors_labs()),
-    "country_triples": lambda ws: col.country_triples(ws.articles(), ws.authors_labs()),
+    "country_pairs": lambda ws: col.ordered_tuples(_tuples(ws, 2), 2),
+    "country_triples": lambda ws: col.ordered_tuples(_tuples(ws, 3), 3),
     "collaboration_edges": _edges,
     "collaboration_nodes": lambda ws: col.collaboration_nodes(_edges(ws)),
     # journal rankings

@@ -132,6 +132,19 @@ class Workspace:
                 self._cache[key] = self._written(df, key) if self.materialize else df
             return self._cache[key]
 
+    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from the cleaned ones and shared by several results.
+
+        Written once (when materializing), so those results do not each repeat
+        the scans, joins and shuffles that produce it.
+        """
+        key = "derived/" + name
+        with self._lock:
+            if key not in self._cache:
+                df = build()
+                self._cache[key] = self._written(df, key) if self.materialize else df
+            return self._cache[key]
+
     def raw(self, collection: str) -> DataFrame:
         """The landed collection (landing names, ``_id`` included)."""
         key = "landing/" + collection

@@ -55,16 +55,25 @@ def test_scans_are_pruned(plans):
     assert "authors_data" not in plans["articles_by_journal"]
 
 
-def test_flagship_plan(plans):
-    p = plans["country_pairs"]
+def test_flagship_operator_plan(spark):
+    from biblioscope.operators.collaboration import country_pairs
+    from biblioscope.sources.tables import workspace
+    ws = workspace(spark, SF)
+    p = plan_text(country_pairs(ws.articles(), ws.authors_labs()))
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
     assert "collect_set" in p and "posexplode" in p
-    # one shuffle by doi, one by pair, one range sort for the ordered result,
-    # plus the shuffle inside the (broadcast) lab table's distinct
+    # one shuffle by doi, one by pair (plus the range sort of the ordered result
+    # and the shuffle inside the broadcast lab table's distinct)
     assert len(re.findall(r"Exchange hashpartitioning\(doi", p)) == 1
     assert len(re.findall(r"Exchange hashpartitioning\(country_a", p)) == 1
 
 
+def test_collaboration_results_read_the_shared_sets(plans):
+    for name in ("country_pairs", "country_triples", "collaboration_edges", "collaboration_nodes"):
+        p = plans[name]
+        assert "ReadSchema: struct<countries:array<string>>" in p and "Join" not in p, name
+
+
 def test_journal_country_aggregates_before_join(plans):
     p = plans["articles_by_journal_country"]
     join_at = p.index("Join")
