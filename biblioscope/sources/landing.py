@@ -27,7 +27,13 @@ def read_landing(spark: SparkSession, path: str, collection: str,
     """Scan one landed collection with its declared schema (landing names)."""
     schema = schemas.LANDING[collection]
     if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
+        # Parquet carries its own schema (no inference pass); numeric vs string
+        # ``Year`` and similar differences are settled by ``canonicalize``.
+        df = spark.read.parquet(path)
+        missing = [f.name for f in schema.fields if f.name not in df.columns and f.name != "_id"]
+        if missing:
+            raise ValueError(f"{collection} landing at {path} lacks columns {missing}")
+        return df
     if fmt == "jsonl":
         return spark.read.schema(schema).json(path)
     if fmt == "json":

@@ -57,3 +57,16 @@ def test_cleaning_report_counts(spark):
            cleaning_report(spark, {"articles": raw_articles, "authors_labs": raw_labs,
                                    "journaux": raw_j}).collect()}
     assert rep == {"Articles": (3, 2), "Authors Labs": (2, 1), "Journaux": (0, 0)}
+
+
+def test_parquet_landing_with_numeric_year(spark):
+    from biblioscope.operators.rankings import journals_flat
+    d = tempfile.mkdtemp(prefix="bs-landing-")
+    raw = spark.createDataFrame(
+        [("1", "J", "I", "FR", [("Math", 2020, "Q1")])],
+        "_id string, `Journal Name` string, ISSN string, Country string,"
+        " Data array<struct<Category:string,Year:bigint,Quartile:string>>")
+    write_landing(raw, os.path.join(d, "j"), "parquet")
+    got = journals_flat(canonicalize(read_landing(spark, os.path.join(d, "j"), "journaux", "parquet"), "journaux"))
+    assert [tuple(r) for r in got.collect()] == [("J", "I", "FR", "Math", 2020, "Q1")]
+    assert dict(got.dtypes)["year"] == "int"

@@ -55,3 +55,9 @@ def test_cli_writes_results(spark, tmp_path):
     pairs = spark.read.parquet(os.path.join(out, "country_pairs"))
     assert pairs.columns == ["country_a", "country_b", "collaboration_count"]
     assert pairs.count() == 45
+
+
+def test_cli_list(capsys):
+    assert cli(["list"]) == 0
+    names = capsys.readouterr().out.split()
+    assert set(names) == set(RESULTS) and len(names) == 34
