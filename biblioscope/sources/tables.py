@@ -123,27 +123,24 @@ class Workspace:
                 df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A side table landed once as Parquet (as is, when not materializing)."""
-        key = "landing/" + name
+    def _shared(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
             if key not in self._cache:
                 df = build()
                 self._cache[key] = self._written(df, key) if self.materialize else df
             return self._cache[key]
 
+    def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A side table landed once as Parquet (as is, when not materializing)."""
+        return self._shared("landing/" + name, build)
+
     def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table derived from the cleaned ones and shared by several results.
 
         Written once (when materializing), so those results do not each repeat
         the scans, joins and shuffles that produce it.
         """
-        key = "derived/" + name
-        with self._lock:
-            if key not in self._cache:
-                df = build()
-                self._cache[key] = self._written(df, key) if self.materialize else df
-            return self._cache[key]
+        return self._shared("derived/" + name, build)
 
     def raw(self, collection: str) -> DataFrame:
         """The landed collection (landing names, ``_id`` included)."""
