@@ -1,0 +1,38 @@
+"""Kernel density against a direct numpy evaluation of the stated rule."""
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from biblioscope.operators.distributions import quartile_count_density
+
+
+def model(values, grid=200, cut=3.0):
+    v = np.asarray(values, dtype=float)
+    if len(v) < 2 or v.std(ddof=1) == 0:
+        return None
+    bw = v.std(ddof=1) * len(v) ** (-0.2)
+    xs = np.linspace(v.min() - cut * bw, v.max() + cut * bw, grid)
+    u = (xs[:, None] - v[None, :]) / bw
+    dens = np.exp(-0.5 * u * u).sum(axis=1) / (len(v) * bw * np.sqrt(2 * np.pi))
+    return xs, dens
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.dictionaries(st.sampled_from(["Q1", "Q2", "Q3", "Q4"]),
+                       st.lists(st.integers(0, 50), min_size=1, max_size=30), min_size=1))
+def test_density_matches_model(spark, per_quartile):
+    rows = [(f"c{i}", q, n) for q, ns in per_quartile.items() for i, n in enumerate(ns)]
+    long = spark.createDataFrame(rows, "country string, quartile string, n long")
+    got = {}
+    for r in quartile_count_density(long).collect():
+        got.setdefault(r.quartile, []).append((r.point, r.x, r.density))
+    for q, ns in per_quartile.items():
+        m = model(ns)
+        if m is None:
+            assert q not in got
+            continue
+        pts = sorted(got[q])
+        assert [p for p, _, _ in pts] == list(range(200))
+        assert np.allclose([x for _, x, _ in pts], m[0], atol=2e-6)
+        assert np.allclose([d for _, _, d in pts], m[1], atol=2e-6)
