@@ -27,6 +27,7 @@ import hashlib
 import os
 import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,8 +87,10 @@ class Workspace:
         self.table_root = table_root
         self._documents = documents
         self._cache: dict[str, DataFrame] = {}
-        # Callers may share a session across threads; each table is written once.
-        self._lock = threading.RLock()
+        # Callers may share a session across threads: one lock per table, so each
+        # table is built and written once while different tables build concurrently.
+        self._locks: dict[str, threading.RLock] = {}
+        self._locks_guard = threading.Lock()
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Workspace":
@@ -116,15 +119,18 @@ class Workspace:
         root = self.table_root or f"{checkpoint_root(self.spark)}/biblioscope-tables"
         return f"{root}/{self.key}/{name}"
 
+    def _lock(self, key: str) -> threading.RLock:
+        with self._locks_guard:
+            return self._locks.setdefault(key, threading.RLock())
+
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         path = self.table_path(name)
-        with self._lock:
-            if not _committed(self.spark, path):
-                df.write.mode("overwrite").parquet(path)
+        if not _committed(self.spark, path):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def _shared(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-        with self._lock:
+        with self._lock(key):
             if key not in self._cache:
                 df = build()
                 self._cache[key] = self._written(df, key) if self.materialize else df
@@ -145,7 +151,7 @@ class Workspace:
     def raw(self, collection: str) -> DataFrame:
         """The landed collection (landing names, ``_id`` included)."""
         key = "landing/" + collection
-        with self._lock:
+        with self._lock(key):
             if key not in self._cache:
                 df = self.loader(collection)
                 if self.materialize and self.land_raw:
@@ -166,7 +172,7 @@ class Workspace:
 
     def cleaned_with_copies(self, collection: str) -> DataFrame:
         """Cleaned rows plus ``_copies`` (landing rows per clean row), written once."""
-        with self._lock:
+        with self._lock(collection):
             if collection not in self._cache:
                 df = clean_with_copies(self.raw(collection), collection)
                 if collection == "articles":
@@ -199,10 +205,13 @@ class Workspace:
         return self._documents()
 
     def prepare(self) -> "Workspace":
-        for c in COLLECTIONS:
-            self.cleaned(c)
+        """Build every table now; independent tables are built by concurrent jobs."""
+        steps = [lambda c=c: self.cleaned(c) for c in COLLECTIONS]
         if self._documents is not None:
-            self.documents()
+            steps.append(self.documents)
+        with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+            for f in [pool.submit(step) for step in steps]:
+                f.result()
         return self
 
 
