@@ -3,10 +3,9 @@
 A k-tuple of countries counts once per doi whose authors' labs cover all k.  The
 distinct country set of each doi is built once (one shuffle by doi), its
 k-combinations are generated inside the row by chained generators, and the
-tuples are counted with a
-partial+final aggregation (one shuffle by tuple, pre-combined map-side).  A doi
-with n distinct countries emits C(n, k) tuples; n is bounded by the number of
-countries, not by the size of the data.
+tuples are counted with a partial+final aggregation (one shuffle by tuple,
+pre-combined map-side).  A doi with n distinct countries emits C(n, k) tuples;
+n is bounded by the number of countries, not by the size of the data.
 """
 
 from __future__ import annotations
