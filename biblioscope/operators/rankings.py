@@ -70,15 +70,23 @@ def quartile_by_country_wide(flat: DataFrame) -> DataFrame:
             .agg(*[F.count_if(q == label).alias(label) for label in QUARTILES]))
 
 
+def wide_to_long(wide: DataFrame) -> DataFrame:
+    """(country, Q1..Q4) melted to (country, quartile, n), zeros included."""
+    return wide.unpivot("country", list(QUARTILES), "quartile", "n")
+
+
 def quartile_by_country_long(flat: DataFrame) -> DataFrame:
     """The wide table melted to (country, quartile, n), zeros included."""
-    return quartile_by_country_wide(flat).unpivot(
-        "country", list(QUARTILES), "quartile", "n")
+    return wide_to_long(quartile_by_country_wide(flat))
 
 
 def quartile_share_by_country(flat: DataFrame, digits: int = 6) -> DataFrame:
     """Share of each quartile in a country's rows (rows of the four quartiles)."""
-    wide = quartile_by_country_wide(flat)
+    return shares_from_wide(quartile_by_country_wide(flat), digits)
+
+
+def shares_from_wide(wide: DataFrame, digits: int = 6) -> DataFrame:
+    """Per country, each quartile's count over the country's four-quartile total."""
     total = sum((F.col(label) for label in QUARTILES), F.lit(0))
     shares = wide.select("country", *[
         F.round(F.try_divide(F.col(label).cast("double"), total), digits).alias(label)

@@ -32,8 +32,13 @@ def _dated(ws: Workspace) -> DataFrame:
     return art.articles_dated(ws.articles())
 
 
+def _country_wide(ws: Workspace) -> DataFrame:
+    """Q1..Q4 counts per country; shared by five results, written once."""
+    return ws.derived("country_quartiles", lambda: rk.quartile_by_country_wide(_flat(ws)))
+
+
 def _country_long(ws: Workspace) -> DataFrame:
-    return rk.quartile_by_country_long(_flat(ws))
+    return rk.wide_to_long(_country_wide(ws))
 
 
 def _doi_countries(ws: Workspace) -> DataFrame:
@@ -72,9 +77,9 @@ RESULTS: dict[str, Result] = {
     "quartile_by_year": lambda ws: rk.quartile_by_year(_flat(ws)),
     "best_quartile_heatmap": lambda ws: rk.best_quartile_heatmap(_flat(ws)),
     "countries_per_quartile": lambda ws: rk.countries_per_quartile(_flat(ws)),
-    "quartile_by_country_wide": lambda ws: rk.quartile_by_country_wide(_flat(ws)),
+    "quartile_by_country_wide": _country_wide,
     "quartile_by_country_long": _country_long,
-    "quartile_share_by_country": lambda ws: rk.quartile_share_by_country(_flat(ws)),
+    "quartile_share_by_country": lambda ws: rk.shares_from_wide(_country_wide(ws)),
     "quartile_count_histogram": lambda ws: dist.quartile_count_histogram(_country_long(ws)),
     "quartile_count_density": lambda ws: dist.quartile_count_density(_country_long(ws)),
     # authors and labs
