@@ -3,7 +3,7 @@
     python -m biblioscope list
     python -m biblioscope run NAME [NAME ...] --out DIR
         (--testdata SF_DIR | --articles P --journaux P --authors-labs P [--format jsonl|json|parquet])
-        [--documents P] [--write-format parquet|json|csv]
+        [--documents P] [--write-format parquet|json|csv] [--refresh]
 
 Each result is written to ``DIR/NAME`` by Spark; nothing passes through the
 driver.  On a cluster, submit with ``spark-submit -m biblioscope`` settings of
@@ -35,6 +35,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--format", default="jsonl", choices=["jsonl", "json", "parquet"])
     run.add_argument("--write-format", default="parquet", choices=["parquet", "json", "csv"])
     run.add_argument("--master")
+    run.add_argument("--refresh", action="store_true",
+                     help="rebuild landed and cleaned tables even if a committed copy exists")
     args = p.parse_args(argv)
 
     if args.cmd == "list":
@@ -45,13 +47,14 @@ def main(argv: list[str] | None = None) -> int:
         p.error(f"unknown results {unknown}; see 'list'")
     spark = build_session(args.master)
     if args.testdata:
-        ws = Workspace.from_testdata(spark, args.testdata)
+        ws = Workspace.from_testdata(spark, args.testdata, refresh=args.refresh)
     else:
         paths = {"articles": args.articles, "journaux": args.journaux,
                  "authors_labs": args.authors_labs}
         if not all(paths.values()):
             p.error("give --testdata or all of --articles --journaux --authors-labs")
-        ws = Workspace.from_landing(spark, paths, args.format, documents_path=args.documents)
+        ws = Workspace.from_landing(spark, paths, args.format, documents_path=args.documents,
+                                    refresh=args.refresh)
     for name in args.names:
         df = RESULTS[name](ws)
         writer = df.write.mode("overwrite")

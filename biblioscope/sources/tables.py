@@ -39,26 +39,45 @@ from biblioscope.sources import testdata
 from biblioscope.sources.landing import read_landing
 
 # Bump when a landing view rule changes, so stale written tables are not reused.
-VIEW_VERSION = "8"
+VIEW_VERSION = "9"
 COLLECTIONS = ("articles", "journaux", "authors_labs")
 
 Loader = Callable[[str], DataFrame]
 
 
-def _fingerprint(*parts: str) -> str:
-    """Hash of the input locations and, for local paths, their file sizes and times."""
-    h = hashlib.sha1(VIEW_VERSION.encode())
-    for part in parts:
-        h.update(part.encode())
-        local = part[len("file:"):] if part.startswith("file:") else part
-        if os.path.isdir(local):
-            for root, _, files in sorted(os.walk(local)):
-                for name in sorted(files):
-                    st = os.stat(os.path.join(root, name))
-                    h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-        elif os.path.isfile(local):
-            st = os.stat(local)
-            h.update(f"{st.st_size}:{int(st.st_mtime)}".encode())
+def _input_signature(spark: SparkSession | None, path: str) -> str:
+    """Size, file count and modification time of an input, from its file system.
+
+    Uses the Hadoop FileSystem of the session (local, HDFS, object stores); a
+    store without directory times still changes length or file count when data
+    is added or replaced.
+    """
+    jvm = getattr(spark, "_jvm", None) if spark is not None else None
+    if jvm is not None:
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(hpath):
+            return f"{path}:missing"
+        summary = fs.getContentSummary(hpath)
+        mtime = fs.getFileStatus(hpath).getModificationTime()
+        return f"{path}:{summary.getLength()}:{summary.getFileCount()}:{mtime}"
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if not os.path.exists(local):
+        return f"{path}:missing"
+    total = count = 0
+    latest = int(os.stat(local).st_mtime)
+    for root, _, files in os.walk(local) if os.path.isdir(local) else [("", [], [local])]:
+        for name in files:
+            st = os.stat(os.path.join(root, name))
+            total, count, latest = total + st.st_size, count + 1, max(latest, int(st.st_mtime))
+    return f"{path}:{total}:{count}:{latest}"
+
+
+def _fingerprint(spark: SparkSession | None, kind: str, *paths: str) -> str:
+    """Hash of the view rules' version and the signature of every input."""
+    h = hashlib.sha1(f"{VIEW_VERSION}:{kind}".encode())
+    for path in paths:
+        h.update(_input_signature(spark, path).encode())
     return h.hexdigest()[:16]
 
 
@@ -78,7 +97,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, loader: Loader, key: str, *,
                  materialize: bool = True, land_raw: bool = True,
                  table_root: str | None = None,
-                 documents: Callable[[], DataFrame] | None = None):
+                 documents: Callable[[], DataFrame] | None = None,
+                 refresh: bool = False):
         self.spark = spark
         self.loader = loader
         self.key = key
@@ -86,6 +106,7 @@ class Workspace:
         self.land_raw = land_raw
         self.table_root = table_root
         self._documents = documents
+        self.refresh = refresh       # rebuild tables even when a committed copy exists
         self._cache: dict[str, DataFrame] = {}
         # Callers may share a session across threads: one lock per table, so each
         # table is built and written once while different tables build concurrently.
@@ -95,8 +116,9 @@ class Workspace:
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Workspace":
         sf_dir = sf_dir.rstrip("/")
+        tables = [f"{os.path.abspath(sf_dir)}/{t}.parquet" for t in testdata.TABLES]
         ws = cls(spark, lambda c: testdata.LANDING_VIEWS[c](spark, sf_dir),
-                 _fingerprint("testdata", os.path.abspath(sf_dir)), **kw)
+                 _fingerprint(spark, "testdata", *tables), **kw)
         ws._documents = lambda: ws.landed("documents", lambda: testdata.documents_landing(spark, sf_dir))
         return ws
 
@@ -111,9 +133,9 @@ class Workspace:
         if documents_path:
             docs = lambda: spark.read.parquet(documents_path)
         kw.setdefault("land_raw", fmt != "parquet")
+        inputs = [paths[c] for c in COLLECTIONS] + ([documents_path] if documents_path else [])
         return cls(spark, lambda c: read_landing(spark, paths[c], c, fmt),
-                   _fingerprint(fmt, *[paths[c] for c in COLLECTIONS]),
-                   documents=docs, **kw)
+                   _fingerprint(spark, fmt, *inputs), documents=docs, **kw)
 
     def table_path(self, name: str) -> str:
         root = self.table_root or f"{checkpoint_root(self.spark)}/biblioscope-tables"
@@ -125,7 +147,7 @@ class Workspace:
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         path = self.table_path(name)
-        if not _committed(self.spark, path):
+        if self.refresh or not _committed(self.spark, path):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 

@@ -61,3 +61,15 @@ def test_cli_list(capsys):
     assert cli(["list"]) == 0
     names = capsys.readouterr().out.split()
     assert set(names) == set(RESULTS) and len(names) == 34
+
+
+def test_fingerprint_follows_the_data(spark, tmp_path):
+    from biblioscope.sources.tables import _fingerprint
+    d = tmp_path / "landing"
+    d.mkdir()
+    (d / "part-0.json").write_text('{"a": 1}\n')
+    first = _fingerprint(spark, "jsonl", str(d))
+    assert first == _fingerprint(spark, "jsonl", str(d))
+    (d / "part-1.json").write_text('{"a": 2}\n')
+    assert _fingerprint(spark, "jsonl", str(d)) != first
+    assert _fingerprint(None, "jsonl", str(d)) != _fingerprint(None, "jsonl", str(d) + "-missing")
