@@ -14,8 +14,15 @@ from biblioscope.functions.quartiles import QUARTILES, quartile_rank
 
 
 def journals_flat(journals: DataFrame) -> DataFrame:
-    """One row per ranking entry; journals without rankings vanish."""
-    return journals.select("journal_name", "issn", "country", F.inline("data"))
+    """One row per ranking entry; journals without rankings vanish.
+
+    ``explode`` plus field access (rather than ``inline``) lets Catalyst prune
+    the nested scan, e.g. to ``data: array<struct<quartile>>`` for the
+    per-country counts.
+    """
+    entries = journals.select("journal_name", "issn", "country", F.explode("data").alias("_e"))
+    return entries.select("journal_name", "issn", "country",
+                          *[F.col("_e")[f].alias(f) for f in ("category", "year", "quartile")])
 
 
 def quartile_counts(flat: DataFrame, key: str) -> DataFrame:
