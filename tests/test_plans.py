@@ -78,3 +78,22 @@ def test_journal_country_aggregates_before_join(plans):
     p = plans["articles_by_journal_country"]
     join_at = p.index("Join")
     assert "partial_count(doi" in p[join_at:]
+
+
+EXPECTED_READ_SCHEMAS = {
+    "keyword_counts": {"struct<keywords:string>"},
+    "articles_by_year": {"struct<extracted_date:string>"},
+    "articles_by_date": {"struct<publication_date:date>"},
+    "articles_by_journal_country": {"struct<doi:string,journal_name:string>",
+                                    "struct<journal_name:string,country:string>"},
+    "top_authors": {"struct<authors_data:array<struct<name:string>>>"},
+    "article_affiliations": {"struct<doi:string,authors_data:array<struct<name:string,labs:array<string>>>>",
+                             "struct<lab:string,country:string>"},
+    "labs_top20": {"struct<lab:string>"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(EXPECTED_READ_SCHEMAS))
+def test_scans_read_only_what_they_use(plans, name):
+    found = set(re.findall(r"ReadSchema: (struct<[^\n]*?>)(?:\n|$|,)", plans[name]))
+    assert found == EXPECTED_READ_SCHEMAS[name]
