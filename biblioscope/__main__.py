@@ -1,6 +1,7 @@
 """Command line: compute named results and write them.
 
     python -m biblioscope list
+    python -m biblioscope explain NAME (--testdata SF_DIR | --articles P ...)
     python -m biblioscope run NAME [NAME ...] --out DIR
         (--testdata SF_DIR | --articles P --journaux P --authors-labs P [--format jsonl|json|parquet])
         [--documents P] [--write-format parquet|json|csv] [--refresh]
@@ -25,18 +26,20 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="cmd", required=True)
     sub.add_parser("list")
     run = sub.add_parser("run")
-    run.add_argument("names", nargs="+")
     run.add_argument("--out", required=True)
-    run.add_argument("--testdata")
-    run.add_argument("--articles")
-    run.add_argument("--journaux")
-    run.add_argument("--authors-labs")
-    run.add_argument("--documents")
-    run.add_argument("--format", default="jsonl", choices=["jsonl", "json", "parquet"])
     run.add_argument("--write-format", default="parquet", choices=["parquet", "json", "csv"])
-    run.add_argument("--master")
-    run.add_argument("--refresh", action="store_true",
-                     help="rebuild landed and cleaned tables even if a committed copy exists")
+    explain = sub.add_parser("explain")
+    for cmd in (run, explain):
+        cmd.add_argument("names", nargs="+")
+        cmd.add_argument("--testdata")
+        cmd.add_argument("--articles")
+        cmd.add_argument("--journaux")
+        cmd.add_argument("--authors-labs")
+        cmd.add_argument("--documents")
+        cmd.add_argument("--format", default="jsonl", choices=["jsonl", "json", "parquet"])
+        cmd.add_argument("--master")
+        cmd.add_argument("--refresh", action="store_true",
+                         help="rebuild landed and cleaned tables even if a committed copy exists")
     args = p.parse_args(argv)
 
     if args.cmd == "list":
@@ -55,6 +58,11 @@ def main(argv: list[str] | None = None) -> int:
             p.error("give --testdata or all of --articles --journaux --authors-labs")
         ws = Workspace.from_landing(spark, paths, args.format, documents_path=args.documents,
                                     refresh=args.refresh)
+    if args.cmd == "explain":
+        for name in args.names:
+            print(f"== {name} ==")
+            RESULTS[name](ws).explain("formatted")
+        return 0
     for name in args.names:
         df = RESULTS[name](ws)
         writer = df.write.mode("overwrite")

@@ -73,3 +73,9 @@ def test_fingerprint_follows_the_data(spark, tmp_path):
     (d / "part-1.json").write_text('{"a": 2}\n')
     assert _fingerprint(spark, "jsonl", str(d)) != first
     assert _fingerprint(None, "jsonl", str(d)) != _fingerprint(None, "jsonl", str(d) + "-missing")
+
+
+def test_cli_explain(capsys):
+    assert cli(["explain", "country_pairs", "--testdata", SF]) == 0
+    out = capsys.readouterr().out
+    assert "== country_pairs ==" in out and "HashAggregate" in out
