@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblioscope.session import checkpoint_root
+
 # Conservative bytes per dimension row when turning the broadcast budget into rows.
 ROW_BYTES_ESTIMATE = 64
 
@@ -74,6 +76,7 @@ def hot_salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str,
                     partitions: int) -> DataFrame:
     # Computed once and cut from the lineage (checkpoint to the shared folder);
     # both join sides then read the same small table.
+    checkpoint_root(fact.sparkSession)   # the cluster's shared folder (set only if unset)
     hot = F.broadcast(hot_keys(fact, keys, partitions).checkpoint())
     payload = [c for c in fact.columns if c not in keys] or fact.columns
     buckets = F.coalesce(F.col("_buckets"), F.lit(1))
