@@ -248,18 +248,26 @@ SELECT quartile, bin,
                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stack_top
 FROM cells""",
     "quartile_count_density": _with("country_wide") + """
-, stats AS (
-  SELECT quartile, count(*) AS cnt, stddev_samp(n) AS sd, min(n) AS vmin, max(n) AS vmax
+, rng AS (SELECT CAST(min(n) AS DOUBLE) AS lo, CAST(max(n) AS DOUBLE) AS hi FROM country_long),
+stats AS (
+  SELECT quartile, count(*) AS cnt, stddev_samp(n) AS sd
   FROM country_long GROUP BY quartile HAVING count(*) >= 2 AND stddev_samp(n) > 0),
 bws AS (SELECT *, sd * pow(CAST(cnt AS DOUBLE), -0.2) AS bw FROM stats),
-sup AS (SELECT *, vmin - 3.0 * bw AS lo, vmax + 3.0 * bw AS hi FROM bws),
 grid AS (SELECT CAST(range AS INTEGER) AS point FROM range(0, 200)),
 pts AS (
-  SELECT s.quartile, g.point, s.lo + (g.point * (s.hi - s.lo)) / 199 AS x, l.n, s.bw, s.cnt
-  FROM sup s JOIN country_long l ON l.quartile = s.quartile CROSS JOIN grid g)
-SELECT quartile, point, round(x, 6) AS x,
-       round(sum(exp(-0.5 * ((x - n) / bw) * ((x - n) / bw)) / (cnt * bw * sqrt(2 * pi()))), 6) AS density
-FROM pts GROUP BY quartile, point, x""",
+  SELECT s.quartile, g.point, r.lo + (g.point * (r.hi - r.lo)) / 199 AS x, l.n, s.bw, s.cnt,
+         (r.hi - r.lo) / 20 AS bin_width
+  FROM bws s JOIN country_long l ON l.quartile = s.quartile CROSS JOIN grid g CROSS JOIN rng r),
+curves AS (
+  SELECT quartile, point, x, cnt, bin_width,
+         sum(exp(-0.5 * ((x - n) / bw) * ((x - n) / bw)) / (cnt * bw * sqrt(2 * pi()))) AS density
+  FROM pts GROUP BY quartile, point, x, cnt, bin_width),
+scaled AS (SELECT *, density * cnt * bin_width AS count_density FROM curves)
+SELECT quartile, point, round(x, 6) AS x, round(density, 6) AS density,
+       round(count_density, 6) AS count_density,
+       round(sum(count_density) OVER (PARTITION BY point ORDER BY quartile
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS stack_top
+FROM scaled""",
     "authors_by_country_top20": _with("authors_labs") + """
 SELECT country, CAST(count(*) AS BIGINT) AS author_count FROM authors_labs
 WHERE country IS NOT NULL GROUP BY country ORDER BY author_count DESC, country LIMIT 20""",

@@ -1,4 +1,4 @@
-"""Kernel density against a direct numpy evaluation of the stated rule."""
+"""Kernel density (histogram-range support, count scaling, stacking) against numpy."""
 
 import numpy as np
 from hypothesis import given, settings
@@ -7,15 +7,23 @@ from hypothesis import strategies as st
 from biblioscope.operators.distributions import quartile_count_density
 
 
-def model(values, grid=200, cut=3.0):
-    v = np.asarray(values, dtype=float)
-    if len(v) < 2 or v.std(ddof=1) == 0:
-        return None
-    bw = v.std(ddof=1) * len(v) ** (-0.2)
-    xs = np.linspace(v.min() - cut * bw, v.max() + cut * bw, grid)
-    u = (xs[:, None] - v[None, :]) / bw
-    dens = np.exp(-0.5 * u * u).sum(axis=1) / (len(v) * bw * np.sqrt(2 * np.pi))
-    return xs, dens
+def model(per_quartile, grid=200, bins=20):
+    """quartile -> (xs, density, count_density, stack_top) on the shared grid."""
+    allv = np.concatenate([np.asarray(v, dtype=float) for v in per_quartile.values()])
+    xs = np.linspace(allv.min(), allv.max(), grid)
+    width = (allv.max() - allv.min()) / bins
+    out, stack = {}, np.zeros(grid)
+    for q in sorted(per_quartile):
+        v = np.asarray(per_quartile[q], dtype=float)
+        if len(v) < 2 or v.std(ddof=1) == 0:
+            continue
+        bw = v.std(ddof=1) * len(v) ** (-0.2)
+        u = (xs[:, None] - v[None, :]) / bw
+        dens = np.exp(-0.5 * u * u).sum(axis=1) / (len(v) * bw * np.sqrt(2 * np.pi))
+        counts = dens * len(v) * width
+        stack = stack + counts
+        out[q] = (xs, dens, counts, stack.copy())
+    return out
 
 
 @settings(max_examples=8, deadline=None)
@@ -26,13 +34,11 @@ def test_density_matches_model(spark, per_quartile):
     long = spark.createDataFrame(rows, "country string, quartile string, n long")
     got = {}
     for r in quartile_count_density(long).collect():
-        got.setdefault(r.quartile, []).append((r.point, r.x, r.density))
-    for q, ns in per_quartile.items():
-        m = model(ns)
-        if m is None:
-            assert q not in got
-            continue
+        got.setdefault(r.quartile, []).append((r.point, r.x, r.density, r.count_density, r.stack_top))
+    want = model(per_quartile)
+    assert set(got) == set(want)
+    for q, (xs, dens, counts, tops) in want.items():
         pts = sorted(got[q])
-        assert [p for p, _, _ in pts] == list(range(200))
-        assert np.allclose([x for _, x, _ in pts], m[0], atol=2e-6)
-        assert np.allclose([d for _, _, d in pts], m[1], atol=2e-6)
+        assert [p[0] for p in pts] == list(range(200))
+        for col, ref in ((1, xs), (2, dens), (3, counts), (4, tops)):
+            assert np.allclose([p[col] for p in pts], ref, atol=2e-6), (q, col)

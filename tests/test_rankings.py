@@ -73,12 +73,16 @@ def test_histogram_edges_and_max_in_last_bin(spark):
     assert h[0] == 1 and sum(h.values()) == 21
 
 
-def test_density_integrates_to_one(spark):
-    data = [("c%d" % i, "Q1", v) for i, v in enumerate([1, 2, 2, 3, 7, 9])] + [("x", "Q2", 5)]
+def test_density_on_the_histogram_range(spark):
+    data = [("c%d" % i, "Q1", v) for i, v in enumerate([1, 2, 2, 3, 7, 9])] + \
+           [("d%d" % i, "Q2", v) for i, v in enumerate([0, 12, 4])] + [("x", "Q3", 5)]
     d = quartile_count_density(long_df(spark, data)).collect()
-    assert {r.quartile for r in d} == {"Q1"}          # one value: no curve
-    pts = sorted((r.x, r.density) for r in d)
-    assert len(pts) == 200
-    step = pts[1][0] - pts[0][0]
-    area = sum(p[1] for p in pts) * step
-    assert abs(area - 1) < 0.02
+    assert {r.quartile for r in d} == {"Q1", "Q2"}          # one value: no curve
+    q1 = sorted((r.point, r.x, r.density, r.count_density, r.stack_top) for r in d if r.quartile == "Q1")
+    q2 = {r.point: r for r in d if r.quartile == "Q2"}
+    assert len(q1) == 200 and q1[0][1] == 0.0 and q1[-1][1] == 12.0   # shared range of all values
+    bin_width = 12 / 20
+    for point, x, dens, cnt_dens, top in q1:
+        assert abs(cnt_dens - dens * 6 * bin_width) < 1e-5
+        assert abs(top - cnt_dens) < 1e-5                  # Q1 is the bottom of the stack
+        assert abs(q2[point].stack_top - (cnt_dens + q2[point].count_density)) < 1e-5
