@@ -137,6 +137,24 @@ class Workspace:
         return cls(spark, lambda c: read_landing(spark, paths[c], c, fmt),
                    _fingerprint(spark, fmt, *inputs), documents=docs, **kw)
 
+    @classmethod
+    def from_dataframes(cls, spark: SparkSession, frames: dict[str, DataFrame],
+                        documents: DataFrame | None = None, version: str | None = None,
+                        **kw) -> "Workspace":
+        """Collections that are already DataFrames (landing names, ``_id`` optional).
+
+        DataFrames cannot be fingerprinted, so the workspace stays lazy unless
+        the caller names a ``version`` of the data; with one, tables are written
+        once under that key like any other input.
+        """
+        missing = set(COLLECTIONS) - set(frames)
+        if missing:
+            raise ValueError(f"frames missing for {sorted(missing)}")
+        kw.setdefault("materialize", version is not None)
+        key = hashlib.sha1(f"{VIEW_VERSION}:frames:{version}".encode()).hexdigest()[:16]
+        return cls(spark, lambda c: frames[c], key,
+                   documents=(lambda: documents) if documents is not None else None, **kw)
+
     def table_path(self, name: str) -> str:
         root = self.table_root or f"{checkpoint_root(self.spark)}/biblioscope-tables"
         return f"{root}/{self.key}/{name}"

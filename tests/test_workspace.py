@@ -79,3 +79,15 @@ def test_cli_explain(capsys):
     assert cli(["explain", "country_pairs", "--testdata", SF]) == 0
     out = capsys.readouterr().out
     assert "== country_pairs ==" in out and "HashAggregate" in out
+
+
+def test_from_dataframes_matches_testdata(spark, landed):
+    base, _, d = landed
+    frames = {c: base.raw(c) for c in COLLECTIONS}
+    lazy = Workspace.from_dataframes(spark, frames)
+    assert not lazy.materialize
+    written = Workspace.from_dataframes(spark, frames, version="v1", table_root=os.path.join(d, "frames"))
+    for name in ("country_pairs", "quartile_by_country_wide", "cleaning_report"):
+        want = as_set(RESULTS[name](base))
+        assert as_set(RESULTS[name](lazy)) == want
+        assert as_set(RESULTS[name](written)) == want
