@@ -3,7 +3,7 @@
 from collections import Counter
 from itertools import combinations
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from biblioscope.operators.collaboration import country_collaborations
@@ -38,7 +38,8 @@ def model(articles, labs, k):
     return {combo + (n,) for combo, n in counts.items()}
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=10, deadline=None,
+          suppress_health_check=[HealthCheck.too_slow, HealthCheck.data_too_large])
 @given(st.lists(article, max_size=25), st.lists(affiliation, min_size=1, max_size=15),
        st.sampled_from([2, 3]), st.booleans())
 def test_tuples_match_brute_force(spark, articles, labs, k, salted):

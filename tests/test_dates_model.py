@@ -9,7 +9,7 @@ volume prefixes, ranges, junk and years 0000-2999.
 import datetime as dt
 import re
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from biblioscope.operators.articles import articles_dated
@@ -64,7 +64,8 @@ piece = st.one_of(
 raw_date = st.one_of(st.none(), st.tuples(junk, piece, junk).map("".join))
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=6, deadline=None,
+          suppress_health_check=[HealthCheck.too_slow, HealthCheck.data_too_large])
 @given(st.lists(raw_date, min_size=50, max_size=150))
 def test_cascade_matches_model(spark, raws):
     rows = [{"doi": str(i), "publication_date": r} for i, r in enumerate(raws)]

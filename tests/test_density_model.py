@@ -1,7 +1,7 @@
 """Kernel density (histogram-range support, count scaling, stacking) against numpy."""
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from biblioscope.operators.distributions import quartile_count_density
@@ -26,7 +26,8 @@ def model(per_quartile, grid=200, bins=20):
     return out
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.too_slow, HealthCheck.data_too_large])
 @given(st.dictionaries(st.sampled_from(["Q1", "Q2", "Q3", "Q4"]),
                        st.lists(st.integers(0, 50), min_size=1, max_size=30), min_size=1))
 def test_density_matches_model(spark, per_quartile):

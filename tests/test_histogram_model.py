@@ -1,7 +1,7 @@
 """Histogram bins against numpy's equal-width histogram over the shared range."""
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from biblioscope.operators.distributions import quartile_count_histogram
@@ -9,7 +9,8 @@ from biblioscope.operators.distributions import quartile_count_histogram
 QS = ["Q1", "Q2", "Q3", "Q4"]
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=10, deadline=None,
+          suppress_health_check=[HealthCheck.too_slow, HealthCheck.data_too_large])
 @given(st.lists(st.tuples(st.sampled_from(QS), st.integers(0, 60)), min_size=1, max_size=80))
 def test_bins_match_numpy(spark, cells):
     long = spark.createDataFrame([(f"c{i}", q, n) for i, (q, n) in enumerate(cells)],

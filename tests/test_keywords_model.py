@@ -3,7 +3,7 @@ distinct per article, count articles per keyword."""
 
 from collections import Counter
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from biblioscope.operators.keywords import keyword_count_table
@@ -22,7 +22,8 @@ def model(raws):
     return dict(counts)
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.too_slow, HealthCheck.data_too_large])
 @given(st.lists(keywords, min_size=20, max_size=120))
 def test_keyword_counts_match_model(spark, raws):
     rows = [{"doi": str(i), "keywords": r} for i, r in enumerate(raws)]
