@@ -91,3 +91,15 @@ def test_from_dataframes_matches_testdata(spark, landed):
         want = as_set(RESULTS[name](base))
         assert as_set(RESULTS[name](lazy)) == want
         assert as_set(RESULTS[name](written)) == want
+
+
+def test_parquet_landing_read_in_place(spark, landed):
+    base, paths, d = landed
+    pq = {}
+    for c in COLLECTIONS:
+        pq[c] = os.path.join(d, f"pq-{c}")
+        write_landing(base.raw(c), pq[c], "parquet")
+    ws = Workspace.from_landing(spark, pq, "parquet", table_root=os.path.join(d, "tables-pq"))
+    assert not ws.land_raw
+    for name in ("country_triples", "best_quartile_heatmap", "articles_by_year_month"):
+        assert as_set(RESULTS[name](ws)) == as_set(RESULTS[name](base))
