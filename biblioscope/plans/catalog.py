@@ -9,6 +9,7 @@ writes or shows the result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -98,6 +99,22 @@ RESULTS: dict[str, Result] = {
 }
 
 
+# Tables derived once per workspace and read by several results.
+SHARED: dict[str, Result] = {
+    "doi_countries": _doi_countries,
+    "country_quartiles": _country_wide,
+}
+
+
+def prepare(ws: Workspace) -> Workspace:
+    """Build the cleaned tables, then the shared derived tables (concurrent jobs)."""
+    ws.prepare()
+    with ThreadPoolExecutor(max_workers=len(SHARED)) as pool:
+        for f in [pool.submit(build, ws) for build in SHARED.values()]:
+            f.result()
+    return ws
+
+
 def _over_testdata(result: Result) -> Query:
     return lambda spark, sf_dir: result(workspace(spark, sf_dir))
 
