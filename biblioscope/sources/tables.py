@@ -256,13 +256,18 @@ class Workspace:
         return self
 
 
-_WORKSPACES: dict[tuple[int, str, bool], Workspace] = {}
+_WORKSPACES: dict[tuple[int, str, str, bool], Workspace] = {}
 _WORKSPACES_LOCK = threading.Lock()
 
 
+def _session_key(spark: SparkSession) -> tuple[int, str]:
+    # The application id changes when a stopped context is replaced.
+    return id(spark), spark.sparkContext.applicationId
+
+
 def workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Workspace:
     """One test-table workspace per (session, folder), so cleaning runs once."""
-    key = (id(spark), os.path.abspath(sf_dir), materialize)
+    key = (*_session_key(spark), os.path.abspath(sf_dir), materialize)
     with _WORKSPACES_LOCK:
         if key not in _WORKSPACES:
             _WORKSPACES[key] = Workspace.from_testdata(spark, sf_dir, materialize=materialize)
@@ -271,5 +276,5 @@ def workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Wor
 
 def register_workspace(ws: Workspace, sf_dir: str) -> Workspace:
     """Make ``ws`` the one ``workspace(spark, sf_dir)`` returns."""
-    _WORKSPACES[(id(ws.spark), os.path.abspath(sf_dir), ws.materialize)] = ws
+    _WORKSPACES[(*_session_key(ws.spark), os.path.abspath(sf_dir), ws.materialize)] = ws
     return ws
