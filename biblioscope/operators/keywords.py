@@ -32,11 +32,31 @@ def top_keywords(articles: DataFrame, k: int = 10) -> DataFrame:
     return keyword_counts(articles).limit(k)
 
 
-def word_frequencies(texts: DataFrame, column: str) -> DataFrame:
-    """Occurrences of each word over all texts (whole texts, no prefixes)."""
-    return (texts
-            .select(F.explode(word_tokens(F.col(column))).alias("word"))
-            .where(~is_stop_word(F.col("word")))
+def word_frequencies(texts: DataFrame, column: str, bigrams: bool = False) -> DataFrame:
+    """Occurrences of each word over all texts (whole texts, no prefixes).
+
+    With ``bigrams``, each pair of adjacent words in a text in which neither is a
+    stop word also counts, as ``"first second"``.  The token array is zipped with
+    itself shifted by one and exploded once, so the work stays linear in the
+    text length.
+    """
+    tokens = texts.select(word_tokens(F.col(column)).alias("_t"))
+    if not bigrams:
+        return (tokens
+                .select(F.explode("_t").alias("word"))
+                .where(~is_stop_word(F.col("word")))
+                .groupBy("word")
+                .agg(F.count(F.lit(1)).alias("n")))
+    t = F.col("_t")
+    following = F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+    pairs = tokens.select(F.explode(F.arrays_zip(t.alias("w"), following.alias("nxt"))).alias("p"))
+    w, nxt = F.col("p.w"), F.col("p.nxt")
+    keep = ~is_stop_word(w)
+    terms = F.array(F.when(keep, w),
+                    F.when(keep & nxt.isNotNull() & ~is_stop_word(nxt), F.concat_ws(" ", w, nxt)))
+    return (pairs
+            .select(F.explode(terms).alias("word"))
+            .where(F.col("word").isNotNull())
             .groupBy("word")
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -46,18 +66,18 @@ def top_words(freq: DataFrame, k: int = WORD_CLOUD_SIZE) -> DataFrame:
     return freq.orderBy(F.desc("n"), "word").limit(k)
 
 
-def keyword_words(articles: DataFrame, k: int = WORD_CLOUD_SIZE) -> DataFrame:
+def keyword_words(articles: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams: bool = False) -> DataFrame:
     """Words of the distinct keywords, each keyword weighted once."""
     distinct_keywords = keyword_count_table(articles).select("keyword")
-    return top_words(word_frequencies(distinct_keywords, "keyword"), k)
+    return top_words(word_frequencies(distinct_keywords, "keyword", bigrams), k)
 
 
-def category_words(journals_flat: DataFrame, k: int = WORD_CLOUD_SIZE) -> DataFrame:
+def category_words(journals_flat: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams: bool = False) -> DataFrame:
     """Words of every non-null category of the flattened rankings."""
     cats = journals_flat.where(F.col("category").isNotNull()).select("category")
-    return top_words(word_frequencies(cats, "category"), k)
+    return top_words(word_frequencies(cats, "category", bigrams), k)
 
 
-def document_words(documents: DataFrame, k: int = WORD_CLOUD_SIZE) -> DataFrame:
+def document_words(documents: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams: bool = False) -> DataFrame:
     """Words of full document texts."""
-    return top_words(word_frequencies(documents.select("text"), "text"), k)
+    return top_words(word_frequencies(documents.select("text"), "text", bigrams), k)
