@@ -70,3 +70,16 @@ def test_parquet_landing_with_numeric_year(spark):
     got = journals_flat(canonicalize(read_landing(spark, os.path.join(d, "j"), "journaux", "parquet"), "journaux"))
     assert [tuple(r) for r in got.collect()] == [("J", "I", "FR", "Math", 2020, "Q1")]
     assert dict(got.dtypes)["year"] == "int"
+
+
+def test_json_landing_with_numeric_and_string_years(spark):
+    from biblioscope.operators.rankings import journals_flat
+    d = tempfile.mkdtemp(prefix="bs-landing-")
+    p = os.path.join(d, "j.json")
+    with open(p, "w") as f:
+        json.dump([{"_id": "1", "Journal Name": "J", "ISSN": "I", "Country": "FR",
+                    "Data": [{"Category": "Math", "Year": 2020, "Quartile": "Q1"},
+                             {"Category": "CS", "Year": "2021", "Quartile": "Q2"}]}], f)
+    got = journals_flat(canonicalize(read_landing(spark, p, "journaux", "json"), "journaux"))
+    assert sorted(tuple(r) for r in got.collect()) == [("J", "I", "FR", "CS", 2021, "Q2"),
+                                                       ("J", "I", "FR", "Math", 2020, "Q1")]
