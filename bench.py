@@ -3,8 +3,8 @@
 The cleaned collections and the shared derived tables are written once
 ("prepare", timed on its own, into a fresh folder under the shared checkpoint
 folder).  Then each result is forced in
-full with a ``noop`` write - no collect - once cold, then twice warm (the best
-warm run is kept, to damp machine noise).  Prints one JSON line; ``value`` is the
+full with a ``noop`` write - no collect - once cold, then ``WARM_RUNS`` times warm
+(the best warm run is kept, to damp machine noise).  Prints one JSON line; ``value`` is the
 sum of the warm per-query times.
 """
 
@@ -23,6 +23,9 @@ from biblioscope.session import build_session, checkpoint_root  # noqa: E402
 from biblioscope.sources.tables import Workspace, register_workspace  # noqa: E402
 
 
+WARM_RUNS = 3
+
+
 def force(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -48,7 +51,7 @@ def main() -> None:
         force(fn(spark, sf_dir))
         cold[name] = round(time.perf_counter() - t0, 3)
         runs = []
-        for _ in range(2):
+        for _ in range(WARM_RUNS):
             t0 = time.perf_counter()
             force(fn(spark, sf_dir))
             runs.append(time.perf_counter() - t0)
