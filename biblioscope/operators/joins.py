@@ -12,11 +12,11 @@ Beyond the bound the join is a shuffle join in which only hot keys are salted:
    combined).  With ``P`` shuffle partitions, at most ``P`` keys can each hold
    more than ``1/P`` of the rows - the hot-key table has a proven size bound and
    is broadcast;
-2. a hot key holding share ``s`` of the rows gets ``ceil(s * P)`` salt buckets;
+2. a hot key holding share ``s`` of the rows gets ``ceil(2 * s * P)`` salt buckets;
    its fact rows take a salt from a hash of their own columns (not ``rand()``, so
    a recomputed task after an executor loss yields the same rows), and its
    dimension rows are replicated once per bucket;
-3. all other keys keep salt 0, so the dimension grows by at most about ``P``
+3. all other keys keep salt 0, so the dimension grows by at most about ``2P``
    rows in total, and one shuffle join on ``(key, salt)`` finishes the work.
 
 A lab holding a third of all rows is then spread over a third of the reducers
@@ -60,7 +60,14 @@ def dimension_fits(dim: DataFrame, max_rows: int) -> bool:
     return dim.limit(max_rows + 1).count() <= max_rows
 
 
-def hot_keys(fact: DataFrame, keys: list[str], partitions: int) -> DataFrame:
+# Buckets per hot key = ceil(spread * share * partitions): each bucket then holds at
+# most 1/spread of a partition's fair share, which absorbs hash collisions of
+# buckets onto the same partition.
+HOT_KEY_SPREAD = 2
+
+
+def hot_keys(fact: DataFrame, keys: list[str], partitions: int,
+             spread: int = HOT_KEY_SPREAD) -> DataFrame:
     """Keys holding more than ``1/partitions`` of the fact rows, with their bucket count.
 
     At most ``partitions`` rows by construction.
@@ -68,8 +75,9 @@ def hot_keys(fact: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.select(F.sum("_rows")).scalar()
     share = counts.select(*keys, "_rows", total.alias("_total"))
+    buckets = F.ceil(F.col("_rows") * (spread * partitions) / F.col("_total")).cast("int")
     return (share.where(F.col("_rows") * partitions > F.col("_total"))
-            .select(*keys, F.ceil(F.col("_rows") * partitions / F.col("_total")).cast("int").alias("_buckets")))
+            .select(*keys, buckets.alias("_buckets")))
 
 
 def hot_salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str,
