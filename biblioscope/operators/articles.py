@@ -39,9 +39,14 @@ def date_counts(dated: DataFrame) -> DataFrame:
     return dated.groupBy("publication_date").agg(F.count(F.lit(1)).alias("article_count"))
 
 
+def order_by_date(counts: DataFrame) -> DataFrame:
+    """Date counts in date order, the null group first."""
+    return counts.orderBy(F.asc_nulls_first("publication_date"))
+
+
 def articles_by_date(dated: DataFrame) -> DataFrame:
     """``date_counts`` in date order, the null group first."""
-    return date_counts(dated).orderBy(F.asc_nulls_first("publication_date"))
+    return order_by_date(date_counts(dated))
 
 
 def series_positions(series: DataFrame, date_col: str) -> DataFrame:
@@ -73,7 +78,12 @@ def articles_by_date_frames(dated: DataFrame) -> DataFrame:
     whole series.  The expanded form (one copy of each point per frame) is
     quadratic in the series length and is not materialised.
     """
-    return (series_positions(date_counts(dated), "publication_date")
+    return frames_from_counts(date_counts(dated))
+
+
+def frames_from_counts(counts: DataFrame) -> DataFrame:
+    """Frames (``first_frame``) from per-date counts."""
+    return (series_positions(counts, "publication_date")
             .withColumnRenamed("position", "first_frame"))
 
 

@@ -33,6 +33,11 @@ def _dated(ws: Workspace) -> DataFrame:
     return art.articles_dated(ws.articles())
 
 
+def _date_counts(ws: Workspace) -> DataFrame:
+    """Articles per parsed date (one row per date); shared by two results, written once."""
+    return ws.derived("date_counts", lambda: art.date_counts(_dated(ws)))
+
+
 def _country_wide(ws: Workspace) -> DataFrame:
     """Q1..Q4 counts per country; shared by five results, written once."""
     return ws.derived("country_quartiles", lambda: rk.quartile_by_country_wide(_flat(ws)))
@@ -90,8 +95,8 @@ RESULTS: dict[str, Result] = {
     "distinct_authors": lambda ws: art.distinct_authors(ws.articles()),
     # article counts
     "articles_by_year": lambda ws: art.articles_by_year(_dated(ws)),
-    "articles_by_date": lambda ws: art.articles_by_date(_dated(ws)),
-    "articles_by_date_frames": lambda ws: art.articles_by_date_frames(_dated(ws)),
+    "articles_by_date": lambda ws: art.order_by_date(_date_counts(ws)),
+    "articles_by_date_frames": lambda ws: art.frames_from_counts(_date_counts(ws)),
     "articles_by_year_month": lambda ws: art.articles_by_year_month(_dated(ws)),
     "articles_by_year_month_wide": lambda ws: art.articles_by_year_month_wide(_dated(ws)),
     "articles_by_journal": lambda ws: art.articles_by_journal(ws.articles()),
@@ -103,6 +108,7 @@ RESULTS: dict[str, Result] = {
 SHARED: dict[str, Result] = {
     "doi_countries": _doi_countries,
     "country_quartiles": _country_wide,
+    "date_counts": _date_counts,
 }
 
 
