@@ -83,7 +83,7 @@ def test_journal_country_aggregates_before_join(plans):
 EXPECTED_READ_SCHEMAS = {
     "keyword_counts": {"struct<keywords:string>"},
     "articles_by_year": {"struct<extracted_date:string>"},
-    "articles_by_date": {"struct<publication_date:date>"},
+    "articles_by_date": {"struct<publication_date:date,article_count:bigint>"},   # shared per-date table
     "articles_by_journal_country": {"struct<doi:string,journal_name:string>",
                                     "struct<journal_name:string,country:string>"},
     "top_authors": {"struct<authors_data:array<struct<name:string>>>"},
