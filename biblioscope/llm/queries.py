@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biblioscope.llm import fingerprints, line_dedup, mixing, packing, repetition, resampling
+from biblioscope.llm import arc_convert, fingerprints, jaccard_join, line_dedup, mixing, packing, repetition, resampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (arc_convert.round_trip(table(spark, sf_dir, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +42,13 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (jaccard_join.join_components(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_shingles", "component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_line_dedup, op4_resampling, op5_fingerprints, op6_mixing, op9_repetition)}
+    f.__name__: f for f in (op1_packing, op2_line_dedup, op3_arc_convert, op4_resampling, op5_fingerprints, op6_mixing, op9_repetition,
+                                op10_jaccard_join)}
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op3_arc_convert": arc_convert.ORACLE, "op6_mixing": mixing.ORACLE}

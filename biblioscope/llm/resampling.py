@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioscope.llm import textnp as T
-from biblioscope.llm.tables import written
+from biblioscope.llm.tables import lookup, written
 
 BUCKETS = 1 << 18
 PRIOR = 2.0
@@ -151,3 +151,10 @@ def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     last, _ = kth_largest(tied.select((-F.col("doc_id").cast("double")).alias("neg")).na.fill(float("inf")), "neg", k - above)
     own = F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf")))
     return scored.withColumn("kept", (F.col("gumbel_key") > value) | ((F.col("gumbel_key") == value) & (own >= last)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``docs`` without the rejected rows."""
+    verdict = resample(docs, labels, max_labelled)
+    gone = written(verdict.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return lookup(docs, gone, "gone", F.xxhash64("text"), how="left_anti", left_key="doc_id")

@@ -38,20 +38,22 @@ SALTS = 16
 
 
 def lookup(facts: DataFrame, table: DataFrame, key: str, spread: Column, how: str = "left",
-           broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``facts`` with the columns of ``table`` (one row per ``key``, null matches null).
+           left_key: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``facts`` joined to ``table`` (one row per ``key``; null matches null).
 
     ``table`` must be a written table: its bytes are measured, and it is broadcast
     only within ``broadcast_bytes``.  Beyond that a fact row takes one of ``SALTS``
     salts from ``spread`` (a hash of its other columns) and ``table`` is copied once
     per salt, so a key with a third of all rows is dealt to ``SALTS`` tasks.
     """
+    left_key = left_key or key
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(16))
     size = table.agg(F.sum(width)).first()[0] or 0
     right = table.withColumnRenamed(key, "_key")
     if size <= broadcast_bytes:
-        return facts.join(F.broadcast(right), facts[key].eqNullSafe(right["_key"]), how).drop("_key")
-    left = facts.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
-    right = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt_r"]), how)
-            .drop("_key", "_salt", "_salt_r"))
+        out = facts.join(F.broadcast(right), facts[left_key].eqNullSafe(right["_key"]), how)
+    else:
+        left = facts.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
+        right = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = left.join(right, left[left_key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt_r"]), how)
+    return out.drop("_key", "_salt", "_salt_r")
