@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biblioscope.llm import arc_convert, fingerprints, jaccard_join, katz, line_dedup, mixing, packing, repetition, resampling
+from biblioscope.llm import (arc_convert, fingerprints, jaccard_join, katz, line_dedup, mixing, packing, repetition,
+                             resampling, substring_dedup)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_line_dedup, op3_arc_convert, op4_resampling, op5_fingerprints, op6_mixing, op7_katz, op9_repetition,
+    f.__name__: f for f in (op1_packing, op2_line_dedup, op3_arc_convert, op4_resampling, op5_fingerprints, op6_mixing, op7_katz, op8_substring_dedup, op9_repetition,
                                 op10_jaccard_join)}
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op3_arc_convert": arc_convert.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op3_arc_convert": arc_convert.ORACLE, "op6_mixing": mixing.ORACLE,
+                              "op8_substring_dedup": substring_dedup.ORACLE}
