@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from biblioscope.llm import blocks as B
 from biblioscope.llm import textnp as T
-from biblioscope.llm.tables import parts, written
+from biblioscope.llm.tables import key_buckets, parts, written
 
 MIN_COUNT = 2
 LARGEST = 5                 # counts up to this are discounted
@@ -280,7 +280,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> tuple[DataFrame, Model, int]:
     """Totals for every block (a written table), the model's few numbers, and the number of training texts."""
     spark = docs.sparkSession
-    n = parts(spark)
+    n = key_buckets(spark)
     totals = written(B.by_bucket(docs.mapInArrow(_ask(n), B.ROW), n, _total), "totals")
     stats = sum((np.frombuffer(r["a"], "<i8").reshape(2, -1) for r in totals.where(F.col("kind") == STATS).select("a").collect()),
                 np.zeros((2, LARGEST + 4), np.int64))          # one row a bucket
@@ -291,11 +291,11 @@ def train(docs: DataFrame) -> tuple[DataFrame, Model, int]:
 
 def score(docs: DataFrame) -> DataFrame:
     """Every text's score under the model trained on the folds that are not held out."""
-    rows, n = _rows(docs), parts(docs.sparkSession)
+    rows, n, buckets = _rows(docs), parts(docs.sparkSession), key_buckets(docs.sparkSession)
     totals, model, starts = train(rows)
     answers = totals.where(F.col("kind") != STATS)
-    asked = B.with_texts(rows, answers, n, _score(model, starts, n), B.ROW)
-    weighed = B.by_bucket(asked, n, _back_off)
+    asked = B.with_texts(rows, answers, n, _score(model, starts, buckets), B.ROW)
+    weighed = B.by_bucket(asked, buckets, _back_off)
     return (weighed.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_finish(model), SCORES))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from biblioscope.llm import blocks as B
 from biblioscope.llm import textnp as T
 from biblioscope.llm.fm_index import FMIndex
-from biblioscope.llm.tables import parts, written
+from biblioscope.llm.tables import key_buckets, parts, written
 
 WINDOW = 20
 GRAM = 8
@@ -278,10 +278,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Marks of all repeated windows, by block: a written table."""
-    n = parts(docs.sparkSession)
-    answers = written(B.by_bucket(docs.mapInArrow(_ask(n, window, gram), B.ROW), n, _repeated), "grams")
-    cut = B.with_texts(docs, answers, n, _segments(n, window, gram), B.ROW)
-    return written(B.by_bucket(cut, n, _match(window)), "marks")
+    n, buckets = parts(docs.sparkSession), key_buckets(docs.sparkSession)
+    answers = written(B.by_bucket(docs.mapInArrow(_ask(buckets, window, gram), B.ROW), buckets, _repeated), "grams")
+    cut = B.with_texts(docs, answers, n, _segments(buckets, window, gram), B.ROW)
+    return written(B.by_bucket(cut, buckets, _match(window)), "marks")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

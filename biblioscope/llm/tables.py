@@ -29,6 +29,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def key_buckets(spark: SparkSession) -> int:
+    """Buckets of a packed key exchange: a task sorts a bucket's keys in memory."""
+    return 2 * parts(spark)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
