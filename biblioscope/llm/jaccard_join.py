@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from biblioscope.llm import textnp as T
 from biblioscope.llm.components import components
-from biblioscope.llm.tables import lookup, parts, written
+from biblioscope.llm.tables import key_buckets, lookup, parts, written
 
 SHINGLE = 3
 PERCENT = 90
-BLOCK = 1 << 21             # shingles packed at a time
+BLOCK = 1 << 19             # shingles packed at a time
 COUNT_BITS = 48             # of a hash, for counting: a collision only keeps a set in play
 
 PACKED = "bucket int, block long, kind int, a binary, b binary, c binary, d binary"
@@ -171,9 +171,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def members(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, set_id, set size and number of shingles shared with other sets, of every document."""
-    n = parts(docs.sparkSession)
-    packed = docs.mapInArrow(_packer(shingle, n), PACKED)
-    counted = packed.repartitionById(n, F.col("bucket")).mapInArrow(_count_shared, PACKED)
+    n, buckets = parts(docs.sparkSession), key_buckets(docs.sparkSession)
+    packed = docs.mapInArrow(_packer(shingle, buckets), PACKED)
+    counted = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_count_shared, PACKED)
     return counted.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_gather, MEMBERS)
 
 
@@ -285,10 +285,9 @@ def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group: the smallest id; rows without words or id stay.
+    """``docs`` with one document of each group: the smallest id; rows without words or id stay.
 
-    Of rows that share the kept id (repeated rows) all but one go too, unless their
-    texts have no words.
+    Repeated rows of the id that is kept are one document and stay.
     """
     found = join_components(docs, shingle, percent)
     gone = written(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
