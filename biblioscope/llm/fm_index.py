@@ -28,7 +28,7 @@ class Bits:
 
 
 class FMIndex:
-    """Index of ``text`` (integers from 0; 0 separates segments and is in no pattern)."""
+    """Index of ``text`` (integers from 0; 0 ends every segment and is in no pattern)."""
 
     def __init__(self, text: np.ndarray, depth: int):
         n = len(text)

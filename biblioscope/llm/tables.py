@@ -54,11 +54,14 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, spread: Column, how: st
     left_key = left_key or key
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(16))
     size = table.agg(F.sum(width)).first()[0] or 0
-    right = table.withColumnRenamed(key, "_key")
+    taken = {c.lower() for c in facts.columns + table.columns}
+    joined, salt, copy = (next(n for n in (f"{base}_{i}" for i in range(len(taken) + 1)) if n not in taken)
+                          for base in ("lookup_key", "lookup_salt", "lookup_copy"))
+    right = table.withColumnRenamed(key, joined)
     if size <= broadcast_bytes:
-        out = facts.join(F.broadcast(right), facts[left_key].eqNullSafe(right["_key"]), how)
+        out = facts.join(F.broadcast(right), facts[left_key].eqNullSafe(right[joined]), how)
     else:
-        left = facts.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
-        right = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = left.join(right, left[left_key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt_r"]), how)
-    return out.drop("_key", "_salt", "_salt_r")
+        left = facts.withColumn(salt, F.pmod(spread, F.lit(SALTS)).cast("int"))
+        right = right.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = left.join(right, left[left_key].eqNullSafe(right[joined]) & (left[salt] == right[copy]), how)
+    return out.drop(joined, salt, copy)
