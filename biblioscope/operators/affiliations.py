@@ -47,8 +47,8 @@ def article_countries(articles: DataFrame, authors_labs: DataFrame, **join_opts)
     author list reaches its reducer as at most one set per map task.
     """
     labs = (article_author_labs(articles)
-            .where(F.col("doi").isNotNull())
-            .select("doi", "lab"))
+            .where(F.col("doi").isNotNull() & F.col("lab").isNotNull())
+            .select("doi", "lab").distinct())
     return (join_dimension(labs, lab_countries(authors_labs).where(F.col("country").isNotNull()),
                            "lab", "inner", **join_opts)
             .groupBy("doi")

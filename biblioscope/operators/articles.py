@@ -115,20 +115,21 @@ def articles_by_journal_country(articles: DataFrame, journals: DataFrame,
     """Articles per country of their journal (inner join on journal name).
 
     A journal name listed on several journal rows counts its articles once per
-    row.  Articles are first reduced to one count per journal name, so the join
-    carries one row per journal instead of one per article.  With
-    ``null_safe=True`` a null name matches a null name.
+    row.  Both sides are counted before the join - articles per journal name,
+    journal rows per name and country - so a name that holds a large share of
+    either side is one row per country.  With ``null_safe=True`` a null name
+    matches a null name.
     """
     per_name = articles
     if not null_safe:
         per_name = per_name.where(F.col("journal_name").isNotNull())
     per_name = per_name.groupBy("journal_name").agg(F.count("doi").alias("article_count"))
-    jr = journals.select(F.col("journal_name").alias("_jn"), "country")
+    jr = (journals.where(F.col("country").isNotNull())
+          .groupBy(F.col("journal_name").alias("_jn"), "country").agg(F.count(F.lit(1)).alias("_rows")))
     cond = (per_name["journal_name"].eqNullSafe(jr["_jn"]) if null_safe
             else per_name["journal_name"] == jr["_jn"])
     return (per_name.join(jr, cond)
-            .where(F.col("country").isNotNull())
-            .groupBy("country").agg(F.sum("article_count").alias("article_count"))
+            .groupBy("country").agg(F.sum(F.col("article_count") * F.col("_rows")).alias("article_count"))
             .orderBy(F.desc("article_count"), "country"))
 
 

@@ -1,6 +1,6 @@
 """Joining a large fact side to a dimension whose size is checked, not assumed.
 
-``join_dimension`` first counts the dimension (it stops past the bound).  Within
+``join_dimension`` first counts the dimension.  Within
 the bound the dimension is broadcast and the fact side is not shuffled at all.
 The bound defaults to ``spark.sql.autoBroadcastJoinThreshold`` divided by a
 conservative row width, so the cluster's own broadcast budget applies; a
@@ -25,6 +25,9 @@ instead of landing on one.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +57,8 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def dimension_fits(dim: DataFrame, max_rows: int) -> bool:
-    """True when ``dim`` has at most ``max_rows`` rows (stops counting past it)."""
-    if max_rows < 0:
-        return False
-    return dim.limit(max_rows + 1).count() <= max_rows
+    """True when ``dim`` has at most ``max_rows`` rows (one partial count per task)."""
+    return max_rows >= 0 and dim.count() <= max_rows
 
 
 # Buckets per hot key = ceil(spread * share * partitions): each bucket then holds at
@@ -107,4 +108,9 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: str | list[str], how: st
     limit = default_broadcast_rows(dim) if max_broadcast_rows is None else max_broadcast_rows
     if dimension_fits(dim, limit):
         return fact.join(F.broadcast(dim), keys, how)
-    return hot_salted_join(fact, dim, keys, how, partitions or shuffle_partitions(fact))
+    # Null keys match nothing: they stay out of the shuffle.
+    null_key = reduce(or_, (F.col(k).isNull() for k in keys))
+    joined = hot_salted_join(fact.where(~null_key), dim, keys, how, partitions or shuffle_partitions(fact))
+    if how == "inner":
+        return joined
+    return joined.unionByName(fact.where(null_key), allowMissingColumns=True)

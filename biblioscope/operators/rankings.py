@@ -88,14 +88,20 @@ def quartile_by_country_long(flat: DataFrame) -> DataFrame:
 
 
 def quartile_share_by_country(flat: DataFrame, digits: int = 6) -> DataFrame:
-    """Share of each quartile in a country's rows (rows of the four quartiles)."""
-    return shares_from_wide(quartile_by_country_wide(flat), digits)
+    """Share of every label the data carries in a country's labelled rows.
 
-
-def shares_from_wide(wide: DataFrame, digits: int = 6) -> DataFrame:
-    """Per country, each quartile's count over the country's four-quartile total."""
-    total = sum((F.col(label) for label in QUARTILES), F.lit(0))
-    shares = wide.select("country", *[
-        F.round(F.try_divide(F.col(label).cast("double"), total), digits).alias(label)
-        for label in QUARTILES])
-    return shares.unpivot("country", list(QUARTILES), "quartile", "share")
+    Rows without country or label do not count; a label that a country lacks has
+    share 0, and a country without any label does not appear.
+    """
+    counts = (flat.where(F.col("country").isNotNull() & F.col("quartile").isNotNull())
+              .groupBy("country").pivot("quartile").agg(F.count(F.lit(1))))
+    labels = [c for c in counts.columns if c != "country"]
+    if not labels:
+        return counts.select("country", F.lit(None).cast("string").alias("quartile"),
+                             F.lit(None).cast("double").alias("share"))
+    quoted = [F.col(f"`{label}`") for label in labels]
+    total = sum((F.coalesce(q, F.lit(0)) for q in quoted), F.lit(0))
+    shares = counts.select("country", *[
+        F.round(F.coalesce(q, F.lit(0)).cast("double") / total, digits).alias(label)
+        for q, label in zip(quoted, labels)])
+    return shares.unpivot("country", [F.col(f"`{label}`") for label in labels], "quartile", "share")

@@ -51,7 +51,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="biblioscope-ckpt-")
+        root = sc.getCheckpointDir()
+    if not root:
+        if not str(getattr(sc, "master", "local")).startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="biblioscope-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")

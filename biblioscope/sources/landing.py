@@ -60,7 +60,7 @@ def canonicalize(df: DataFrame, collection: str) -> DataFrame:
             "Data",
             lambda d: F.struct(
                 d["Category"].alias("category"),
-                d["Year"].cast("int").alias("year"),
+                d["Year"].try_cast("int").alias("year"),
                 d["Quartile"].alias("quartile"),
             ),
         )

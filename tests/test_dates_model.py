@@ -6,6 +6,7 @@ without padding, full / abbreviated / mixed-case / non-English month names,
 volume prefixes, ranges, junk and years 0000-2999.
 """
 
+import calendar
 import datetime as dt
 import re
 
@@ -35,12 +36,13 @@ def model(raw):
         frag = m.group(0)
     else:
         return None, None
-    for fmt in ("%d %B %Y", "%B %Y", "%Y"):
-        try:
-            return frag, dt.datetime.strptime(frag, fmt).date()
-        except ValueError:
-            continue
-    return frag, None
+    # the fragment's own number of words says which parts it has
+    parts = frag.split()
+    day = int(parts[0]) if len(parts) == 3 else 1
+    month = MONTHS.index(parts[-2].title()) + 1 if len(parts) > 1 and parts[-2].title() in MONTHS else (1 if len(parts) == 1 else None)
+    last = month and calendar.monthrange(int(parts[-1]) or 4, month)[1]
+    valid = month and 1 <= day <= last and int(parts[-1]) > 0
+    return frag, dt.date(int(parts[-1]), month, day) if valid else None
 
 
 month = st.one_of(
