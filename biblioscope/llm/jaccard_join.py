@@ -220,6 +220,11 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
     window = may_lack + 1 - (F.col("n") - F.size("pivots"))      # the pivots held by no other set come first
     cells = written(ranked.where(window > 0).select("set_id", "n", F.explode(F.slice("pivots", 1, window.cast("int"))).alias("p"))
                     .select(F.col("p.h").alias("cell"), "set_id", "n"), "cells")
+    # regions of the same members are one region
+    same = (cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("x"),
+                                      F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
+            .where("size > 1").groupBy("size", "x", "y").agg(F.min("cell").alias("cell")).select("cell"))
+    cells = written(cells.join(same, "cell"), "regions")
 
     def pivot_pairs(pivots: DataFrame, rows: DataFrame, other: F.Column) -> DataFrame:
         return (rows.join(pivots, "cell").where(other & _near_size("n", "pivot_n", percent))
@@ -242,14 +247,22 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
     if left.isEmpty():
         return tested.where("linked").select("a", "b")
     # each component's smallest member against the other components' members
-    per = (left.groupBy("cell", "comp").agg(F.min(F.struct("set_id", "n")).alias("p"))
-           .select("cell", F.col("comp").alias("pivot_comp"), F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    per = written(left.groupBy("cell", "comp").agg(F.min(F.struct("set_id", "n")).alias("p"))
+                  .select("cell", F.col("comp").alias("pivot_comp"), F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n")),
+                  "pivots")
     again = pivot_pairs(per, left, F.col("comp") != F.col("pivot_comp")).distinct().join(tested, ["a", "b"], "left_anti")
     tested = written(tested.unionByName(_verify(again, sets, percent)), "tested")
     left = open_cells(tested.where("linked"))
     if left.isEmpty():
         return tested.where("linked").select("a", "b")
-    # the rest between components, inside the triangle window of the region's pivot
+    # A pivot has met its whole region.  Of the other members, the pairs between components are left,
+    # inside the triangle window of the region's first pivot.
+    met = per.select("cell", F.col("pivot").alias("set_id")).unionByName(first.select("cell", F.col("pivot").alias("set_id")))
+    left = left.join(met, ["cell", "set_id"], "left_anti")
+    several = left.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
+    left = written(left.join(several, "cell"), "rest")
+    if left.isEmpty():
+        return tested.where("linked").select("a", "b")
     to_pivot = tested.select("a", "b", "distance").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     placed = (left.join(first.select("cell", "pivot"), "cell")
               .join(to_pivot.withColumnsRenamed({"a": "set_id", "b": "pivot"}), ["set_id", "pivot"], "left"))
