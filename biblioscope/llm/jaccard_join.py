@@ -9,10 +9,12 @@ shingles that it shares, and all other sets are done.
 region of the first pivot it holds.  By the triangle inequality no set within
 distance 1 - t can lack more than floor((1 - t) n) of its n shingles, so the window
 that replicates it takes in its floor((1 - t) n) + 1 first pivots, and two linked sets
-always meet in a region.
+always meet in a region.  They meet first at their first common pivot; what each holds
+before it the other lacks, which bounds their similarity: pairs beyond the bound are not
+formed, as a pair that meets again later was judged at its first meeting.
 
-*Recursion.*  Inside a region one set is the next pivot and is compared with the
-others; sets linked so far form components.  Where a region still holds several
+*Recursion.*  Inside a region the set that holds the fewest pivots before the region's is
+the next pivot and is compared with the others; sets linked so far form components.  Where a region still holds several
 components, each gives a pivot that is compared with the members of the others, and
 what is left is compared pairwise between components, as far as the triangle
 inequality on the distances to the region's pivot allows.  Pairs within a component
@@ -188,8 +190,10 @@ def _sets(shingle: int):
     return run
 
 
-def _near_size(a: str, b: str, percent: int):
-    return (F.greatest(a, b) * percent <= F.least(a, b) * 100)
+def _can_link(n_a: str, lack_a: str, n_b: str, lack_b: str, percent: int):
+    """Whether sets whose first common shingle this is, ``lack`` rarer ones before it, can be linked."""
+    most = F.least(F.col(n_a) - F.col(lack_a), F.col(n_b) - F.col(lack_b))
+    return most * 100 >= (F.col(n_a) + F.col(n_b) - most) * percent
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,21 +222,25 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
     ranked = (tokens.join(df, "h").groupBy("set_id", "n")
               .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("pivots")))       # bounded by the text
     window = may_lack + 1 - (F.col("n") - F.size("pivots"))      # the pivots held by no other set come first
-    cells = written(ranked.where(window > 0).select("set_id", "n", F.explode(F.slice("pivots", 1, window.cast("int"))).alias("p"))
-                    .select(F.col("p.h").alias("cell"), "set_id", "n"), "cells")
-    # regions of the same members are one region
+    alone = F.col("n") - F.size("pivots")
+    cells = written(ranked.where(window > 0)
+                    .select("set_id", "n", alone.alias("alone"), F.posexplode(F.slice("pivots", 1, window.cast("int"))).alias("at", "p"))
+                    .select(F.col("p.h").alias("cell"), "p.df", "set_id", "n", (F.col("alone") + F.col("at")).alias("lack")), "cells")
+    # regions of the same members are one region, that of the rarest pivot: no member lacks more before it
     same = (cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("x"),
-                                      F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
-            .where("size > 1").groupBy("size", "x", "y").agg(F.min("cell").alias("cell")).select("cell"))
-    cells = written(cells.join(same, "cell"), "regions")
+                                      F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"),
+                                      F.min("df").alias("df"))
+            .where("size > 1").groupBy("size", "x", "y").agg(F.min(F.struct("df", "cell")).alias("c")).select("c.cell"))
+    cells = written(cells.join(same, "cell").drop("df"), "regions")
 
     def pivot_pairs(pivots: DataFrame, rows: DataFrame, other: F.Column) -> DataFrame:
-        return (rows.join(pivots, "cell").where(other & _near_size("n", "pivot_n", percent))
+        return (rows.join(pivots, "cell").where(other & _can_link("n", "lack", "pivot_n", "pivot_lack", percent))
                 .select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")))
 
-    first = (cells.groupBy("cell").agg(F.min(F.struct("set_id", "n")).alias("p"), F.count(F.lit(1)).alias("size"))
-             .where("size > 1").select("cell", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    first = written(first, "pivots")
+    # the member with the fewest rarer shingles is the most central one
+    pivot = F.min(F.struct("lack", "set_id", "n")).alias("p")
+    as_pivot = [F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.lack").alias("pivot_lack")]
+    first = written(cells.groupBy("cell").agg(pivot).select("cell", *as_pivot), "pivots")
     tested = _verify(pivot_pairs(first, cells, F.col("set_id") != F.col("pivot")), sets, percent)
     sets_n = written(cells.select("set_id").distinct(), "players")
 
@@ -246,10 +254,8 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
     left = open_cells(tested.where("linked"))
     if left.isEmpty():
         return tested.where("linked").select("a", "b")
-    # each component's smallest member against the other components' members
-    per = written(left.groupBy("cell", "comp").agg(F.min(F.struct("set_id", "n")).alias("p"))
-                  .select("cell", F.col("comp").alias("pivot_comp"), F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n")),
-                  "pivots")
+    # each component's most central member against the other components' members
+    per = written(left.groupBy("cell", "comp").agg(pivot).select("cell", F.col("comp").alias("pivot_comp"), *as_pivot), "pivots")
     again = pivot_pairs(per, left, F.col("comp") != F.col("pivot_comp")).distinct().join(tested, ["a", "b"], "left_anti")
     tested = written(tested.unionByName(_verify(again, sets, percent)), "tested")
     left = open_cells(tested.where("linked"))
@@ -267,10 +273,10 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
     placed = (left.join(first.select("cell", "pivot"), "cell")
               .join(to_pivot.withColumnsRenamed({"a": "set_id", "b": "pivot"}), ["set_id", "pivot"], "left"))
     other = placed.select("cell", F.col("set_id").alias("set_b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"),
-                          F.col("distance").alias("distance_b"))
+                          F.col("lack").alias("lack_b"), F.col("distance").alias("distance_b"))
     near = F.coalesce(F.abs(F.col("distance") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     rest = (placed.join(other, "cell").where((F.col("set_id") < F.col("set_b")) & (F.col("comp") != F.col("comp_b")) & near
-                                             & _near_size("n", "n_b", percent))
+                                             & _can_link("n", "lack", "n_b", "lack_b", percent))
             .select(F.col("set_id").alias("a"), F.col("set_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     return tested.where("linked").select("a", "b").unionByName(_verify(rest, sets, percent).where("linked").select("a", "b"))
 
