@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 # Keyword separator, word pattern and stop words.
 KEYWORD_SEPARATOR = ","
-# A word starts with a letter, digit or underscore and has at least two characters;
-# apostrophes may follow the first character.
-WORD_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
+# A word starts with a letter, digit or underscore; apostrophes may follow the first character.
+WORD_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
 STOP_WORDS = (
     "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at",
     "be", "been", "but", "by", "can", "could", "did", "do", "does", "for", "from",

@@ -66,18 +66,28 @@ def top_words(freq: DataFrame, k: int = WORD_CLOUD_SIZE) -> DataFrame:
     return freq.orderBy(F.desc("n"), "word").limit(k)
 
 
-def keyword_words(articles: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams: bool = False) -> DataFrame:
-    """Words of the distinct keywords, each keyword weighted once."""
+def keyword_word_counts(articles: DataFrame, bigrams: bool = False) -> DataFrame:
+    """Every word of the distinct keywords, each keyword weighted once."""
     distinct_keywords = keyword_count_table(articles).select("keyword")
-    return top_words(word_frequencies(distinct_keywords, "keyword", bigrams), k)
+    return word_frequencies(distinct_keywords, "keyword", bigrams)
 
 
-def category_words(journals_flat: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams: bool = False) -> DataFrame:
-    """Words of every non-null category of the flattened rankings."""
+def category_word_counts(journals_flat: DataFrame, bigrams: bool = False) -> DataFrame:
+    """Every word of every non-null category of the flattened rankings."""
     cats = journals_flat.where(F.col("category").isNotNull()).select("category")
-    return top_words(word_frequencies(cats, "category", bigrams), k)
+    return word_frequencies(cats, "category", bigrams)
+
+
+def keyword_words(articles: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams: bool = False) -> DataFrame:
+    """The word cloud of ``keyword_word_counts``."""
+    return top_words(keyword_word_counts(articles, bigrams), k)
+
+
+def category_words(journals_flat: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams: bool = False) -> DataFrame:
+    """The word cloud of ``category_word_counts``."""
+    return top_words(category_word_counts(journals_flat, bigrams), k)
 
 
-def document_words(documents: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams: bool = False) -> DataFrame:
-    """Words of full document texts."""
-    return top_words(word_frequencies(documents.select("text"), "text", bigrams), k)
+def document_words(documents: DataFrame, bigrams: bool = False) -> DataFrame:
+    """Every word of full document texts."""
+    return word_frequencies(documents.select("text"), "text", bigrams)

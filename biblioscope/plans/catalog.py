@@ -69,7 +69,9 @@ RESULTS: dict[str, Result] = {
     # keywords and words
     "keyword_counts": lambda ws: kw.keyword_counts(ws.articles()),
     "top_keywords": lambda ws: kw.top_keywords(ws.articles()),
+    "keyword_word_counts": lambda ws: kw.keyword_word_counts(ws.articles()),
     "keyword_words": lambda ws: kw.keyword_words(ws.articles()),
+    "category_word_counts": lambda ws: kw.category_word_counts(_flat(ws)),
     "category_words": lambda ws: kw.category_words(_flat(ws)),
     "document_words": lambda ws: kw.document_words(ws.documents()),
     # affiliations and collaboration

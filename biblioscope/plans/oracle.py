@@ -8,10 +8,20 @@ Spark result types.
 
 from __future__ import annotations
 
-from biblioscope.functions.text import STOP_WORDS
+# The stop words and the word pattern, stated apart from the engine's.
+STOP_WORDS = (
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at",
+    "be", "been", "but", "by", "can", "could", "did", "do", "does", "for", "from",
+    "had", "has", "have", "he", "her", "his", "how", "i", "if", "in", "into", "is",
+    "it", "its", "just", "me", "more", "most", "my", "no", "not", "of", "on", "only",
+    "or", "other", "our", "out", "over", "she", "so", "some", "such", "than", "that",
+    "the", "their", "them", "then", "there", "these", "they", "this", "those", "to",
+    "too", "under", "up", "very", "was", "we", "were", "what", "when", "where",
+    "which", "while", "who", "why", "will", "with", "would", "you", "your",
+)
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_'']+"
+_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_'']*"
 
 VIEWS: dict[str, str] = {
     "art_lines": """
@@ -138,12 +148,18 @@ def _with(*names: str) -> str:
     return "WITH " + ",".join(VIEWS[n] for n in order) + "\n"
 
 
-def _words(source: str, column: str) -> str:
+_KEYWORDS = """(SELECT DISTINCT trim(lower(unnest(string_split(keywords, ',')))) AS keyword
+             FROM articles WHERE keywords IS NOT NULL)"""
+_CATEGORIES = "(SELECT category FROM journals_flat WHERE category IS NOT NULL)"
+_CLOUD = "ORDER BY n DESC, word LIMIT 200"
+
+
+def _words(source: str, column: str, cut: str = "") -> str:
     return f"""
 SELECT word, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT unnest(regexp_extract_all(lower({column}), '{_WORD}')) AS word FROM {source})
 WHERE word NOT IN ({_STOP})
-GROUP BY word ORDER BY n DESC, word LIMIT 200"""
+GROUP BY word {cut}"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -177,11 +193,10 @@ FROM (SELECT DISTINCT doi, keyword FROM (
         SELECT doi, trim(lower(unnest(string_split(keywords, ',')))) AS keyword
         FROM articles WHERE keywords IS NOT NULL))
 GROUP BY keyword ORDER BY keyword_count DESC, keyword LIMIT 10""",
-    "keyword_words": _with("articles") + _words(
-        """(SELECT DISTINCT trim(lower(unnest(string_split(keywords, ',')))) AS keyword
-             FROM articles WHERE keywords IS NOT NULL)""", "keyword"),
-    "category_words": _with("journals_flat") + _words(
-        "(SELECT category FROM journals_flat WHERE category IS NOT NULL)", "category"),
+    "keyword_word_counts": _with("articles") + _words(_KEYWORDS, "keyword"),
+    "keyword_words": _with("articles") + _words(_KEYWORDS, "keyword", _CLOUD),
+    "category_word_counts": _with("journals_flat") + _words(_CATEGORIES, "category"),
+    "category_words": _with("journals_flat") + _words(_CATEGORIES, "category", _CLOUD),
     "document_words": _words("documents", "text"),
     "article_affiliations": _with("article_authors", "authors_labs") + """
 SELECT DISTINCT x.doi, x.name AS author, x.lab, c.country

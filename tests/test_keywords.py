@@ -1,5 +1,5 @@
-from biblioscope.operators.keywords import (category_words, keyword_counts, keyword_words,
-                                            top_keywords, word_frequencies)
+from biblioscope.operators.keywords import (category_word_counts, category_words, document_words, keyword_counts,
+                                            keyword_word_counts, keyword_words, top_keywords, word_frequencies)
 from helpers import articles_df, as_set, flat_df
 
 
@@ -26,6 +26,18 @@ def test_keyword_words_weight_each_keyword_once(spark):
     assert got == {"deep": 1, "learning": 2}
 
 
+def test_word_counts_are_not_cut(spark):
+    words = [f"w{i}" for i in range(300)] + ["r", "5"]
+    articles = articles_df(spark, [{"doi": "1", "keywords": ",".join(words)}])
+    assert dict(as_set(keyword_word_counts(articles))) == dict.fromkeys(words, 1)
+    assert keyword_words(articles).count() == 200
+    flat = flat_df(spark, [("j", "i", "FR", w, 2020, "Q1") for w in words])
+    assert dict(as_set(category_word_counts(flat))) == dict.fromkeys(words, 1)
+    assert category_words(flat).count() == 200
+    texts = spark.createDataFrame([(" ".join(words),)], "text string")
+    assert dict(as_set(document_words(texts))) == dict.fromkeys(words, 1)
+
+
 def test_word_frequencies_whole_text_and_stop_words(spark):
     text = "The cat and the hat. " * 1000 + "l'été d'or"
     df = spark.createDataFrame([(text,)], "text string")
