@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from biblioscope.functions.dates import extract_date_text, parse_date_text, year_text
 from biblioscope.operators.affiliations import article_authors
+from biblioscope.sources import schemas
+
+# All of an article but the raw date text, plus what is derived from that.
+DERIVED_COLUMNS = tuple(f.name for f in schemas.ARTICLES.fields) + ("extracted_date",)
 
 
 def articles_dated(articles: DataFrame) -> DataFrame:
     """Articles with the extracted date fragment and the parsed DATE.
 
     The raw text is kept as ``publication_date_raw``; ``publication_date`` is the
-    parsed value.  Idempotent: an input already carrying the parsed columns (the
+    parsed value.  ``derived_row`` is a digest of all columns but the raw text: it is
+    equal for articles that differ only in the text around the date.  Idempotent: an input already carrying the parsed columns (the
     workspace stores articles that way) is returned unchanged.
     """
     if "publication_date_raw" in articles.columns:
@@ -22,7 +27,21 @@ def articles_dated(articles: DataFrame) -> DataFrame:
     return (articles
             .withColumnRenamed("publication_date", "publication_date_raw")
             .withColumn("extracted_date", fragment)
-            .withColumn("publication_date", parse_date_text(F.col("extracted_date"))))
+            .withColumn("publication_date", parse_date_text(F.col("extracted_date")))
+            .withColumn("derived_row", F.unhex(F.md5(F.to_json(
+                F.struct(*DERIVED_COLUMNS), {"ignoreNullFields": "false"})))))
+
+
+def articles_table(dated: DataFrame) -> DataFrame:
+    """The full dated table, one row per article, the nested authors as text.
+
+    Authors read ``name [lab, lab]``, joined by ``; ``; null labs are left out, and
+    an article without an author list has null.
+    """
+    author = F.transform("authors_data", lambda a: F.concat(
+        F.coalesce(a["name"], F.lit("")), F.lit(" ["), F.concat_ws(", ", a["labs"]), F.lit("]")))
+    return dated.select("article_title", "doi", "publication_date_raw", "keywords", "journal_name",
+                        F.array_join(author, "; ").alias("authors"), "extracted_date", "publication_date")
 
 
 def articles_by_year(dated: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioscope.functions.text import is_stop_word, normalized_keywords, word_tokens
+from biblioscope.operators.articles import articles_dated
 
 WORD_CLOUD_SIZE = 200
 
@@ -13,11 +14,14 @@ WORD_CLOUD_SIZE = 200
 def keyword_count_table(articles: DataFrame) -> DataFrame:
     """Number of articles carrying each normalised keyword ('' included).
 
-    A keyword repeated inside one article counts once (``array_distinct`` per
-    article), the same keyword in two articles counts twice.  Null keyword
-    strings produce no row.
+    Articles are told apart by their derived row, that is with the parsed date in
+    place of the raw text: two that differ only around the date count once.  A keyword
+    repeated inside one article counts once (``array_distinct`` per article), the
+    same keyword in two articles counts twice.  Null keyword strings produce no row.
     """
-    return (articles
+    return (articles_dated(articles)
+            .where(F.col("keywords").isNotNull())
+            .select("keywords", "derived_row").distinct()
             .select(F.explode(normalized_keywords(F.col("keywords"))).alias("keyword"))
             .groupBy("keyword")
             .agg(F.count(F.lit(1)).alias("keyword_count")))
@@ -68,7 +72,8 @@ def top_words(freq: DataFrame, k: int = WORD_CLOUD_SIZE) -> DataFrame:
 
 def keyword_word_counts(articles: DataFrame, bigrams: bool = False) -> DataFrame:
     """Every word of the distinct keywords, each keyword weighted once."""
-    distinct_keywords = keyword_count_table(articles).select("keyword")
+    distinct_keywords = articles.select(
+        F.explode(normalized_keywords(F.col("keywords"))).alias("keyword")).distinct()
     return word_frequencies(distinct_keywords, "keyword", bigrams)
 
 

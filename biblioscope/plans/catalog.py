@@ -63,7 +63,7 @@ def _edges(ws: Workspace) -> DataFrame:
 RESULTS: dict[str, Result] = {
     # cleaning and full tables
     "cleaning_report": lambda ws: ws.cleaning_report(),
-    "articles_dated": lambda ws: _dated(ws).select("doi", "extracted_date", "publication_date"),
+    "articles_dated": lambda ws: art.articles_table(_dated(ws)),
     "journals_flat": _flat,
     "author_labs": lambda ws: ws.authors_labs(),
     # keywords and words

@@ -28,8 +28,8 @@ VIEWS: dict[str, str] = {
 art_lines AS (
   SELECT l_orderkey AS k, min(l_partkey) AS first_part FROM lineitem GROUP BY l_orderkey)""",
     "articles": r"""
-articles AS (
-  SELECT CAST(o.o_orderkey AS VARCHAR) AS doi,
+articles0 AS (
+  SELECT o.o_orderkey AS k, CAST(o.o_orderkey AS VARCHAR) AS doi,
          'Article ' || o.o_orderkey AS article_title,
          CASE WHEN o.o_orderkey % 50 = 0 THEN NULL
               WHEN o.o_orderkey % 27 = 26 THEN 'Unlisted ' || l.first_part
@@ -46,7 +46,12 @@ articles AS (
               WHEN o.o_orderkey % 13 = 0 THEN ''
               ELSE 'Kw' || (o.o_orderkey % 7) || ', topic ' || (o.o_orderkey % 11)
                    || ',KW' || (o.o_orderkey % 7) END AS keywords
-  FROM orders o LEFT JOIN art_lines l ON o.o_orderkey = l.k)""",
+  FROM orders o LEFT JOIN art_lines l ON o.o_orderkey = l.k),
+articles AS (
+  SELECT doi, article_title, journal_name, publication_date, keywords FROM articles0
+  UNION ALL
+  SELECT doi, article_title, journal_name, 'Available online ' || publication_date, keywords FROM articles0
+  WHERE k % 41 = 16 AND k % 97 <> 0 AND publication_date IS NOT NULL)""",
     "dated": r"""
 dated0 AS (
   SELECT *,
@@ -71,10 +76,17 @@ article_authors AS (
 author_lab_rows AS (
   SELECT doi, name, 'LAB-' || (sk % 45) AS lab FROM article_authors
   UNION ALL
-  SELECT doi, name, 'LAB-' || ((sk + 1) % 45) AS lab FROM article_authors WHERE sk % 2 = 0)""",
+  SELECT doi, name, CASE WHEN sk % 10 <> 8 THEN 'LAB-' || ((sk + 1) % 45) END AS lab
+  FROM article_authors WHERE sk % 2 = 0)""",
+    "author_text": """
+author_text AS (
+  SELECT doi, string_agg(name || ' [LAB-' || (sk % 45)
+                         || CASE WHEN sk % 2 = 0 AND sk % 10 <> 8 THEN ', LAB-' || ((sk + 1) % 45) ELSE '' END
+                         || ']', '; ' ORDER BY name) AS authors
+  FROM article_authors GROUP BY doi)""",
     "authors_labs": """
 authors_labs AS (
-  SELECT DISTINCT c_name AS name, 'LAB-' || (c_custkey % 40) AS lab,
+  SELECT DISTINCT c_name AS name, CASE WHEN c_custkey % 37 <> 36 THEN 'LAB-' || (c_custkey % 40) END AS lab,
          CASE WHEN c_custkey % 40 = 39 THEN NULL ELSE n_name END AS country
   FROM customer LEFT JOIN nation ON n_nationkey = (c_custkey % 40) % 25),
 lab_countries AS (SELECT DISTINCT lab, country FROM authors_labs)""",
@@ -99,8 +111,9 @@ journal_entries AS (
 journals_flat AS (
   SELECT journal_name, issn, country,
          p_type || ' ' || string_split(p_name, ' ')[-1] AS category,
-         CAST(2000 + (p_size + i) % 10 AS INTEGER) AS year,
-         'Q' || (1 + ((p_size + i) % 10 + p % 2 + i) % 4) AS quartile
+         CASE WHEN (p + i) % 31 <> 3 THEN CAST(2000 + (p_size + i) % 10 AS INTEGER) END AS year,
+         CASE WHEN (p + i) % 23 = 5 THEN '-'
+              WHEN (p + i) % 29 <> 7 THEN 'Q' || (1 + ((p_size + i) % 10 + p % 2 + i) % 4) END AS quartile
   FROM journal_entries)""",
     "country_wide": """
 country_wide AS (
@@ -127,6 +140,7 @@ pairs AS (
 _DEPENDS = {
     "articles": ["art_lines"],
     "dated": ["articles"],
+    "author_text": ["article_authors"],
     "doi_countries": ["article_authors", "authors_labs"],
     "journals_flat": ["journals"],
     "country_wide": ["journals_flat"],
@@ -150,6 +164,13 @@ def _with(*names: str) -> str:
 
 _KEYWORDS = """(SELECT DISTINCT trim(lower(unnest(string_split(keywords, ',')))) AS keyword
              FROM articles WHERE keywords IS NOT NULL)"""
+# Distinct over the whole derived row (the raw date text is not part of it); the
+# authors follow from the doi.
+_KEYWORD_COUNTS = """
+SELECT keyword, CAST(count(*) AS BIGINT) AS keyword_count
+FROM (SELECT DISTINCT doi, article_title, journal_name, extracted_date, pdate, keyword FROM (
+        SELECT *, trim(lower(unnest(string_split(keywords, ',')))) AS keyword
+        FROM dated WHERE keywords IS NOT NULL))"""
 _CATEGORIES = "(SELECT category FROM journals_flat WHERE category IS NOT NULL)"
 _CLOUD = "ORDER BY n DESC, word LIMIT 200"
 
@@ -173,25 +194,19 @@ SELECT 'Journaux',
        CAST((SELECT count(*) FROM (SELECT DISTINCT journal_name, issn, country, p FROM journals)) AS BIGINT)
 UNION ALL
 SELECT 'Articles',
-       CAST((SELECT count(*) FROM orders) + (SELECT count(*) FROM orders WHERE o_orderkey % 97 = 0) AS BIGINT),
+       CAST((SELECT count(*) FROM orders) + (SELECT count(*) FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 41 = 16) AS BIGINT),
        CAST((SELECT count(*) FROM (SELECT DISTINCT doi, article_title, journal_name, publication_date, keywords FROM articles)) AS BIGINT)""",
-    "articles_dated": _with("dated") + """
-SELECT doi, extracted_date, pdate AS publication_date FROM dated""",
+    "articles_dated": _with("dated", "author_text") + """
+SELECT article_title, d.doi, d.publication_date AS publication_date_raw, keywords, journal_name, authors,
+       extracted_date, pdate AS publication_date
+FROM dated d LEFT JOIN author_text x ON d.doi = x.doi""",
     "journals_flat": _with("journals_flat") + """
 SELECT journal_name, issn, country, category, year, quartile FROM journals_flat""",
     "author_labs": _with("authors_labs") + """
 SELECT name, lab, country FROM authors_labs""",
-    "keyword_counts": _with("articles") + """
-SELECT keyword, CAST(count(*) AS BIGINT) AS keyword_count
-FROM (SELECT DISTINCT doi, keyword FROM (
-        SELECT doi, trim(lower(unnest(string_split(keywords, ',')))) AS keyword
-        FROM articles WHERE keywords IS NOT NULL))
+    "keyword_counts": _with("dated") + _KEYWORD_COUNTS + """
 GROUP BY keyword""",
-    "top_keywords": _with("articles") + """
-SELECT keyword, CAST(count(*) AS BIGINT) AS keyword_count
-FROM (SELECT DISTINCT doi, keyword FROM (
-        SELECT doi, trim(lower(unnest(string_split(keywords, ',')))) AS keyword
-        FROM articles WHERE keywords IS NOT NULL))
+    "top_keywords": _with("dated") + _KEYWORD_COUNTS + """
 GROUP BY keyword ORDER BY keyword_count DESC, keyword LIMIT 10""",
     "keyword_word_counts": _with("articles") + _words(_KEYWORDS, "keyword"),
     "keyword_words": _with("articles") + _words(_KEYWORDS, "keyword", _CLOUD),
@@ -240,11 +255,14 @@ WHERE country IS NOT NULL AND quartile IS NOT NULL GROUP BY quartile""",
 SELECT country, Q1, Q2, Q3, Q4 FROM country_wide""",
     "quartile_by_country_long": _with("country_wide") + """
 SELECT country, quartile, n FROM country_long""",
-    "quartile_share_by_country": _with("country_wide") + """
-SELECT l.country, l.quartile,
-       round(CASE WHEN w.Q1 + w.Q2 + w.Q3 + w.Q4 = 0 THEN NULL
-                  ELSE CAST(l.n AS DOUBLE) / (w.Q1 + w.Q2 + w.Q3 + w.Q4) END, 6) AS share
-FROM country_long l JOIN country_wide w ON l.country = w.country""",
+    "quartile_share_by_country": _with("journals_flat") + """
+, labelled AS (SELECT country, quartile FROM journals_flat
+               WHERE country IS NOT NULL AND quartile IS NOT NULL),
+totals AS (SELECT country, count(*) AS total FROM labelled GROUP BY country),
+cells AS (SELECT country, quartile, count(*) AS n FROM labelled GROUP BY 1, 2)
+SELECT t.country, q.quartile, round(coalesce(c.n, 0) / CAST(t.total AS DOUBLE), 6) AS share
+FROM totals t CROSS JOIN (SELECT DISTINCT quartile FROM labelled) q
+LEFT JOIN cells c ON c.country = t.country AND c.quartile = q.quartile""",
     "quartile_count_histogram": _with("country_wide") + """
 , rng AS (SELECT min(n) AS lo, max(n) AS hi FROM country_long),
 binned AS (
@@ -317,8 +335,9 @@ FROM articles GROUP BY journal_name""",
 SELECT j.country, CAST(count(a.doi) AS BIGINT) AS article_count
 FROM articles a JOIN journals j ON a.journal_name = j.journal_name
 WHERE j.country IS NOT NULL GROUP BY j.country""",
-    "top_authors": _with("article_authors") + """
-SELECT name, CAST(count(*) AS BIGINT) AS article_count FROM article_authors
+    "top_authors": _with("article_authors", "articles") + """
+SELECT name, CAST(count(*) AS BIGINT) AS article_count
+FROM article_authors x JOIN articles a ON a.doi = x.doi
 GROUP BY name ORDER BY article_count DESC, name LIMIT 10""",
     "distinct_authors": _with("article_authors") + """
 SELECT DISTINCT name FROM article_authors""",

@@ -7,10 +7,10 @@ landing form (``_id`` included):
   or Parquet) with the declared schemas - the production path;
 * ``Workspace.from_testdata`` derives them from the star-schema test tables.
 
-The landed collections (unless already Parquet) and the cleaned tables are
+The cleaned tables (and a landed JSON array, which no later job could split) are
 computed once and written as Parquet under the shared folder named by
-``spark.checkpoint.dir`` (one sub-folder per input fingerprint): landing ->
-cleaning -> analytics.  Later plans read them back, so
+``spark.checkpoint.dir`` (one sub-folder per input fingerprint, one attempt
+folder per write): landing -> cleaning -> analytics.  Later plans read them back, so
 
 * the lineage is cut - losing an executor re-reads Parquet instead of
   re-running the landing derivation and the de-duplication shuffle;
@@ -26,10 +26,13 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from biblioscope.operators.articles import articles_dated
 from biblioscope.operators.cleaning import (COPIES, clean_with_copies, cleaning_report,
@@ -39,38 +42,41 @@ from biblioscope.sources import testdata
 from biblioscope.sources.landing import read_landing
 
 # Bump when a landing view rule changes, so stale written tables are not reused.
-VIEW_VERSION = "10"
+VIEW_VERSION = "11"
 COLLECTIONS = ("articles", "journaux", "authors_labs")
 
+ATTEMPT = "attempt-"
+
 Loader = Callable[[str], DataFrame]
 
 
-def _input_signature(spark: SparkSession | None, path: str) -> str:
-    """Size, file count and modification time of an input, from its file system.
+def _file_list_hash(spark: SparkSession, path: str) -> str:
+    """Files, bytes and a hash over every file's (path, length, modification time).
 
-    Uses the Hadoop FileSystem of the session (local, HDFS, object stores); a
-    store without directory times still changes length or file count when data
-    is added or replaced.
+    The listing is a Spark scan of file metadata (file contents are pruned), so
+    a folder of any number of files is listed and hashed by tasks.
     """
+    row = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+           .select(F.xxhash64("path", "length", "modificationTime").alias("h"), "length")
+           .agg(F.count("h"), F.sum("length"), F.bit_xor("h")).first())
+    return ":".join(str(v) for v in row)
+
+
+def _input_signature(spark: SparkSession | None, path: str) -> str:
+    """Name and state of an input: changes when any file in it is added, removed or rewritten."""
     jvm = getattr(spark, "_jvm", None) if spark is not None else None
     if jvm is not None:
         hpath = jvm.org.apache.hadoop.fs.Path(path)
         fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(hpath):
-            return f"{path}:missing"
-        summary = fs.getContentSummary(hpath)
-        mtime = fs.getFileStatus(hpath).getModificationTime()
-        return f"{path}:{summary.getLength()}:{summary.getFileCount()}:{mtime}"
+        return f"{path}:{_file_list_hash(spark, path) if fs.exists(hpath) else 'missing'}"
     local = path[len("file:"):] if path.startswith("file:") else path
     if not os.path.exists(local):
         return f"{path}:missing"
-    total = count = 0
-    latest = int(os.stat(local).st_mtime)
-    for root, _, files in os.walk(local) if os.path.isdir(local) else [("", [], [local])]:
-        for name in files:
-            st = os.stat(os.path.join(root, name))
-            total, count, latest = total + st.st_size, count + 1, max(latest, int(st.st_mtime))
-    return f"{path}:{total}:{count}:{latest}"
+    files = sorted(os.path.join(root, name)
+                   for root, _, names in (os.walk(local) if os.path.isdir(local) else [("", [], [local])])
+                   for name in names)
+    stats = [(f, os.stat(f)) for f in files]
+    return f"{path}:" + ":".join(f"{f}={st.st_size}@{st.st_mtime_ns}" for f, st in stats)
 
 
 def _fingerprint(spark: SparkSession | None, kind: str, *paths: str) -> str:
@@ -81,21 +87,30 @@ def _fingerprint(spark: SparkSession | None, kind: str, *paths: str) -> str:
     return h.hexdigest()[:16]
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    """True when a finished write left its ``_SUCCESS`` marker."""
-    jvm = getattr(spark, "_jvm", None)
-    if jvm is not None:
-        hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-        return bool(fs.exists(hpath))
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+def _latest_attempt(spark: SparkSession, path: str) -> str | None:
+    """The newest finished attempt folder of a written table.
+
+    A write goes to a folder of its own, whose ``_SUCCESS`` marker comes last, so
+    unfinished or failed writes are never read and no write touches files that
+    another application reads.  Names start with the time of the write.
+    """
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return None
+    names = sorted((f.getPath().getName() for f in fs.listStatus(hpath) if f.isDirectory()), reverse=True)
+    for name in names:
+        if name.startswith(ATTEMPT) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
+            return f"{path}/{name}"
+    return None
 
 
 class Workspace:
     """Landed and cleaned collections of one input."""
 
     def __init__(self, spark: SparkSession, loader: Loader, key: str, *,
-                 materialize: bool = True, land_raw: bool = True,
+                 materialize: bool = True, land_raw: bool = False,
                  table_root: str | None = None,
                  documents: Callable[[], DataFrame] | None = None,
                  refresh: bool = False):
@@ -106,7 +121,7 @@ class Workspace:
         self.land_raw = land_raw
         self.table_root = table_root
         self._documents = documents
-        self.refresh = refresh       # rebuild tables even when a committed copy exists
+        self.refresh = refresh       # rebuild tables even when a finished copy exists
         self._cache: dict[str, DataFrame] = {}
         # Callers may share a session across threads: one lock per table, so each
         # table is built and written once while different tables build concurrently.
@@ -116,10 +131,10 @@ class Workspace:
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Workspace":
         sf_dir = sf_dir.rstrip("/")
-        tables = [f"{os.path.abspath(sf_dir)}/{t}.parquet" for t in testdata.TABLES]
+        tables = [f"{os.path.abspath(sf_dir)}/{t}.parquet" for t in testdata.VIEW_TABLES]
         ws = cls(spark, lambda c: testdata.LANDING_VIEWS[c](spark, sf_dir),
                  _fingerprint(spark, "testdata", *tables), **kw)
-        ws._documents = lambda: ws.landed("documents", lambda: testdata.documents_landing(spark, sf_dir))
+        ws._documents = lambda: testdata.documents(spark, sf_dir)
         return ws
 
     @classmethod
@@ -132,26 +147,31 @@ class Workspace:
         docs = None
         if documents_path:
             docs = lambda: spark.read.parquet(documents_path)
-        kw.setdefault("land_raw", fmt != "parquet")
+        kw.setdefault("land_raw", fmt == "json")
         inputs = [paths[c] for c in COLLECTIONS] + ([documents_path] if documents_path else [])
         return cls(spark, lambda c: read_landing(spark, paths[c], c, fmt),
                    _fingerprint(spark, fmt, *inputs), documents=docs, **kw)
 
     @classmethod
     def from_dataframes(cls, spark: SparkSession, frames: dict[str, DataFrame],
-                        documents: DataFrame | None = None, version: str | None = None,
-                        **kw) -> "Workspace":
+                        documents: DataFrame | None = None, dataset: str | None = None,
+                        version: str | None = None, **kw) -> "Workspace":
         """Collections that are already DataFrames (landing names, ``_id`` optional).
 
         DataFrames cannot be fingerprinted, so the workspace stays lazy unless
-        the caller names a ``version`` of the data; with one, tables are written
-        once under that key like any other input.
+        the caller names the ``dataset`` and its ``version``; with both, tables are
+        written once under that key and the frames' schemas, like any other input.
         """
         missing = set(COLLECTIONS) - set(frames)
         if missing:
             raise ValueError(f"frames missing for {sorted(missing)}")
+        if (dataset is None) != (version is None):
+            raise ValueError("written tables need both a dataset name and a version")
         kw.setdefault("materialize", version is not None)
-        key = hashlib.sha1(f"{VIEW_VERSION}:frames:{version}".encode()).hexdigest()[:16]
+        if kw["materialize"] and version is None:
+            raise ValueError("written tables need a dataset name and a version")
+        schemas = [frames[c].schema.json() for c in COLLECTIONS]
+        key = hashlib.sha1(repr((VIEW_VERSION, "frames", dataset, version, schemas)).encode()).hexdigest()[:16]
         return cls(spark, lambda c: frames[c], key,
                    documents=(lambda: documents) if documents is not None else None, **kw)
 
@@ -165,10 +185,12 @@ class Workspace:
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         path = self.table_path(name)
-        if self.refresh or not _committed(self.spark, path):
+        found = None if self.refresh else _latest_attempt(self.spark, path)
+        if found is None:
+            found = f"{path}/{ATTEMPT}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
             # zstd: smaller intermediate tables than the default codec, similar decode cost
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.parquet(path)
+            df.write.option("compression", "zstd").parquet(found)
+        return self.spark.read.parquet(found)
 
     def _shared(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
         with self._lock(key):
@@ -177,10 +199,6 @@ class Workspace:
                 self._cache[key] = self._written(df, key) if self.materialize else df
             return self._cache[key]
 
-    def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A side table landed once as Parquet (as is, when not materializing)."""
-        return self._shared("landing/" + name, build)
-
     def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table derived from the cleaned ones and shared by several results.
 

@@ -4,11 +4,14 @@ The test folder holds TPC-H-like tables, not bibliographic documents, so the
 three collections are derived from them by rule (see FIXTURES.md section 3):
 
 * articles      - one per order (plus exact copies of every 97th order, to be
-  removed by cleaning); authors are the order's distinct suppliers.
-* authors_labs  - one per customer (plus a copy of every 10th customer).
+  removed by cleaning, and for some a variant that differs only in the text around
+  the date); authors are the order's distinct suppliers, some with a null lab.
+* authors_labs  - one per customer (plus a copy of every 10th customer), some
+  without a lab.
 * journaux      - one per part (plus a second row, another country, for every
   part whose key ends in 01); each carries a short ranking history built from
-  the part row itself, so no group is ever gathered into one array.
+  the part row itself, so no group is ever gathered into one array; some entries are
+  unranked (``-``), lack a quartile or have a malformed year.
 
 Every derivation is a scan plus bounded per-row expressions, a per-order
 aggregation (at most a few line items per order) and joins with dimension
@@ -24,6 +27,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+# The tables the views below read.
+VIEW_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
+
 # Fixed values of the derivation rules (FIXTURES.md section 3).
 ARTICLE_COPY_EVERY = 97
 AUTHOR_COPY_EVERY = 10
@@ -31,6 +37,12 @@ JOURNAL_COPY_SUFFIX = 1      # p_partkey % 100 == 1 gets a second journal row
 ARTICLE_LABS = 45            # labs referenced by articles: LAB-0 .. LAB-44
 AFFILIATION_LABS = 40        # labs known to authors_labs: LAB-0 .. LAB-39
 NATIONS = 25
+VARIANT_EVERY, VARIANT_REST = 41, 16        # o_orderkey: a second row, other text around the date
+NULL_LAB_EVERY, NULL_LAB_REST = 10, 8       # l_suppkey: the second lab of the author is null
+NO_LAB_EVERY, NO_LAB_REST = 37, 36          # c_custkey: an author without a lab
+UNRANKED_EVERY, UNRANKED_REST = 23, 5       # p_partkey + entry: the quartile is "-"
+NO_QUARTILE_EVERY, NO_QUARTILE_REST = 29, 7     # p_partkey + entry: the quartile is null
+BAD_YEAR_EVERY, BAD_YEAR_REST = 31, 3       # p_partkey + entry: the year is "n/a"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +82,8 @@ def keyword_text(k: Column) -> Column:
 
 def author_labs(suppkey: Column) -> Column:
     first = F.concat(F.lit("LAB-"), (suppkey % ARTICLE_LABS).cast("string"))
-    second = F.concat(F.lit("LAB-"), ((suppkey + 1) % ARTICLE_LABS).cast("string"))
+    second = F.when(suppkey % NULL_LAB_EVERY != NULL_LAB_REST,
+                    F.concat(F.lit("LAB-"), ((suppkey + 1) % ARTICLE_LABS).cast("string")))
     return F.when(suppkey % 2 == 0, F.array(first, second)).otherwise(F.array(first))
 
 
@@ -98,7 +111,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 27 == 26, F.concat(F.lit("Unlisted "), F.col("first_part").cast("string")))
         .otherwise(F.concat(F.lit("Journal "), F.col("first_part").cast("string")))
     )
-    copies = F.when(k % ARTICLE_COPY_EVERY == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    copies = (F.when(k % ARTICLE_COPY_EVERY == 0, F.array(F.lit("a"), F.lit("b")))
+              .when(k % VARIANT_EVERY == VARIANT_REST, F.array(F.lit("a"), F.lit("v")))
+              .otherwise(F.array(F.lit("a"))))
+    text = publication_text(k, F.col("o_orderdate"))
     return (
         orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
         .select(
@@ -106,7 +122,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderkey"),
             F.concat(F.lit("Article "), k.cast("string")).alias("article_title"),
             k.cast("string").alias("doi"),
-            publication_text(k, F.col("o_orderdate")).alias("publication_date"),
+            F.when(F.col("copy") == "v", F.concat(F.lit("Available online "), text))
+            .otherwise(text).alias("publication_date"),
             keyword_text(k).alias("keywords"),
             journal.alias("journal_name"),
             F.col("authors_data"),
@@ -130,7 +147,8 @@ def authors_labs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.concat(F.col("copy"), c.cast("string")).alias("_id"),
             F.col("c_name").alias("name"),
-            F.concat(F.lit("LAB-"), lab_no.cast("string")).alias("lab"),
+            F.when(c % NO_LAB_EVERY != NO_LAB_REST,
+                   F.concat(F.lit("LAB-"), lab_no.cast("string"))).alias("lab"),
             F.when(lab_no == AFFILIATION_LABS - 1, F.lit(None).cast("string"))
             .otherwise(F.col("n_name")).alias("country"),
         )
@@ -146,8 +164,11 @@ def ranking_history(p: Column, size: Column, ptype: Column, pname: Column) -> Co
         offset = (size + i) % 10
         return F.struct(
             category.alias("Category"),
-            (F.lit(2000) + offset).cast("string").alias("Year"),
-            F.concat(F.lit("Q"), (F.lit(1) + (offset + p % 2 + i) % 4).cast("string")).alias("Quartile"),
+            F.when((p + i) % BAD_YEAR_EVERY == BAD_YEAR_REST, F.lit("n/a"))
+            .otherwise((F.lit(2000) + offset).cast("string")).alias("Year"),
+            F.when((p + i) % UNRANKED_EVERY == UNRANKED_REST, F.lit("-"))
+            .when((p + i) % NO_QUARTILE_EVERY != NO_QUARTILE_REST,
+                  F.concat(F.lit("Q"), (F.lit(1) + (offset + p % 2 + i) % 4).cast("string"))).alias("Quartile"),
         )
 
     history = F.transform(F.sequence(F.lit(0), size % 4), entry)
@@ -177,17 +198,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def documents_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents spread over the cluster by a hash of ``doc_id`` for landing.
-
-    The test file is a single Parquet row group, which one task would have to
-    tokenise alone; landing it once in ``defaultParallelism`` hash partitions
-    (deterministic on retry) lets every later text job run on all cores.
-    """
-    n = spark.sparkContext.defaultParallelism
-    return documents(spark, sf_dir).repartition(n, "doc_id")
-
-
 LANDING_VIEWS = {
     "articles": articles,
     "journaux": journaux,

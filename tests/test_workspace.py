@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from biblioscope.__main__ import main as cli
 from biblioscope.plans.catalog import RESULTS
@@ -86,7 +87,8 @@ def test_from_dataframes_matches_testdata(spark, landed):
     frames = {c: base.raw(c) for c in COLLECTIONS}
     lazy = Workspace.from_dataframes(spark, frames)
     assert not lazy.materialize
-    written = Workspace.from_dataframes(spark, frames, version="v1", table_root=os.path.join(d, "frames"))
+    written = Workspace.from_dataframes(spark, frames, dataset="base", version="v1",
+                                        table_root=os.path.join(d, "frames"))
     for name in ("country_pairs", "quartile_by_country_wide", "cleaning_report"):
         want = as_set(RESULTS[name](base))
         assert as_set(RESULTS[name](lazy)) == want
@@ -109,12 +111,50 @@ def test_refresh_rewrites_committed_tables(spark, landed):
     base, paths, d = landed
     root = os.path.join(d, "tables-refresh")
     first = Workspace.from_landing(spark, paths, "jsonl", table_root=root)
-    first.authors_labs().count()
-    marker = os.path.join(first.table_path("authors_labs"), "_SUCCESS")
-    stamp = os.stat(marker).st_mtime_ns
+    open_reader = first.authors_labs()
+    rows = open_reader.count()
+    attempts = lambda: sorted(os.listdir(first.table_path("authors_labs")))
+    [written] = attempts()
     again = Workspace.from_landing(spark, paths, "jsonl", table_root=root)
     again.authors_labs().count()
-    assert os.stat(marker).st_mtime_ns == stamp          # committed copy reused
+    assert attempts() == [written]                       # finished copy reused
     forced = Workspace.from_landing(spark, paths, "jsonl", table_root=root, refresh=True)
     forced.authors_labs().count()
-    assert os.stat(marker).st_mtime_ns != stamp          # rebuilt on request
+    assert attempts()[0] == written and len(attempts()) == 2     # rebuilt on request, beside the old one
+    assert open_reader.count() == rows                   # whoever reads the old one goes on
+
+
+def test_failed_write_leaves_the_old_table(spark, tmp_path):
+    good = spark.createDataFrame([("1", "n", "L", "FR")], "_id string, name string, lab string, country string")
+    bad = good.select("_id", "name", "lab", F.raise_error(F.lit("lost")).cast("string").alias("country"))
+    make = lambda df, **kw: Workspace(spark, lambda c: df, "k", table_root=str(tmp_path), **kw)
+    make(good).authors_labs().count()
+    with pytest.raises(Exception, match="lost"):
+        make(bad, refresh=True).authors_labs().count()
+    assert as_set(make(bad).authors_labs()) == {("n", "L", "FR")}
+
+
+def test_frames_are_keyed_by_dataset_and_version(spark, landed, tmp_path):
+    base, _, _ = landed
+    frames = {c: base.raw(c) for c in COLLECTIONS}
+    other = {**frames, "authors_labs": frames["authors_labs"].where("lab = 'LAB-1'")}
+    make = lambda f, **kw: Workspace.from_dataframes(spark, f, table_root=str(tmp_path), **kw)
+    everyone = make(frames, dataset="all", version="v1").authors_labs().count()
+    some = make(other, dataset="one lab", version="v1").authors_labs().count()
+    assert 0 < some < everyone
+    with pytest.raises(ValueError):
+        make(frames, version="v1")
+
+
+def test_rewritten_file_in_a_subfolder_changes_the_fingerprint(spark, tmp_path):
+    from biblioscope.sources.tables import _fingerprint
+    inner = tmp_path / "landing" / "year=2024"
+    inner.mkdir(parents=True)
+    part = inner / "part-0.json"
+    part.write_text('{"a": 1}\n')
+    os.utime(part, (1_700_000_000, 1_700_000_000))
+    before = [_fingerprint(s, "jsonl", str(tmp_path / "landing")) for s in (spark, None)]
+    part.write_text('{"a": 2}\n')                        # same size, same folder times
+    os.utime(part, (1_700_000_100, 1_700_000_100))
+    after = [_fingerprint(s, "jsonl", str(tmp_path / "landing")) for s in (spark, None)]
+    assert before[0] != after[0] and before[1] != after[1]
