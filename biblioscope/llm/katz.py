@@ -2,14 +2,18 @@
 
 Tokens are a text's words (A-Z lower-cased), then one end token; the first token's
 history is a start symbol.  The model has order two and is evaluated from the bigram
-down: a bigram seen ``MIN_COUNT`` times or more has its Good-Turing discounted share
+down: a bigram seen ``least`` times or more has its Good-Turing discounted share
 of its history, any other one the history's backoff weight times the unigram
 probability, and a word not in training the probability that discounting left over.
 
-    p(v|u) = d(c) c(u,v) / (c(u) + 1)       if c(u,v) >= MIN_COUNT
+    p(v|u) = d(c) c(u,v) / (c(u) + 1)       if c(u,v) >= least
            = a(u) p(v)                       else
     p(v)   = d1(c) c(v) / N, or the rest of the unigram mass for an unknown word
 
+The query and ``model_tables`` have ``least`` 1: every bigram of the training folds
+counts, those seen once with the share that d(1) leaves them.  ``MIN_COUNT`` is the
+pruned model that ``score`` gives where no other count is asked for.
+
 a(u) makes every history's probabilities sum to exactly one.  The pseudo count in
 c(u) + 1 keeps mass for backoff where every follower of u is too frequent to be
 discounted.  Discounts follow Katz: counts up to 5 (fewer where the counts of counts
@@ -105,10 +109,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> list[dict]:
     return sorted(out, key=lambda r: (r["kind"], r["block"]))
 
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _totals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """One bucket: training totals of its words and bigrams, in each block's order.
 
-    A bigram's answer is twice its total (0 below MIN_COUNT), plus 1 for the first
+    A bigram's answer is twice its total (0 below ``least``), plus 1 for the first
     block that holds it, which speaks for it when masses are summed.
     """
     asked = _read(batches)
@@ -126,8 +130,8 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s[LARGEST + 1], s[LARGEST + 2] = (n > 0).sum(), n.sum()
         value = n[inverse]
         if kind == BI:
-            value = np.where(value >= MIN_COUNT, 2 * value, 0)
-            value[first] += n[inverse[first]] >= MIN_COUNT
+            value = np.where(value >= least, 2 * value, 0)
+            value[first] += n[inverse[first]] >= least
         for r, i, j in zip(own, size[:-1], size[1:], strict=True):
             yield B.rows([{"block": r["block"], "kind": kind, "bucket": r["bucket"], "seq": 0,
                            "a": np.ascontiguousarray(value[i:j].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()}])
@@ -277,11 +281,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Model, int]:
+def train(docs: DataFrame, least: int) -> tuple[DataFrame, Model, int]:
     """Totals for every block (a written table), the model's few numbers, and the number of training texts."""
     spark = docs.sparkSession
     n = key_buckets(spark)
-    totals = written(B.by_bucket(docs.mapInArrow(_ask(n), B.ROW), n, _total), "totals")
+    totals = written(B.by_bucket(docs.mapInArrow(_ask(n), B.ROW), n, lambda batches: _totals(batches, least)), "totals")
     stats = sum((np.frombuffer(r["a"], "<i8").reshape(2, -1) for r in totals.where(F.col("kind") == STATS).select("a").collect()),
                 np.zeros((2, LARGEST + 4), np.int64))          # one row a bucket
     test = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
@@ -289,22 +293,22 @@ def train(docs: DataFrame) -> tuple[DataFrame, Model, int]:
     return totals, Model(stats), starts
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Every text's score under the model trained on the folds that are not held out."""
+def score(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
+    """Every text's score under the model of bigrams seen ``least`` (1 or more) times in the folds that are not held out."""
     rows, n, buckets = _rows(docs), parts(docs.sparkSession), key_buckets(docs.sparkSession)
-    totals, model, starts = train(rows)
+    totals, model, starts = train(rows, least)
     answers = totals.where(F.col("kind") != STATS)
     asked = B.with_texts(rows, answers, n, _score(model, starts, buckets), B.ROW)
     weighed = B.by_bucket(asked, buckets, _back_off)
     return (weighed.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_finish(model), SCORES))
 
 
-def model_tables(docs: DataFrame, path: str) -> None:
+def model_tables(docs: DataFrame, path: str, least: int = 1) -> None:
     """The model as Parquet tables partitioned by bucket: ``unigrams`` (word, c, p), ``bigrams``
     (history, word, c, p) and ``backoff`` (history, weight), for use outside this scoring."""
     spark: SparkSession = docs.sparkSession
     n = parts(spark)
-    _, model, starts = train(_rows(docs))
+    _, model, starts = train(_rows(docs), least)
     test = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
                              r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -319,7 +323,7 @@ def model_tables(docs: DataFrame, path: str) -> None:
 
     uni = uni.withColumn("p", at(model.d1, F.col("c")) * F.col("c") / model.size)
     histories = pairs.groupBy("history").agg(F.sum("c").alias("h"))
-    kept = (pairs.where(F.col("c") >= MIN_COUNT).join(histories, "history")
+    kept = (pairs.where(F.col("c") >= least).join(histories, "history")
             .withColumn("p", at(model.d2, F.col("c")) * F.col("c") / (F.col("h") + 1)))
     sums = kept.join(uni.select("word", F.col("p").alias("q")), "word").groupBy("history").agg(F.sum("p").alias("mass"), F.sum("q").alias("covered"))
     backoff = sums.select("history", ((1 - F.col("mass")) / (1 - F.col("covered"))).alias("weight"))

@@ -40,7 +40,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), least=1)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
