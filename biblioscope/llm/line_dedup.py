@@ -13,6 +13,12 @@ belongs to a repeated run.  Overlapping stretches join into the longest runs, an
 lines of later runs are deleted; the first occurrence stays.  No pair of positions is
 formed: a stretch is compared with the first of its kind, found by a map-side minimum.
 
+Given ``long_words``, a single line of more words than that is a run of its own and its
+own fingerprint, so a long passage that stands as one line is found between differing
+neighbours and as the only line of a text.  Shorter lines keep the guarantee of
+``GUARANTEE`` lines.  The pipeline asks for ``LONG_WORDS``; the query has the rule of its
+SQL, which knows runs of ``GUARANTEE`` lines only.
+
 Defined results: a null text stays null; an empty text, or one without repeated runs,
 is returned as it is; rows equal in id and text are one document and get the same
 result; null ids come first; all other columns are kept, whatever their names, and
@@ -24,9 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblioscope.llm.tables import written
+from biblioscope.llm.tables import word_count, written
 
 GUARANTEE = 2
+LONG_WORDS = 50             # of the pipeline: a line of more words is a run of its own
 NEWLINE = "\n"
 
 
@@ -50,6 +57,16 @@ def stretches(docs: DataFrame, n: int = GUARANTEE) -> DataFrame:
                          F.xxhash64("w").alias("stretch"))
 
 
+def long_lines(docs: DataFrame, long_words: int) -> DataFrame:
+    """Each line of more than ``long_words`` words as a stretch of one line, in the columns of ``stretches``."""
+    solid = F.filter(F.transform(_lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")
+    line = docs.select("id", "key", F.posexplode(solid).alias("at", "line"))
+    # no line of fewer characters holds that many words; the length is cheaper to see
+    line = line.where(F.when(F.length("line") > 2 * long_words, word_count(F.col("line"))).otherwise(0) > long_words)
+    own = F.xxhash64("line")
+    return line.select("id", "key", "at", own.alias("fp"), F.col("at").alias("fp_at"), F.xxhash64(F.array(own)).alias("stretch"))
+
+
 def repeated_stretches(windows: DataFrame) -> DataFrame:
     """The stretches that stand at an earlier position too."""
     place = F.struct("id", "key", "at")
@@ -61,16 +78,23 @@ def repeated_stretches(windows: DataFrame) -> DataFrame:
     first = joined.groupBy("fp", "stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("fp", "stretch", "first")
     return (joined.join(first, ["fp", "stretch"])
-            .where(~place.eqNullSafe(F.col("first"))).select("id", "key", "at"))
+            .where(~place.eqNullSafe(F.col("first"))).select("id", "key", "at", "size"))
 
 
-def dedup_lines(docs: DataFrame, n: int = GUARANTEE) -> DataFrame:
-    """``docs`` without the lines of later repeated runs of ``n`` lines or more, plus ``_n_lines`` and ``_n_removed``."""
+def dedup_lines(docs: DataFrame, n: int = GUARANTEE, long_words: int | None = None) -> DataFrame:
+    """``docs`` without the lines of later repeated runs of ``n`` lines or more, plus ``_n_lines`` and ``_n_removed``.
+
+    With ``long_words``, a later single line of more words goes too.
+    """
     marked = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.col("text").alias("text"), *marked)
-    windows = written(stretches(rows.select("id", "key", "text"), n).distinct(), "stretches")
+    texts = rows.select("id", "key", "text")
+    windows = stretches(texts, n).withColumn("size", F.lit(n))
+    if long_words is not None:
+        windows = windows.unionByName(long_lines(texts, long_words).withColumn("size", F.lit(1)))
+    windows = written(windows.distinct(), "stretches")
     # the lines a text loses, as its non-blank line numbers: bounded by its own lines
-    lost = (repeated_stretches(windows).select("id", "key", F.explode(F.sequence(F.col("at"), F.col("at") + n - 1)).alias("line"))
+    lost = (repeated_stretches(windows).select("id", "key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("line"))
             .groupBy("id", "key").agg(F.collect_set("line").alias("lost")))
     lost = lost.select(F.col("id").alias("lost_id"), F.col("key").alias("lost_key"), "lost")
     joined = rows.join(lost, rows["id"].eqNullSafe(lost["lost_id"]) & (rows["key"] == lost["lost_key"]), "left")

@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines."""
-    return line_dedup.dedup_lines(docs).drop("_n_lines", "_n_removed")
+    """Texts without later repeated runs of lines, a long line being a run of its own."""
+    return line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS).drop("_n_lines", "_n_removed")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 from biblioscope.llm.queries import op7_katz
 from test_operators import TEXTS, _docs, tokens
 
@@ -46,3 +47,24 @@ def test_katz_query_keeps_bigrams_seen_once(spark, tmp_path):
     for i, text in own.items():
         score = sum(math.log10(share(u, v) if pairs[u, v] else weight.get(u, 1) * p(v)) for u, v in zip(["<s>", *text], text))
         assert math.isclose(got[i].score, score, rel_tol=1e-9), i
+
+
+def test_pipeline_line_dedup_takes_long_single_lines(spark):
+    long, short = " ".join(f"p{i}" for i in range(51)), " ".join(f"q{i}" for i in range(50))
+    rows = [(1, f"a\n{long}\nb\n{short}\nc", "s"), (2, f"d\n  {long} \ne\n{short}\nf", "s"), (3, long, "s"), (4, short, "s"),
+            (5, f"{long}\ng\n{long}", "s"), (6, f"c\nh\n{short}\n\ni", "s"), (7, f"h\n{short}\nj", "s"), (3, long, "s"), (8, None, "s"),
+            (None, f"k\n{' '.join(f'r{i}' for i in range(60))}", "s"), (9, " ".join(f"r{i}" for i in range(60)), "s")]
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.lines(spark, _docs(spark, rows), "").collect())
+    # a later line of over 50 words goes, and later pairs of lines that follow each other
+    runs, want = set(), []
+    for i, text in sorted({(i or 0, t or "") for i, t, _ in rows}):
+        solid = [(j, x.strip(" ")) for j, x in enumerate(text.split("\n")) if x.strip(" ")]
+        found = [((x,), (j,)) for j, x in solid if len(x.split()) > 50]
+        found += [((x, y), (j, k)) for (j, x), (k, y) in zip(solid, solid[1:])]
+        gone = set()
+        for run, where in found:
+            gone.update(where if run in runs else ())
+            runs.add(run)
+        want += [(i, "\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone))] * sum(r[0] == (i or None) for r in rows)
+    assert [(i, t or "") for i, t in got] == sorted(want)
+    assert (3, "") in got and (9, "") in got and (4, short) in got and (8, None) in got
