@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from biblioscope.llm import textnp as T
 from biblioscope.llm.components import components
-from biblioscope.llm.tables import key_buckets, lookup, parts, written
+from biblioscope.llm.tables import key_buckets, lookup, parts, text_key, without, written
 
 SHINGLE = 3
 PERCENT = 90
@@ -48,7 +48,7 @@ BLOCK = 1 << 19             # shingles packed at a time
 COUNT_BITS = 48             # of a hash, for counting: a collision only keeps a set in play
 
 PACKED = "bucket int, block long, kind int, a binary, b binary, c binary, d binary"
-MEMBERS = "doc_id long, set_id long, n int, shared int"
+MEMBERS = "doc_id long, text_key long, set_id long, n int, shared int"
 
 
 def set_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def text_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.nda
 def _packer(shingle: int, buckets: int):
     """Blocks of documents, their shingle hashes dealt to buckets and packed in order."""
 
-    def flush(block: int, hashes: list, rows: list, ids: list, docs: list, sizes: list) -> Iterator[pa.RecordBatch]:
+    def flush(block: int, hashes: list, rows: list, ids: list, docs: list, texts: list, sizes: list) -> Iterator[pa.RecordBatch]:
         h, row = np.concatenate(hashes), np.concatenate(rows)
         sets, size = np.concatenate(ids), np.concatenate(sizes)
         # a set that the block holds twice is counted once
@@ -86,7 +86,7 @@ def _packer(shingle: int, buckets: int):
         b = [np.ascontiguousarray(row[cut[i]:cut[i + 1]].view(np.uint8).reshape(-1, 4).T).tobytes() for i in full]
         doc = pa.concat_arrays(docs)
         known = pa.compute.is_valid(doc).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
-        doc = pa.compute.fill_null(doc, 0).to_numpy().astype(np.int64).tobytes()
+        doc = pa.compute.fill_null(doc, 0).to_numpy().astype(np.int64).tobytes() + pa.concat_arrays(texts).to_numpy().astype(np.int64).tobytes()
         n = len(full)
         yield pa.RecordBatch.from_arrays([
             pa.array([*full, block % buckets], pa.int32()), pa.array([block] * (n + 1), pa.int64()),
@@ -95,18 +95,18 @@ def _packer(shingle: int, buckets: int):
             pa.array([None] * n + [known], pa.binary())], names=["bucket", "block", "kind", "a", "b", "c", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, rows = TaskContext.get().partitionId(), 0, ([], [], [], [], []), 0
+        part, seq, held, rows = TaskContext.get().partitionId(), 0, ([], [], [], [], [], []), 0
         total = 0
         for batch in batches:
             for first, h, at in text_sets(batch, shingle):
                 n = np.diff(at)
                 for store, x in zip(held, (h, rows + np.repeat(np.arange(len(n)), n), set_ids(h, at),
-                                           batch.column(0).slice(first, len(n)), n), strict=True):
+                                           batch.column(0).slice(first, len(n)), batch.column(2).slice(first, len(n)), n), strict=True):
                     store.append(x)
                 rows, total = rows + len(n), total + len(h)
                 if total >= BLOCK:
                     yield from flush((part << 24) + seq, *held)
-                    seq, held, rows, total = seq + 1, ([], [], [], [], []), 0, 0
+                    seq, held, rows, total = seq + 1, ([], [], [], [], [], []), 0, 0
         if rows:
             yield from flush((part << 24) + seq, *held)
 
@@ -151,9 +151,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
 
     def done() -> pa.RecordBatch:
-        _, sets, n, docs, member, counts = held
-        return pa.RecordBatch.from_arrays([docs, pa.array(sets[member]), pa.array(n[member].astype(np.int32)),
-                                           pa.array(counts[member].astype(np.int32))], names=["doc_id", "set_id", "n", "shared"])
+        _, sets, n, docs, texts, member, counts = held
+        return pa.RecordBatch.from_arrays([docs, pa.array(texts), pa.array(sets[member]), pa.array(n[member].astype(np.int32)),
+                                           pa.array(counts[member].astype(np.int32))], names=["doc_id", "text_key", "set_id", "n", "shared"])
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -163,16 +163,17 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield done()
                 sets, n = np.frombuffer(a, np.int64).reshape(2, -1)
-                docs = pa.array(np.frombuffer(b, np.int64), mask=np.frombuffer(batch.column(6)[i].as_py(), np.uint8) == 0)
-                held = (block, sets, n, docs, np.frombuffer(batch.column(5)[i].as_py(), np.int64), np.zeros(len(sets), np.int64))
+                docs, texts = np.frombuffer(b, np.int64).reshape(2, -1)
+                docs = pa.array(docs, mask=np.frombuffer(batch.column(6)[i].as_py(), np.uint8) == 0)
+                held = (block, sets, n, docs, texts, np.frombuffer(batch.column(5)[i].as_py(), np.int64), np.zeros(len(sets), np.int64))
             else:
-                held[5][np.frombuffer(a, np.int32)] += np.frombuffer(b, np.int32)
+                held[6][np.frombuffer(a, np.int32)] += np.frombuffer(b, np.int32)
     if held:
         yield done()
 
 
 def members(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, set_id, set size and number of shingles shared with other sets, of every document."""
+    """doc_id, text_key, set_id, set size and number of shingles shared with other sets, of every row (doc_id, text, text_key)."""
     n, buckets = parts(docs.sparkSession), key_buckets(docs.sparkSession)
     packed = docs.mapInArrow(_packer(shingle, buckets), PACKED)
     counted = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_count_shared, PACKED)
@@ -282,8 +283,8 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_id and component_id of every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """doc_id, text_key, n_shingles, set_id, comp (the component's least set) and component_id of every row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text")).alias("text_key"))
     member = written(members(rows, shingle), "members")
     may_lack = F.floor(F.col("n") * (100 - percent) / 100)
     # one document for each set that shares enough
@@ -297,17 +298,24 @@ def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     named = smallest.join(comp, smallest["set_id"] == comp["node"], "left")
     named = named.select("set_id", "first_id", F.coalesce("comp", "set_id").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_set = named.join(ids, "comp").select("set_id", "component_id")
-    solid = member.where("n > 0").join(by_set, "set_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id", "component_id")
-    empty = member.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), "set_id", F.col("doc_id").alias("component_id"))
+    by_set = named.join(ids, "comp").select("set_id", "comp", "component_id")
+    solid = member.where("n > 0").join(by_set, "set_id").select(
+        "doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "set_id", "comp", "component_id")
+    empty = member.where("n = 0").select(
+        "doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), "set_id", F.col("set_id").alias("comp"), F.col("doc_id").alias("component_id"))
     return solid.unionByName(empty)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: the smallest id; rows without words or id stay.
 
-    Repeated rows of the id that is kept are one document and stay.
+    A document is its id and text: rows equal in both go or stay together, other texts of an
+    id stand on their own.  Of several texts of the smallest id, that of smallest hash stays.
     """
-    found = join_components(docs, shingle, percent)
-    gone = written(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return lookup(docs, gone, "gone", F.xxhash64("text"), how="left_anti", left_key="doc_id")
+    found = written(join_components(docs, shingle, percent).where("n_shingles > 0 and doc_id is not null")
+                    .select("doc_id", "text_key", "comp", "component_id").distinct(), "found")
+    of_first = found.where("doc_id = component_id")
+    several = written(of_first.groupBy("comp").agg(F.min("text_key").alias("stays"), F.max("text_key").alias("last"))
+                      .where("stays <> last").select("comp", "stays"), "several")
+    later = lookup(of_first, several, "comp", F.col("text_key"), how="inner").where("text_key <> stays")
+    return without(docs, found.where("doc_id <> component_id").select("doc_id", "text_key").union(later.select("doc_id", "text_key")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioscope.llm import textnp as T
-from biblioscope.llm.tables import lookup, written
+from biblioscope.llm.tables import text_key, without, written
 
 BUCKETS = 1 << 18
 PRIOR = 2.0
@@ -110,6 +110,12 @@ def kth_largest(scores: DataFrame, key: str, k: int) -> tuple[float, int]:
 def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
              share: float | None = None) -> DataFrame:
     """One row per document: log_weight, gumbel_key, kept."""
+    return verdicts(docs, labels, max_labelled, share).drop("text_key")
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
+             share: float | None = None) -> DataFrame:
+    """``resample`` with the ``text_key`` that tells texts of one id apart."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sample = labelled_sample(labels, max_labelled)
@@ -131,11 +137,12 @@ def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
                 row, bucket = _grams(piece)
                 weight = np.bincount(row, ratio[bucket], piece.rows)
                 part = batch.slice(piece.first, piece.rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(weight)],
-                                                 names=["doc_id", "noise", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(weight), part.column(3)],
+                                                 names=["doc_id", "noise", "log_weight", "text_key"])
 
-    scored = (texts.select("doc_id", "text", gumbel(F.col("doc_id"), F.col("text")).alias("noise"))
-              .mapInArrow(score, "doc_id long, noise double, log_weight double"))
+    scored = (texts.select("doc_id", "text", gumbel(F.col("doc_id"), F.col("text")).alias("noise"),
+                           text_key(F.col("text")).alias("text_key"))
+              .mapInArrow(score, "doc_id long, noise double, log_weight double, text_key long"))
     scored = written(scored.withColumn("gumbel_key", F.col("log_weight") + F.col("noise")), "scores")
     n = scored.count()
     k = round(share * n)
@@ -154,7 +161,5 @@ def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` without the rejected rows."""
-    verdict = resample(docs, labels, max_labelled)
-    gone = written(verdict.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return lookup(docs, gone, "gone", F.xxhash64("text"), how="left_anti", left_key="doc_id")
+    """``docs`` without the rejected rows; a row is its id and text, so other texts of its id stand on their own."""
+    return without(docs, verdicts(docs, labels, max_labelled).where("not kept"))

@@ -38,6 +38,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    """Hash that tells texts of one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 BROADCAST_BYTES = 4 << 20
 SALTS = 16
 
@@ -65,3 +70,12 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, spread: Column, how: st
         right = right.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = left.join(right, left[left_key].eqNullSafe(right[joined]) & (left[salt] == right[copy]), how)
     return out.drop(joined, salt, copy)
+
+
+def without(docs: DataFrame, gone: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without the documents of ``gone`` (doc_id, text_key): both must match, and a null id matches a null id."""
+    taken = {c.lower() for c in docs.columns}
+    key = next(n for n in (f"row_key_{i}" for i in range(len(taken) + 1)) if n not in taken)
+    rows = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key")))
+    table = written(gone.select(F.struct("doc_id", "text_key").alias("gone")).distinct(), "gone")
+    return lookup(rows, table, "gone", F.xxhash64("text"), how="left_anti", left_key=key, broadcast_bytes=broadcast_bytes).drop(key)

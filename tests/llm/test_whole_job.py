@@ -3,10 +3,14 @@
 import math
 import zlib
 from collections import Counter
+from itertools import combinations
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from biblioscope.llm.queries import op7_katz
-from test_operators import TEXTS, _docs, tokens
+from biblioscope.llm.tables import text_key, without
+from test_operators import COMMON, TEXTS, _docs, tokens
 
 
 def test_katz_query_keeps_bigrams_seen_once(spark, tmp_path):
@@ -68,3 +72,49 @@ def test_pipeline_line_dedup_takes_long_single_lines(spark):
         want += [(i, "\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone))] * sum(r[0] == (i or None) for r in rows)
     assert [(i, t or "") for i, t in got] == sorted(want)
     assert (3, "") in got and (9, "") in got and (4, short) in got and (8, None) in got
+
+
+def test_pipeline_quality_judges_rows_not_ids(spark, tmp_path):
+    def good(i):
+        return " ".join(f"good{(i * j) % 50}" for j in range(1, 60))
+    rows = [(i, good(i) if i % 4 else "junk " * 60 + str(i), "s") for i in range(200)]
+    rows += [(None, good(i) if i % 4 else "junk " * 60 + str(i), "s") for i in range(201, 213)]
+    rows += [(i // 4 + 500, good(i) if i % 4 else "junk " * 60 + str(i), "s") for i in range(244, 260)]
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.quality(spark, _docs(spark, rows), str(tmp_path)).collect())
+    assert got == sorted((i or -1, t) for i, t, _ in rows if t.startswith("good"))
+
+
+def test_pipeline_near_duplicates_judge_rows_not_ids(spark):
+    other = [" ".join(f"u{k}_{j}" for j in range(80)) for k in range(6)]
+    rows = [(2, COMMON, "s"), (2, other[0], "s"), (1, COMMON, "s"), (1, COMMON, "s"), (1, COMMON + " tail", "s"), (1, other[1], "s"),
+            (3, other[2], "s"), (3, other[3], "s"), (4, other[3] + " x", "s"), (4, other[4], "s"), (None, COMMON, "s"), (None, other[5], "s"),
+            (5, other[5] + " y", "s"), (5, None, "s"), (6, "", "s"), (2, "", "s"), (2, other[0], "s")]
+    sets = {}
+    for _, text, _ in rows:
+        w = tokens(text, True)
+        sets[text] = {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+    group = {t: t for t in sets}
+    for _ in sets:
+        for a, b in combinations([t for t in sets if sets[t]], 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group[a] = group[b] = min(group[a], group[b])
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, _docs(spark, rows), "").collect())
+    given = Counter((i, t) for i, t, _ in rows)
+    assert all(got[r] == given[r] for r in got)                  # equal rows go or stay together
+    assert all(r in got for r in given if r[0] is None or not sets[r[1]])
+    for g in {group[t] for t in sets if sets[t]}:
+        members = {(i, t) for i, t in given if i is not None and sets[t] and group[t] == g}
+        stay = [r for r in members if r in got]
+        assert len(stay) == min(1, len(members)) and all(i == min(m[0] for m in members) for i, _ in stay), g
+
+
+def test_without_matches_id_and_text(spark):
+    rows = [(None, "a", "s"), (None, "b", "s"), (None, None, "s"), (1, "a", "s"), (1, "b", "s"), (1, "b", "s")]
+    docs = _docs(spark, rows)
+    gone = docs.where("text = 'b' and doc_id is null or text = 'a' and doc_id = 1").select("doc_id", text_key(F.col("text")).alias("text_key"))
+    for broadcast_bytes in (1 << 20, 0):
+        out = without(docs, gone, broadcast_bytes)
+        assert out.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter({(None, "a"): 1, (None, None): 1, (1, "b"): 2})
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
