@@ -5,9 +5,8 @@ at most ``buckets`` upper bounds that minimise the padding of all rows, a row be
 padded to its bucket's bound.  Inside each bucket, rows fill batches of
 floor(budget / bound) rows (one at least), so a padded batch keeps the token budget.
 
-Lengths up to 1024 count exactly; longer ones are rounded up to 10 significant bits
-for the choice of bounds, so the histogram has at most 1024 + 512 rows per further
-doubling of the longest text.  A bound is never below a length in its bucket.
+Every length counts exactly, so a bound is the longest length of its bucket.  The
+histogram has a row per distinct length: at most the root of twice the corpus's words.
 
 Rows get their place in a bucket without one task holding the bucket: they are dealt
 to slices by a hash, numbered inside the slice, and shifted by the sums of the slices
@@ -28,14 +27,6 @@ from biblioscope.llm.tables import parts, word_count, written
 
 BUCKETS = 16
 BUDGET = 32_768
-EXACT_BITS = 10
-
-
-def rounded(length: Column) -> Column:
-    """Length rounded up to ``EXACT_BITS`` significant bits."""
-    shift = F.greatest(F.ceil(F.log2(length + 1)).cast("int") - EXACT_BITS, F.lit(0))
-    unit = F.pow(F.lit(2.0), shift).cast("long")
-    return F.ceil(length / unit).cast("long") * unit
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -94,14 +85,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     length = word_count(F.col("text")) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     # rows equal in id and length are one counted row: numbered as a run below
     runs = written(docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens"))
-                   .groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
-                   .withColumn("upto", rounded(F.col("n_tokens"))), "lengths")
-    histogram = (runs.groupBy("upto").agg(F.sum("copies").alias("rows")).orderBy("upto").collect())
-    bounds = optimal_bounds(np.array([r["upto"] for r in histogram]), np.array([r["rows"] for r in histogram]), buckets)
+                   .groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("copies")), "lengths")
+    histogram = (runs.groupBy("n_tokens").agg(F.sum("copies").alias("rows")).orderBy("n_tokens").collect())
+    bounds = optimal_bounds(np.array([r["n_tokens"] for r in histogram]), np.array([r["rows"] for r in histogram]), buckets)
     bucket, bound = F.lit(0), F.lit(bounds[-1] if bounds else 0)
     for i, b in reversed(list(enumerate(bounds))):
-        bucket = F.when(F.col("upto") <= b, F.lit(i)).otherwise(bucket)
-        bound = F.when(F.col("upto") <= b, F.lit(b)).otherwise(bound)
+        bucket = F.when(F.col("n_tokens") <= b, F.lit(i)).otherwise(bucket)
+        bound = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bound)
     placed = runs.select("doc_id", "n_tokens", "copies", bucket.cast("int").alias("bucket"),
                          bound.cast("long").alias("padded_length"),
                          F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(slices)).cast("int").alias("slice"))

@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from biblioscope.llm import packing
 from biblioscope.llm.queries import op7_katz
 from biblioscope.llm.tables import text_key, without
 from test_operators import COMMON, TEXTS, _docs, tokens
@@ -118,3 +119,13 @@ def test_without_matches_id_and_text(spark):
         assert out.columns == docs.columns
         assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter({(None, "a"): 1, (None, None): 1, (1, "b"): 2})
         assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packing_pads_long_texts_least(spark):
+    lengths = [0, 7, 900, 1025, 1025, 1027, 2049, 2051, 2051, 4099, 20_020]
+    docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    rows = packing.pack(docs, length=F.col("n"), buckets=4).collect()
+    assert sorted(r.n_tokens for r in rows) == lengths and {r.padded_length for r in rows} <= set(lengths)
+    best = min(sum(min(b for b in (*inner, max(lengths)) if b >= x) - x for x in lengths)
+               for inner in combinations(sorted(set(lengths) - {max(lengths)}), 3))
+    assert sum(r.padded_length - r.n_tokens for r in rows) == best
