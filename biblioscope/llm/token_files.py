@@ -16,10 +16,10 @@ magic as the line end, and come back by its binary reader, so any store will do.
 
 *Encoding.*  White space never joins two tokens of a tokenizer that normalises with
 NFC, collapsed blanks and lower case and then splits into runs of letters, digits and
-other marks; so with such a file (``_Encoder`` looks at its recipe) an ASCII text is
+other marks; so with such a file (``_Encoder`` looks at its recipe) a Latin text is
 split into those runs here and the tokenizers library's model encodes each distinct
-run of a task once.  Other words, other recipes and texts that hold a special token go
-through the library's whole ``encode``.
+run once while a worker remembers it.  Other words, other recipes and words that hold a
+special token go through the library's whole ``encode``.
 
 Defined results: a null text is an empty text, which has its end id alone; a null
 ``doc_id`` stands before all others; rows of one id are ordered by text hash; equal
@@ -51,7 +51,7 @@ END_ID = 1
 LENGTH = 2048               # ids of a sequence, a multiple of 8 so that masks begin on bytes
 BATCH = 64                  # sequences of a record batch
 FILE_IDS = 4 << 20          # a file is closed once it holds as many
-RUNS = 200_000              # distinct runs a worker remembers
+RUNS = 400_000              # distinct runs a worker remembers
 MAGIC = b"ARROW1"           # the format's closing bytes
 
 # --- encoding -----------------------------------------------------------------
@@ -62,10 +62,14 @@ RECIPE = {
     "blanks": {"Regex": r"\s+"},
     "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-# The same split where all is lower-case ASCII.
-ASCII_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+# Texts of ASCII and the Latin letters that are one code point below 256: there lower case and
+# composition are plain, and the same split is this.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+SIMPLE = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+SIMPLE_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\t-\\r 0-9{LETTERS}]+")
 BLANKS = re.compile(r"[\t-\r ]+")
-PRINTABLE = re.compile(r"[!-~]+")
+PRINTABLE = re.compile(f"[!-~{LETTERS}]+")
+AT_ONCE = 1 << 17           # runs of a text that are looked up together
 WORKER = "biblioscope_worker_cache"
 
 
@@ -77,48 +81,62 @@ class _Encoder:
         self.model = self.whole.model
         self.special = [t["content"] for t in json.loads(spec).get("added_tokens") or []]
         self.by_words = _parts_at_blanks(json.loads(spec)) and not any(BLANKS.search(t) for t in self.special)
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[str, bytes] = {}
+        self.as_chars = dict(enumerate(_byte_chars()))
 
     def encode(self, text: str) -> np.ndarray:
-        out: list[int] = []
         if not self.by_words:
-            out = self._plain(text)
+            found = self._plain(text)
         elif any(t in text for t in self.special):
-            for word in BLANKS.split(text):
-                out += self._plain(word) if any(t in word for t in self.special) else self._word(word)
-        elif text.isascii():
-            out = self._ascii(text)
+            found = b"".join(self._plain(w) if any(t in w for t in self.special) else self._words([w]) for w in BLANKS.split(text))
+        elif SIMPLE.fullmatch(text):
+            found = self._simple(text)
         else:
-            for word in BLANKS.split(text):
-                out += self._word(word)
-        return np.array(out, np.uint32)
-
-    def _plain(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
-
-    def _word(self, word: str) -> list[int] | tuple[int, ...]:
-        if word.isascii():
-            return self._ascii(word)
-        ids = self.runs.get(word)
-        return self._learn(word) if ids is None else ids
-
-    def _ascii(self, text: str) -> list[int]:
-        out, known = [], self.runs
-        for run in ASCII_RUNS.findall(text.lower()):
-            ids = known.get(run)
-            out += self._learn(run) if ids is None else ids
+            found = self._words(BLANKS.split(text))
+        return np.frombuffer(found, np.uint32)
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _words(self, words: list[str]) -> bytes:
+        """Words without blanks: simple ones side by side as one text, others whole."""
+        out, simple = [], []
+        for w in words:
+            if w.isascii() or SIMPLE.fullmatch(w):
+                simple.append(w)
+            else:
+                out += [self._simple(" ".join(simple)), self._look_up([w])]
+                simple = []
+        return b"".join([*out, self._simple(" ".join(simple))])
+
+    def _simple(self, text: str) -> bytes:
+        runs = SIMPLE_RUNS.findall(text.lower())
+        return b"".join(self._look_up(runs[i:i + AT_ONCE]) for i in range(0, len(runs), AT_ONCE))
+
+    def _look_up(self, runs: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.runs.__getitem__, runs))
+        except KeyError:
+            new = {r: self._learn(r) for r in set(runs).difference(self.runs)}
+        out = b"".join([new[r] if r in new else self.runs[r] for r in runs])
+        if len(self.runs) + len(new) > RUNS:
+            self.runs.clear()
+        self.runs.update((r, ids) for r, ids in new.items() if len(r) <= 64)
         return out
 
-    def _learn(self, run: str) -> tuple[int, ...]:
-        if PRINTABLE.fullmatch(run):         # the byte-level step leaves printable ASCII as it is
-            ids = tuple(t.id for t in self.model.tokenize(run))
-        else:
-            ids = tuple(self._plain(run))
-        if len(self.runs) >= RUNS:
-            self.runs.clear()
-        if len(run) <= 64:
-            self.runs[run] = ids
-        return ids
+    def _learn(self, run: str) -> bytes:
+        """The model alone knows a run that the byte-level step turns into letters one by one."""
+        if PRINTABLE.fullmatch(run):
+            chars = run if run.isascii() else "".join(map(self.as_chars.__getitem__, run.encode()))
+            return np.array([t.id for t in self.model.tokenize(chars)], np.uint32).tobytes()
+        return self._plain(run)
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte at byte level: itself where it prints, else the next free one."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
 
 
 def _parts_at_blanks(spec: dict) -> bool:
