@@ -1,8 +1,9 @@
 """Legacy archive converter: ARC files (versions 1 and 2) to WARC, and back to rows.
 
 Archives are plain files in a folder, gzip-compressed, written and read by Spark's own
-text writer and binary reader, so any store that Spark reaches will do.  A file holds
-at most ``RECORDS`` records, which bounds what one task holds at a time.
+text writer and binary reader, so any store that Spark reaches will do.  A file is
+closed at the first record past ``ARCHIVE_BYTES``, which bounds what one task holds at a
+time; a page is never cut.
 
 *Reading ARC.*  The first record of a file is its version block; its third line names
 the fields of the header lines that follow, which differ between version 1 and 2.  A
@@ -14,7 +15,8 @@ payload and block digests (base32 SHA-1) are synthesised.  The smallest id among
 records of one payload is the response; the others revisit it and carry no payload.
 Which is which follows from a map-side minimum per digest and a join of narrow rows;
 decisions go back to each archive as one list, bounded by its records, so payloads
-are shuffled once, compressed, and never by digest.
+stay with their archive: they are shuffled, compressed, only where the lists are too
+large to broadcast, and never by digest.
 
 Defined results: a null page is an empty payload; a null URL is written as ``-`` and
 blanks in URLs are percent-encoded; a null page id ranks after all others; of rows
@@ -39,10 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioscope.llm.tables import scratch_path
+from biblioscope.llm.tables import lookup, scratch_path, written
 
-RECORDS = 10_000
-SLICE = 256                 # records handed to Spark at a time
+ARCHIVE_BYTES = 8 << 20     # uncompressed
+PADDING = "\0"              # gzip readers skip zero bytes after the data
 # Fixed values of the two formats.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -58,18 +60,19 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _one_column(records: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
+def _archive(records: list[bytes]) -> pa.RecordBatch:
+    """One row: the records of a file, each with its separator, compressed."""
+    return pa.RecordBatch.from_arrays([pa.array([gzip.compress(b"".join(records), 1, mtime=0)], pa.binary())], names=["file"])
 
 
-def _save(records: DataFrame, path: str, separator: str) -> None:
-    """Raw records to gzip files, each followed by the format's separator."""
-    (records.select(F.col("record").cast("string").alias("value")).write
-     .option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path))
+def _save(files: DataFrame, path: str) -> None:
+    """Each row's bytes as a file of its own."""
+    (files.select(F.col("file").cast("string").alias("value")).write
+     .option("lineSep", PADDING).option("maxRecordsPerFile", 1).text(path))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
             .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
 
 
@@ -95,32 +98,31 @@ def _http(page_id: int | None, payload: bytes) -> bytes:
 
 
 def _to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each file's first record is its version block: one for every ``RECORDS`` rows written."""
-    part, n, out = TaskContext.get().partitionId(), 0, []
+    """Files of whole records, a version block first."""
+    part, number, size, out = TaskContext.get().partitionId(), 0, 0, []
     version = 1 + part % 2
     for batch in batches:
         ids, urls, pages = (batch.column(i) for i in range(3))
         for i in range(batch.num_rows):
             page_id = ids[i].as_py()
             date = (EPOCH + timedelta(seconds=(page_id or 0) % SPAN)).strftime("%Y%m%d%H%M%S")
-            if n % RECORDS == 0:
-                name = f"pages-{part:06d}-{n // RECORDS:06d}.arc"
-                out.append(version_block(name, version, date))
-                n += 1
+            if not out:
+                name = f"pages-{part:06d}-{number:06d}.arc"
+                out += [version_block(name, version, date), b"\n"]
             url = quote(urls[i].as_py() or "-", safe="%/:=&?~#+!$,;'@()*[]|{}^`<>\\\"")
-            out.append(arc_record(version, name, url, date, _http(page_id, (pages[i].as_py() or "").encode())))
-            n += 1
-            if len(out) >= SLICE:
-                yield _one_column(out)
-                out = []
+            out += [arc_record(version, name, url, date, _http(page_id, (pages[i].as_py() or "").encode())), b"\n"]
+            size += len(out[-2])
+            if size >= ARCHIVE_BYTES:
+                yield _archive(out)
+                number, size, out = number + 1, 0, []
     if out:
-        yield _one_column(out)
+        yield _archive(out)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
     """``pages`` (page_id, url, html) as ARC files, version 1 or 2 by task."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    _save(rows.mapInArrow(_to_arc, "record binary"), path, "\n")
+    _save(rows.mapInArrow(_to_arc, "file binary"), path)
 
 
 def read_arc(data: bytes) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
@@ -189,19 +191,19 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield from _convert(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or [])
+            yield _archive(list(_convert(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or [])))
 
 
-def _convert(file: str, content: bytes, revisits: list[dict]) -> Iterator[pa.RecordBatch]:
+def _convert(content: bytes, revisits: list[dict]) -> Iterator[bytes]:
     """One archive: its records as WARC, those listed in ``revisits`` without payload."""
-    refers, out, begun = {r["offset"]: r for r in revisits}, [], False
+    refers, begun = {r["offset"]: r for r in revisits}, False
     for archive, offset, fields, document in read_arc(gzip.decompress(content)):
         date = warc_date(fields["Archive-date"])
         if not begun:
             begun = True
             info = f"software: biblioscope\r\nisPartOf: {archive}\r\n".encode()
-            out.append(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", warc_id(archive, -1)), ("WARC-Date", date),
-                                    ("WARC-Filename", archive), ("Content-Type", "application/warc-fields")], info))
+            yield warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", warc_id(archive, -1)), ("WARC-Date", date),
+                               ("WARC-Filename", archive), ("Content-Type", "application/warc-fields")], info) + CRLF + CRLF
         head, payload = split_http(document)
         common = [("WARC-Record-ID", warc_id(archive, offset)), ("WARC-Date", date), ("WARC-Target-URI", fields["URL"]),
                   ("WARC-IP-Address", fields["IP-address"]), ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}")]
@@ -211,30 +213,27 @@ def _convert(file: str, content: bytes, revisits: list[dict]) -> Iterator[pa.Rec
             common.append(("Content-Type", fields["Content-type"]))
         if offset in refers:
             first = refers[offset]
-            out.append(warc_record([("WARC-Type", "revisit"), *common, ("WARC-Profile", REVISIT_PROFILE),
-                                    ("WARC-Refers-To", first["record_id"]), ("WARC-Refers-To-Target-URI", first["url"]),
-                                    ("WARC-Refers-To-Date", first["date"])], head))
+            yield warc_record([("WARC-Type", "revisit"), *common, ("WARC-Profile", REVISIT_PROFILE),
+                               ("WARC-Refers-To", first["record_id"]), ("WARC-Refers-To-Target-URI", first["url"]),
+                               ("WARC-Refers-To-Date", first["date"])], head) + CRLF + CRLF
         else:
-            out.append(warc_record([("WARC-Type", "response" if head else "resource"), *common], document))
-        if len(out) >= SLICE:
-            yield _one_column(out)
-            out = []
-    if out:
-        yield _one_column(out)
+            yield warc_record([("WARC-Type", "response" if head else "resource"), *common], document) + CRLF + CRLF
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """All archives of ``arc_path`` as WARC files in ``warc_path``."""
     files = _files(spark, arc_path)
-    index = files.mapInArrow(_index, INDEX)
+    index = written(files.mapInArrow(_index, INDEX), "index")
     place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "offset")
     seen = index.groupBy("digest").agg(F.min(F.struct(place.alias("place"), "record_id", "url", "date")).alias("first"),
                                        F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = (index.select("file", "offset", "digest", place.alias("place")).join(seen.select("digest", "first"), "digest")
+    later = (lookup(index.select("file", "offset", "digest", place.alias("place")), written(seen.select("digest", "first"), "seen"),
+                    "digest", F.xxhash64("file", "offset"), how="inner")
              .where(F.col("place") != F.col("first.place"))
              .groupBy("file").agg(F.collect_list(F.struct("offset", "first.record_id", "first.url", "first.date")).alias("revisits")))
-    joined = files.join(later, "file", "left").select("file", "content", "revisits")
-    _save(joined.mapInArrow(_to_warc, "record binary"), warc_path, "\r\n\r\n")
+    # broadcast by Spark where the written lists are within the session's threshold
+    joined = files.join(written(later, "revisits"), "file", "left").select("content", "revisits")
+    _save(joined.mapInArrow(_to_warc, "file binary"), warc_path)
 
 
 RECORD = ("record_type string, record_id string, refers_to_id string, date string, url string, page_id long, "
@@ -275,11 +274,12 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, warc_path: str) -> DataFrame:
     """One row per record; a revisit has the length and id of the response it refers to."""
-    records = _files(spark, warc_path).mapInArrow(_records, RECORD)
+    records = written(_files(spark, warc_path).mapInArrow(_records, RECORD), "records")
     full = records.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).drop("refers_to_id")
-    target = full.select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("n"), F.col("page_id").alias("refers_to"))
-    again = (records.where("record_type = 'revisit'").drop("payload_bytes").join(target, "refers_to_id", "left")
-             .withColumnRenamed("n", "payload_bytes").drop("refers_to_id"))
+    again = records.where("record_type = 'revisit'").drop("payload_bytes")
+    target = (full.select(F.col("record_id").alias("refers_to_id"), "payload_bytes", F.col("page_id").alias("refers_to"))
+              .join(again.select("refers_to_id").distinct(), "refers_to_id"))
+    again = lookup(again, written(target, "targets"), "refers_to_id", F.xxhash64("record_id")).drop("refers_to_id")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date", "url"]
     return full.select(columns).unionByName(again.select(columns))
 
