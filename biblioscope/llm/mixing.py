@@ -7,7 +7,7 @@ weight.  With r = cap / weight the capped sources are a prefix in the order of r
 running sums give the level in closed form.
 
 Each document is taken floor(rate) times, plus once more with a probability equal to
-the fraction: a hash of id and seed against it, the same in every run.
+the fraction: a hash of id, seed and text against it, the same in every run.
 
 Defined results: a null text is an empty text of size 0; null is a source of its own;
 a source of size 0 has target 0 and its documents are taken 0 times; rows equal in id
@@ -57,10 +57,10 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST,
     return free.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
 
-def copies(rate: Column, id_col: Column, seed: int = SEED) -> Column:
-    """floor(rate), plus one where the hash of the id falls below the fraction."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 12),
-                  16, 10).cast("double") / float(1 << 48)
+def copies(rate: Column, id_col: Column, text: Column, seed: int = SEED) -> Column:
+    """floor(rate), plus one where the hash of id and text falls below the fraction."""
+    row = F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.coalesce(text.cast("string"), F.lit("")))
+    draw = F.conv(F.substring(F.md5(row.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
@@ -68,8 +68,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """Documents with size, source_size, target and the number of copies to take."""
     sized = docs.withColumn("size", word_count(F.col("text")))
     targets = written(source_targets(sized.select("source", "size")), "targets")
-    joined = lookup(sized, targets, "source", F.xxhash64("doc_id"))
-    return joined.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).drop("rate")
+    joined = lookup(sized, targets, "source", F.xxhash64("doc_id", "text"))
+    return joined.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("text"))).drop("rate")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def emit(docs: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 with sized as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size
+  select doc_id, source, text, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size
   from documents),
 per as (
   select source, sum(size)::bigint as source_size,
@@ -106,7 +106,7 @@ targets as (select source, source_size,
 rates as (select *, case when source_size > 0 then least(target / source_size, {MOST}::double) else 0 end as rate from targets),
 drawn as (
   select doc_id, size, source_size, target, s.source,
-         floor(rate) + case when ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':{SEED}'), 1, 12))::bigint::double
+         floor(rate) + case when ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':{SEED}:' || coalesce(text, '')), 1, 12))::bigint::double
                                  / 281474976710656.0::double < rate - floor(rate) then 1 else 0 end as copies
   from sized s join rates r on s.source is not distinct from r.source)
 select doc_id, size, source_size, target, (copies * size)::bigint as taken, source, copies::bigint as copies from drawn
