@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from biblioscope.llm import textnp as T
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 ROW = "block long, kind int, bucket int, seq int, doc_id long, text string, a binary, b binary, c binary, d binary"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
 TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}

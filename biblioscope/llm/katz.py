@@ -10,9 +10,8 @@ probability, and a word not in training the probability that discounting left ov
            = a(u) p(v)                       else
     p(v)   = d1(c) c(v) / N, or the rest of the unigram mass for an unknown word
 
-The query and ``model_tables`` have ``least`` 1: every bigram of the training folds
-counts, those seen once with the share that d(1) leaves them.  ``MIN_COUNT`` is the
-pruned model that ``score`` gives where no other count is asked for.
+``least`` is 1 unless a caller asks for a pruned model: every bigram of the training
+folds counts, those seen once with the share that d(1) leaves them.
 
 a(u) makes every history's probabilities sum to exactly one.  The pseudo count in
 c(u) + 1 keeps mass for backoff where every follower of u is too frequent to be
@@ -45,9 +44,9 @@ from pyspark.sql import functions as F
 
 from biblioscope.llm import blocks as B
 from biblioscope.llm import textnp as T
-from biblioscope.llm.tables import key_buckets, parts, written
+from biblioscope.llm.tables import parts, written
 
-MIN_COUNT = 2
+BUCKET_TEXT = 3 << 20       # bytes of text whose distinct n-grams make a bucket
 LARGEST = 5                 # counts up to this are discounted
 FOLDS, HELD_OUT = 7, 2
 START, END = T.U64(0x5BD1E995A3C59AC3), T.U64(0x27D4EB2F165667C5)
@@ -121,10 +120,12 @@ def _totals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         own = [r for r in asked if r["kind"] == kind]
         if not own:
             continue
-        keys = [T.from_planes(r["a"]) for r in own]
+        keys = [T.from_planes(r.pop("a")) for r in own]
         size = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        uniq, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([B.from_ints(r["b"]) for r in own]), len(uniq)).astype(np.int64)
+        keys = np.concatenate(keys)
+        uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
+        n = np.bincount(inverse, np.concatenate([B.from_ints(r.pop("b")) for r in own]), len(uniq)).astype(np.int64)
         s = stats[kind - 1]
         s[:LARGEST + 1] = np.bincount(n[n <= LARGEST + 1], minlength=LARGEST + 2)[1:]
         s[LARGEST + 1], s[LARGEST + 2] = (n > 0).sum(), n.sum()
@@ -281,10 +282,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def train(docs: DataFrame, least: int) -> tuple[DataFrame, Model, int]:
+def text_buckets(docs: DataFrame) -> int:
+    """Buckets of the key space, by measured bytes of text: a task sorts one bucket's keys in memory."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * parts(docs.sparkSession), -(-size // BUCKET_TEXT))
+
+
+def train(docs: DataFrame, least: int, n: int) -> tuple[DataFrame, Model, int]:
     """Totals for every block (a written table), the model's few numbers, and the number of training texts."""
-    spark = docs.sparkSession
-    n = key_buckets(spark)
     totals = written(B.by_bucket(docs.mapInArrow(_ask(n), B.ROW), n, lambda batches: _totals(batches, least)), "totals")
     stats = sum((np.frombuffer(r["a"], "<i8").reshape(2, -1) for r in totals.where(F.col("kind") == STATS).select("a").collect()),
                 np.zeros((2, LARGEST + 4), np.int64))          # one row a bucket
@@ -293,10 +298,11 @@ def train(docs: DataFrame, least: int) -> tuple[DataFrame, Model, int]:
     return totals, Model(stats), starts
 
 
-def score(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
+def score(docs: DataFrame, least: int = 1) -> DataFrame:
     """Every text's score under the model of bigrams seen ``least`` (1 or more) times in the folds that are not held out."""
-    rows, n, buckets = _rows(docs), parts(docs.sparkSession), key_buckets(docs.sparkSession)
-    totals, model, starts = train(rows, least)
+    rows, n = _rows(docs), parts(docs.sparkSession)
+    buckets = text_buckets(rows)
+    totals, model, starts = train(rows, least, buckets)
     answers = totals.where(F.col("kind") != STATS)
     asked = B.with_texts(rows, answers, n, _score(model, starts, buckets), B.ROW)
     weighed = B.by_bucket(asked, buckets, _back_off)
@@ -308,7 +314,8 @@ def model_tables(docs: DataFrame, path: str, least: int = 1) -> None:
     (history, word, c, p) and ``backoff`` (history, weight), for use outside this scoring."""
     spark: SparkSession = docs.sparkSession
     n = parts(spark)
-    _, model, starts = train(_rows(docs), least)
+    rows = _rows(docs)
+    _, model, starts = train(rows, least, text_buckets(rows))
     test = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
                              r"[\x20\x09-\x0D]+"), lambda w: w != "")
