@@ -87,21 +87,59 @@ def quartile_by_country_long(flat: DataFrame) -> DataFrame:
     return wide_to_long(quartile_by_country_wide(flat))
 
 
+def label_counts_by_country(flat: DataFrame) -> DataFrame:
+    """Rows per (country, label), whatever the label; null countries and labels dropped."""
+    return quartile_counts(flat, "country")
+
+
+def wide_from_labels(labels: DataFrame) -> DataFrame:
+    """``quartile_by_country_wide`` from ``label_counts_by_country``.
+
+    A country all of whose rows lack a label has no row in ``labels``; the callers add it.
+    """
+    n = F.col("n")
+    return labels.groupBy("country").agg(
+        *[F.coalesce(F.sum(F.when(F.col("quartile") == label, n)), F.lit(0)).cast("long").alias(label) for label in QUARTILES])
+
+
+def dense_labels(labels: DataFrame) -> DataFrame:
+    """(country, quartile, n, total): every country with every label of the data, zeros included.
+
+    The label list is a scalar subquery over the counted table, so labels are rows all
+    the way: their spelling and number never become columns, and building the plan runs
+    no job.  A country's absent labels are the list without its own (one hash lookup a
+    label); no cross join is planned.
+    """
+    every = labels.select(F.array_sort(F.collect_set("quartile"))).scalar()
+    own = labels.groupBy("country").agg(F.collect_list(F.struct("quartile", "n")).alias("own"), F.sum("n").alias("total"))
+    own = own.select("country", "own", "total", every.alias("every"))
+    absent = F.transform(F.array_except("every", F.col("own")["quartile"]),
+                         lambda q: F.struct(q.alias("quartile"), F.lit(0).cast("long").alias("n")))
+    return own.select("country", "total", F.inline(F.concat("own", absent))).select("country", "quartile", "n", "total")
+
+
+def label_table_by_country(labels: DataFrame) -> DataFrame:
+    """Country x label counts as rows, zeros included, for every label the data carries."""
+    return dense_labels(labels).select("country", "quartile", "n")
+
+
+def label_share_by_country(labels: DataFrame, digits: int = 6) -> DataFrame:
+    share = F.round(F.col("n").cast("double") / F.col("total"), digits)
+    return dense_labels(labels).select("country", "quartile", share.alias("share"))
+
+
 def quartile_share_by_country(flat: DataFrame, digits: int = 6) -> DataFrame:
     """Share of every label the data carries in a country's labelled rows.
 
     Rows without country or label do not count; a label that a country lacks has
     share 0, and a country without any label does not appear.
     """
-    counts = (flat.where(F.col("country").isNotNull() & F.col("quartile").isNotNull())
-              .groupBy("country").pivot("quartile").agg(F.count(F.lit(1))))
-    labels = [c for c in counts.columns if c != "country"]
-    if not labels:
-        return counts.select("country", F.lit(None).cast("string").alias("quartile"),
-                             F.lit(None).cast("double").alias("share"))
-    quoted = [F.col(f"`{label}`") for label in labels]
-    total = sum((F.coalesce(q, F.lit(0)) for q in quoted), F.lit(0))
-    shares = counts.select("country", *[
-        F.round(F.coalesce(q, F.lit(0)).cast("double") / total, digits).alias(label)
-        for q, label in zip(quoted, labels)])
-    return shares.unpivot("country", [F.col(f"`{label}`") for label in labels], "quartile", "share")
+    return label_share_by_country(label_counts_by_country(flat), digits)
+
+
+def unranked_by_country(labels: DataFrame) -> DataFrame:
+    """Per country, its labelled rows and those whose label is none of Q1-Q4, with their share."""
+    n, other = F.col("n"), ~F.col("quartile").isin(*QUARTILES)
+    counts = labels.groupBy("country").agg(F.sum("n").alias("labelled"),
+                                           F.coalesce(F.sum(F.when(other, n)), F.lit(0)).cast("long").alias("other"))
+    return counts.withColumn("share", F.round(F.col("other").cast("double") / F.col("labelled"), 6))

@@ -19,7 +19,7 @@ from biblioscope.operators import distributions as dist
 from biblioscope.operators import keywords as kw
 from biblioscope.operators import rankings as rk
 from biblioscope.operators.affiliations import article_affiliations, article_countries
-from biblioscope.sources.tables import Workspace, workspace
+from biblioscope.sources.tables import Workspace, landed_workspace, workspace
 
 Result = Callable[[Workspace], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,13 @@ def _date_counts(ws: Workspace) -> DataFrame:
     return ws.derived("date_counts", lambda: art.date_counts(_dated(ws)))
 
 
+def _country_labels(ws: Workspace) -> DataFrame:
+    """Rows per (country, label); shared by three results, written once."""
+    return ws.derived("country_labels", lambda: rk.label_counts_by_country(_flat(ws)))
+
+
 def _country_wide(ws: Workspace) -> DataFrame:
-    """Q1..Q4 counts per country; shared by five results, written once."""
+    """Q1..Q4 counts per country; shared by four results, written once."""
     return ws.derived("country_quartiles", lambda: rk.quartile_by_country_wide(_flat(ws)))
 
 
@@ -87,7 +92,9 @@ RESULTS: dict[str, Result] = {
     "countries_per_quartile": lambda ws: rk.countries_per_quartile(_flat(ws)),
     "quartile_by_country_wide": _country_wide,
     "quartile_by_country_long": _country_long,
-    "quartile_share_by_country": lambda ws: rk.quartile_share_by_country(_flat(ws)),
+    "quartile_share_by_country": lambda ws: rk.label_share_by_country(_country_labels(ws)),
+    "label_table_by_country": lambda ws: rk.label_table_by_country(_country_labels(ws)),
+    "unranked_by_country": lambda ws: rk.unranked_by_country(_country_labels(ws)),
     "quartile_count_histogram": lambda ws: dist.quartile_count_histogram(_country_long(ws)),
     "quartile_count_density": lambda ws: dist.quartile_count_density(_country_long(ws)),
     # authors and labs
@@ -110,6 +117,7 @@ RESULTS: dict[str, Result] = {
 SHARED: dict[str, Result] = {
     "doi_countries": _doi_countries,
     "country_quartiles": _country_wide,
+    "country_labels": _country_labels,
     "date_counts": _date_counts,
 }
 
@@ -129,6 +137,24 @@ def _over_testdata(result: Result) -> Query:
 
 QUERIES: dict[str, Query] = {name: _over_testdata(fn) for name, fn in RESULTS.items()}
 
+
+# Results over exported files that are landed again, damaged records among them.
+LANDED: dict[str, Result] = {
+    "landing_report": lambda ws: ws.landing_report(),
+    "landing_quarantine": lambda ws: ws.quarantine(),
+    "landed_articles": lambda ws: art.articles_table(_dated(ws)),
+    "landed_journals_flat": _flat,
+    "landed_author_labs": lambda ws: ws.authors_labs(),
+    "landed_country_pairs": lambda ws: col.ordered_tuples(_tuples(ws, 2), 2),
+}
+
+
+def _over_landing(result: Result) -> Query:
+    return lambda spark, sf_dir: result(landed_workspace(spark, sf_dir))
+
+
+QUERIES.update({name: _over_landing(fn) for name, fn in LANDED.items()})
+
 # The flagship result: nested explode, size-checked join, per-doi sets,
 # combinations and a pre-aggregated count.
 FLAGSHIP = "country_pairs"

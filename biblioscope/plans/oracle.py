@@ -342,3 +342,64 @@ GROUP BY name ORDER BY article_count DESC, name LIMIT 10""",
     "distinct_authors": _with("article_authors") + """
 SELECT DISTINCT name FROM article_authors""",
 }
+
+# Labels of any spelling, as rows.
+ORACLE_SQL["label_table_by_country"] = _with("journals_flat") + """
+, labelled AS (SELECT country, quartile FROM journals_flat WHERE country IS NOT NULL AND quartile IS NOT NULL)
+SELECT c.country, q.quartile, CAST(count(l.country) AS BIGINT) AS n
+FROM (SELECT DISTINCT country FROM labelled) c CROSS JOIN (SELECT DISTINCT quartile FROM labelled) q
+LEFT JOIN labelled l ON l.country = c.country AND l.quartile = q.quartile
+GROUP BY 1, 2"""
+ORACLE_SQL["unranked_by_country"] = _with("journals_flat") + """
+SELECT country, CAST(count(*) AS BIGINT) AS labelled,
+       CAST(count_if(quartile NOT IN ('Q1', 'Q2', 'Q3', 'Q4')) AS BIGINT) AS other,
+       round(count_if(quartile NOT IN ('Q1', 'Q2', 'Q3', 'Q4')) / CAST(count(*) AS DOUBLE), 6) AS share
+FROM journals_flat WHERE country IS NOT NULL AND quartile IS NOT NULL GROUP BY country"""
+
+# The exported copy: documents of every 53rd key (rest 7) are damaged, so their rows are missing.
+_SOUND = "% 53 <> 7"
+_LANDED_PAIRS = f"""
+, sound_labs AS (
+  SELECT DISTINCT 'LAB-' || (c_custkey % 40) AS lab, n_name AS country
+  FROM customer JOIN nation ON n_nationkey = (c_custkey % 40) % 25
+  WHERE c_custkey % 37 <> 36 AND c_custkey % 40 <> 39 AND c_custkey {_SOUND}),
+sound_countries AS (
+  SELECT DISTINCT x.doi, c.country FROM author_lab_rows x JOIN sound_labs c ON x.lab = c.lab
+  WHERE CAST(x.doi AS BIGINT) {_SOUND})
+SELECT a.country AS country_a, b.country AS country_b, CAST(count(*) AS BIGINT) AS collaboration_count
+FROM sound_countries a JOIN sound_countries b ON a.doi = b.doi AND a.country < b.country GROUP BY 1, 2"""
+_COPIED = "(k % 97 = 0 OR k % 41 = 16)"
+ORACLE_SQL["landing_report"] = _with("articles", "authors_labs", "journals") + f"""
+, labs AS (SELECT c_custkey AS k FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0),
+arts AS (SELECT k FROM articles0 UNION ALL SELECT k FROM articles0 WHERE {_COPIED}),
+clean_labs AS (SELECT DISTINCT c_name AS name FROM customer WHERE c_custkey {_SOUND}),
+clean_journals AS (SELECT DISTINCT journal_name, issn, country, p FROM journals WHERE p {_SOUND}),
+clean_articles AS (SELECT DISTINCT doi, article_title, journal_name, publication_date, keywords FROM articles
+                   WHERE CAST(doi AS BIGINT) {_SOUND})
+SELECT 'Authors Labs' AS collection, CAST(count(*) AS BIGINT) AS rows_landed, CAST(count_if(k % 53 = 7) AS BIGINT) AS rows_quarantined,
+       CAST(count_if(k {_SOUND}) AS BIGINT) AS rows_before, CAST((SELECT count(*) FROM clean_labs) AS BIGINT) AS rows_after FROM labs
+UNION ALL
+SELECT 'Journaux', count(*), count_if(p % 53 = 7), count_if(p {_SOUND}), (SELECT count(*) FROM clean_journals) FROM journals
+UNION ALL
+SELECT 'Articles', count(*), count_if(k % 53 = 7), count_if(k {_SOUND}), (SELECT count(*) FROM clean_articles) FROM arts"""
+ORACLE_SQL["landing_quarantine"] = f"""
+WITH labs AS (SELECT 'c' AS copy, c_custkey AS k, c_name FROM customer
+              UNION ALL SELECT 'd', c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0),
+arts AS (SELECT 'a' AS copy, o_orderkey AS k FROM orders
+         UNION ALL SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'b' ELSE 'v' END, o_orderkey FROM orders
+         WHERE o_orderkey % 97 = 0 OR o_orderkey % 41 = 16),
+journals AS (SELECT p_partkey AS p, 0 AS copy FROM part UNION ALL SELECT p_partkey, 1 FROM part WHERE p_partkey % 100 = 1)
+SELECT 'Authors Labs' AS collection, substr('{{"_id":"' || copy || k || '","name":"' || c_name || '","', 1, 24) AS record
+FROM labs WHERE k % 53 = 7
+UNION ALL
+SELECT 'Journaux', '{{"_id":"j' || p || '-' || copy || '","Data":"lost"}}' FROM journals WHERE p % 53 = 7
+UNION ALL
+SELECT 'Articles', substr('{{"_id":"' || copy || k || '","article_title":"Article ' || k, 1, 24) FROM arts WHERE k % 53 = 7"""
+ORACLE_SQL["landed_articles"] = ORACLE_SQL["articles_dated"] + f"""
+WHERE CAST(d.doi AS BIGINT) {_SOUND}"""
+ORACLE_SQL["landed_journals_flat"] = ORACLE_SQL["journals_flat"] + f"""
+WHERE CAST(replace(issn, 'ISSN-', '') AS BIGINT) {_SOUND}"""
+ORACLE_SQL["landed_author_labs"] = _with("authors_labs") + f"""
+SELECT name, lab, country FROM authors_labs
+WHERE name IN (SELECT c_name FROM customer WHERE c_custkey {_SOUND})"""
+ORACLE_SQL["landed_country_pairs"] = _with("doi_countries") + _LANDED_PAIRS

@@ -35,15 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblioscope.operators.articles import articles_dated
-from biblioscope.operators.cleaning import (COPIES, clean_with_copies, cleaning_report,
+from biblioscope.operators.cleaning import (COLLECTION_LABELS, COPIES, clean_with_copies, cleaning_report,
                                             cleaning_report_from_copies)
 from biblioscope.session import checkpoint_root
 from biblioscope.sources import testdata
-from biblioscope.sources.landing import read_landing
+from biblioscope.sources.landing import quarantined, read_records, sound, write_json_arrays
 
 # Bump when a landing view rule changes, so stale written tables are not reused.
-VIEW_VERSION = "11"
+VIEW_VERSION = "12"
 COLLECTIONS = ("articles", "journaux", "authors_labs")
+EXPORT_FORMATS = {"articles": "jsonl", "journaux": "json", "authors_labs": "jsonl"}
 
 ATTEMPT = "attempt-"
 
@@ -138,19 +139,24 @@ class Workspace:
         return ws
 
     @classmethod
-    def from_landing(cls, spark: SparkSession, paths: dict[str, str], fmt: str = "jsonl",
+    def from_landing(cls, spark: SparkSession, paths: dict[str, str], fmt: str | dict[str, str] = "jsonl",
                      documents_path: str | None = None, **kw) -> "Workspace":
-        """``paths`` maps each of articles / journaux / authors_labs to its landing path."""
+        """``paths`` maps each of articles / journaux / authors_labs to its landing path.
+
+        ``fmt`` is one format, or one for each collection.
+        """
         missing = set(COLLECTIONS) - set(paths)
         if missing:
             raise ValueError(f"landing paths missing for {sorted(missing)}")
         docs = None
         if documents_path:
             docs = lambda: spark.read.parquet(documents_path)
-        kw.setdefault("land_raw", fmt == "json")
+        formats = fmt if isinstance(fmt, dict) else dict.fromkeys(COLLECTIONS, fmt)
+        # objects of an array are put together once, not again for every reader
+        kw.setdefault("land_raw", "json" in formats.values())
         inputs = [paths[c] for c in COLLECTIONS] + ([documents_path] if documents_path else [])
-        return cls(spark, lambda c: read_landing(spark, paths[c], c, fmt),
-                   _fingerprint(spark, fmt, *inputs), documents=docs, **kw)
+        return cls(spark, lambda c: read_records(spark, paths[c], c, formats[c]),
+                   _fingerprint(spark, repr(sorted(formats.items())), *inputs), documents=docs, **kw)
 
     @classmethod
     def from_dataframes(cls, spark: SparkSession, frames: dict[str, DataFrame],
@@ -208,7 +214,34 @@ class Workspace:
         return self._shared("derived/" + name, build)
 
     def raw(self, collection: str) -> DataFrame:
-        """The landed collection (landing names, ``_id`` included)."""
+        """The sound records of the landed collection (landing names, ``_id`` included)."""
+        return sound(self.records(collection))
+
+    def quarantine(self) -> DataFrame:
+        """(collection, record): the text of every landed record that could not be read."""
+        return self.derived("quarantine", lambda: self._each(lambda c: quarantined(self.records(c))))
+
+    def _each(self, rows: Callable[[str], DataFrame]) -> DataFrame:
+        """Rows of the three collections under their report labels."""
+        out = None
+        for c, label in COLLECTION_LABELS.items():
+            one = rows(c).select(F.lit(label).alias("collection"), "*")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def landing_report(self) -> DataFrame:
+        """Per collection: records landed, quarantined, and rows before and after de-duplication.
+
+        The counts come from written tables: the copies column of the cleaned ones and the quarantine.
+        """
+        damaged = self.quarantine().groupBy("collection").agg(F.count(F.lit(1)).alias("rows_quarantined"))
+        kept = self.cleaning_report()                                  # three rows
+        n = F.coalesce("rows_quarantined", F.lit(0))
+        return kept.join(damaged, "collection", "left").select(
+            "collection", (F.col("rows_before") + n).alias("rows_landed"), n.alias("rows_quarantined"), "rows_before", "rows_after")
+
+    def records(self, collection: str) -> DataFrame:
+        """All landed records of a collection, damaged ones (``_damaged``) too."""
         key = "landing/" + collection
         with self._lock(key):
             if key not in self._cache:
@@ -249,6 +282,20 @@ class Workspace:
             return cleaning_report_from_copies({c: self.cleaned_with_copies(c) for c in COLLECTIONS})
         return cleaning_report(self.spark, self.raw_all())
 
+    def export(self, collection: str) -> str:
+        """Path of the collection's export, written once: its documents, some of them damaged (``testdata``)."""
+        path = self.table_path(f"export/{collection}")
+        with self._lock("export/" + collection):
+            found = None if self.refresh else _latest_attempt(self.spark, path)
+            if found is None:
+                found = f"{path}/{ATTEMPT}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+                documents = testdata.exported(self.loader(collection), collection)
+                if EXPORT_FORMATS[collection] == "json":
+                    write_json_arrays(documents, found)
+                else:
+                    documents.write.text(found)
+            return found
+
     def articles(self) -> DataFrame:
         return self.cleaned("articles")
 
@@ -292,6 +339,17 @@ def workspace(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Wor
         return _WORKSPACES[key]
 
 
+def landed_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    """The test collections exported as files - JSON lines, journals as JSON arrays, some records
+    damaged on the way - and landed again from there."""
+    base = workspace(spark, sf_dir)
+    with base._lock("landed"):
+        if "landed" not in base.__dict__:
+            paths = {c: base.export(c) for c in COLLECTIONS}
+            base.landed = Workspace.from_landing(spark, paths, EXPORT_FORMATS, table_root=base.table_root)
+        return base.landed
+
+
 def register_workspace(ws: Workspace, sf_dir: str) -> Workspace:
     """Make ``ws`` the one ``workspace(spark, sf_dir)`` returns."""
     _WORKSPACES[(*_session_key(ws.spark), os.path.abspath(sf_dir), ws.materialize)] = ws

@@ -43,6 +43,8 @@ NO_LAB_EVERY, NO_LAB_REST = 37, 36          # c_custkey: an author without a lab
 UNRANKED_EVERY, UNRANKED_REST = 23, 5       # p_partkey + entry: the quartile is "-"
 NO_QUARTILE_EVERY, NO_QUARTILE_REST = 29, 7     # p_partkey + entry: the quartile is null
 BAD_YEAR_EVERY, BAD_YEAR_REST = 31, 3       # p_partkey + entry: the year is "n/a"
+DAMAGE_EVERY, DAMAGE_REST = 53, 7           # the number in _id: the exported document is damaged
+DAMAGE_CHARS = 24                           # a document of a line is cut off there
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,6 +196,19 @@ def journaux(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exported(rows: DataFrame, collection: str) -> DataFrame:
+    """(value) the landing rows as JSON documents; those of some keys are damaged.
+
+    A document on a line of its own is cut off; a journal, which stands in an array, has
+    text where its ranking history should be.
+    """
+    key = F.regexp_extract("_id", r"\d+", 0).cast("long")
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    broken = (F.to_json(F.struct(F.col("_id"), F.lit("lost").alias("Data"))) if collection == "journaux"
+              else F.substring(whole, 1, DAMAGE_CHARS))
+    return rows.select(F.when(key % DAMAGE_EVERY == DAMAGE_REST, broken).otherwise(whole).alias("value"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

@@ -1,0 +1,159 @@
+"""Damaged records, JSON arrays read by many tasks, and labels of any spelling."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from biblioscope.operators.rankings import (label_counts_by_country, label_table_by_country, quartile_share_by_country,
+                                            unranked_by_country)
+from biblioscope.sources.json_objects import read_objects
+from biblioscope.sources.landing import (canonicalize, quarantined, read_landing, read_records, write_json_arrays,
+                                         write_landing)
+from biblioscope.sources.tables import Workspace
+from biblioscope.operators.articles import articles_dated
+from helpers import as_set, flat_df
+
+TEXTS = ["plain", 'a "quoted" {brace}', "back\\slash\\", "}", "{", '\\"}', "[1,{2}]", "", "line\nfeed\r\n", "été 日本 🙂", "\\\\", '"', "}{" * 30]
+
+
+def article(i):
+    rng = random.Random(i)
+    return {"_id": str(i), "article_title": rng.choice(TEXTS) + str(i), "doi": rng.choice(TEXTS), "publication_date": None,
+            "keywords": rng.choice(TEXTS), "journal_name": rng.choice([None, *TEXTS]),
+            "authors_data": rng.choice([None, [], [{"name": rng.choice(TEXTS), "labs": [rng.choice(TEXTS) for _ in range(rng.randrange(3))]}
+                                                   for _ in range(rng.randrange(4))]])}
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("style", ["line", "indented", "crlf", "ascii"])
+def test_array_of_many_splits_equals_the_multiline_reader(spark, small_splits, tmp_path, style):
+    docs = [article(i) for i in range(300)]
+    text = json.dumps(docs, ensure_ascii=style == "ascii", indent=2 if style in ("indented", "crlf") else None)
+    path = tmp_path / "articles.json"
+    path.write_bytes((text.replace("\n", "\r\n") if style == "crlf" else text).encode())
+    got = read_landing(spark, str(path), "articles", "json")
+    want = spark.read.schema(got.schema).option("multiLine", "true").json(str(path))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 300
+    # the scan has many tasks, and none of the later steps gathers a file in one
+    assert spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 20
+    assert "SinglePartition" not in read_objects(spark, str(path))._jdf.queryExecution().toString()
+
+
+def test_arrays_of_several_files_objects_and_empty_files(spark, small_splits, tmp_path):
+    docs = [article(i) for i in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(docs[:20]))
+    (tmp_path / "b.json").write_text("﻿" + json.dumps(docs[20:40]) + "\n")
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, docs[40:59])))
+    (tmp_path / "d.json").write_text(json.dumps(docs[59], indent=1))
+    (tmp_path / "e.json").write_text("[]")
+    (tmp_path / "f.json").write_text("[\n]\n")
+    (tmp_path / "g.json").write_text("")
+    got = read_records(spark, str(tmp_path), "articles", "json")
+    assert got.where("_damaged is not null").collect() == []
+    assert sorted(int(r._id) for r in got.collect()) == list(range(60))
+
+
+def test_damaged_arrays_are_kept_apart(spark, small_splits, tmp_path):
+    docs = [json.dumps(article(i)) for i in range(40)]
+    cut, odd, broken = tmp_path / "cut.json", tmp_path / "odd.json", tmp_path / "broken.json"
+    cut.write_text("[" + ",".join(docs)[:-30])                            # the last record has no end
+    odd.write_text("[" + ",".join([*docs[:5], "17", '{"_id": 1, "authors_data": "x"}', *docs[5:10]]) + "]")
+    broken.write_text("[" + ",".join(docs[:3]) + "}" + ",".join(docs[3:20]) + "]")
+    got = read_records(spark, str(cut), "articles", "json")
+    assert sorted(int(r._id) for r in read_landing(spark, str(cut), "articles", "json").collect()) == list(range(39))
+    assert all(r.record for r in quarantined(got).collect()) and quarantined(got).count() >= 1
+    got = read_records(spark, str(odd), "articles", "json")
+    assert quarantined(got).count() == 1
+    assert read_landing(spark, str(odd), "articles", "json").count() == 10
+    got = read_records(spark, str(broken), "articles", "json")             # no record of it can be told for sure
+    assert read_landing(spark, str(broken), "articles", "json").count() == 0 and quarantined(got).count() > 20
+
+
+def test_broken_lines_go_to_quarantine(spark, tmp_path):
+    lines = [json.dumps({"_id": "1", "article_title": "T", "doi": "d1"}), '{"_id": "2", "article_tit', "not json", "",
+             '{"_id": "3", "authors_data": "text"}', '[{"_id": "4"}]', "5", "null", "   "]
+    (tmp_path / "articles").mkdir()
+    (tmp_path / "articles" / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "j.jsonl").write_text('{"_id":"1","Journal Name":"J"}\n{"_id":"2"')
+    (tmp_path / "l.jsonl").write_text('{"_id":"1","name":"n"}\n')
+    paths = {"articles": str(tmp_path / "articles"), "journaux": str(tmp_path / "j.jsonl"), "authors_labs": str(tmp_path / "l.jsonl")}
+    for materialize in (True, False):
+        ws = Workspace.from_landing(spark, paths, "jsonl", materialize=materialize, table_root=str(tmp_path / "tables"))
+        assert [r.article_title for r in ws.articles().collect()] == ["T"]
+        assert as_set(ws.quarantine().where("collection = 'Articles'"), "record") == {
+            (x,) for x in (lines[1], lines[2], lines[4], lines[5], "5", "null")}
+        assert as_set(ws.landing_report()) == {("Articles", 7, 6, 1, 1), ("Journaux", 2, 1, 1, 1), ("Authors Labs", 1, 0, 1, 1)}
+
+
+def test_parquet_landing_has_no_quarantine(spark, tmp_path):
+    rows = read_landing(spark, _lines(tmp_path, [article(1)]), "articles")
+    write_landing(rows, str(tmp_path / "pq"), "parquet")
+    assert quarantined(read_records(spark, str(tmp_path / "pq"), "articles", "parquet")).count() == 0
+    assert quarantined(rows).count() == 0
+
+
+def _lines(tmp_path, docs):
+    path = tmp_path / "docs.jsonl"
+    path.write_text("\n".join(map(json.dumps, docs)))
+    return str(path)
+
+
+def test_written_arrays_are_read_again(spark, tmp_path):
+    rows = read_landing(spark, _lines(tmp_path, [article(i) for i in range(50)]), "articles")
+    write_landing(rows.repartition(3), str(tmp_path / "arrays"), "json")
+    files = [f for f in (tmp_path / "arrays").glob("part-*")]
+    assert sum(len(json.loads(f.read_text())) for f in files) == 50
+    again = read_landing(spark, str(tmp_path / "arrays"), "articles", "json")
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, rows.collect()))
+    none = spark.createDataFrame([], "value string")
+    write_json_arrays(none, str(tmp_path / "none"))
+    assert read_landing(spark, str(tmp_path / "none"), "articles", "json").count() == 0
+    assert articles_dated(canonicalize(again, "articles")).count() == 50
+
+
+# --- labels -------------------------------------------------------------------------
+
+def test_shares_of_labels_of_any_spelling(spark):
+    rows = [("j", "i", "FR", "A", 2000, q) for q in ("Q1", "q1", "country", "a`b", "x.y", "", "Q1")]
+    rows += [("j", "i", "MA", "A", 2000, "q1"), ("j", "i", None, "A", 2000, "Q9"), ("j", "i", "ES", "A", 2000, None)]
+    flat = flat_df(spark, rows)
+    got = {(r.country, r.quartile): r.share for r in quartile_share_by_country(flat).collect()}
+    labels = {"Q1", "q1", "country", "a`b", "x.y", ""}
+    assert set(got) == {(c, q) for c in ("FR", "MA") for q in labels}
+    assert got["FR", "Q1"] == round(2 / 7, 6) and got["MA", "q1"] == 1.0 and got["MA", "Q1"] == 0.0
+    counts = label_counts_by_country(flat)
+    assert as_set(label_table_by_country(counts).where("n > 0")) == {
+        ("FR", "Q1", 2), ("FR", "q1", 1), ("FR", "country", 1), ("FR", "a`b", 1), ("FR", "x.y", 1), ("FR", "", 1), ("MA", "q1", 1)}
+    assert as_set(unranked_by_country(counts)) == {("FR", 7, 5, round(5 / 7, 6)), ("MA", 1, 1, 1.0)}
+
+
+def test_shares_of_ten_thousand_labels_and_of_none(spark):
+    many = spark.range(20_002).select(
+        F.lit("j").alias("journal_name"), F.lit("i").alias("issn"), F.concat(F.lit("C"), F.col("id") % 2).alias("country"),
+        F.lit("A").alias("category"), F.lit(2000).alias("year"), F.concat(F.lit("L"), F.floor(F.col("id") / 2)).alias("quartile"))
+    got = quartile_share_by_country(many)
+    assert got.count() == 20_002 and got.select("quartile").distinct().count() == 10_001
+    assert got.where("share <> round(1 / 10001, 6)").count() == 0
+    assert quartile_share_by_country(flat_df(spark, [])).collect() == []
+
+
+def test_building_the_share_plan_runs_no_job(spark):
+    flat = flat_df(spark, [("j", "i", "FR", "A", 2000, "Q1")])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("share-plan", "plan only")
+    try:
+        quartile_share_by_country(flat)
+        assert tracker.getJobIdsForGroup("share-plan") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
