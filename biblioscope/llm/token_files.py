@@ -42,7 +42,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblioscope.llm.tables import parts, scratch_path, written
@@ -328,9 +328,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     rows = written(files.mapInArrow(_read, READ), "documents")
     # one row a slice: at most as many as the shuffle partitions of the writing job
-    totals = rows.groupBy("slice").agg(F.sum("n_tokens").alias("ids"))
-    upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("slice", F.coalesce(F.sum("ids").over(upto), F.lit(0)).alias("base"))
+    totals = rows.groupBy("slice").agg(F.sum("n_tokens").alias("ids")).orderBy("slice").collect()
+    before = np.cumsum([0, *(t["ids"] for t in totals)]).tolist()
+    base = spark.createDataFrame([(t["slice"], b) for t, b in zip(totals, before, strict=False)], "slice long, base long")
     return (rows.join(F.broadcast(base), "slice")
             .select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"))
 
