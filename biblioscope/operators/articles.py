@@ -106,6 +106,18 @@ def frames_from_counts(counts: DataFrame) -> DataFrame:
             .withColumnRenamed("position", "first_frame"))
 
 
+def expanded_frames(frames: DataFrame, first: int, last: int) -> DataFrame:
+    """The points of each animation frame ``first..last``: (frame, publication_date, article_count).
+
+    Frame *i* shows the points whose ``first_frame`` is at most *i*, so a point stands in
+    the frames from its own to ``last``: it is exploded over them.  No join is needed, and
+    the work is the size of the result.
+    """
+    shown = frames.where(F.col("first_frame") <= last)
+    return shown.select(F.explode(F.sequence(F.greatest("first_frame", F.lit(first).cast("long")), F.lit(last).cast("long"))).alias("frame"),
+                        "publication_date", "article_count")
+
+
 def articles_by_year_month(dated: DataFrame) -> DataFrame:
     """Articles per (year, month) of the parsed date; the null group is kept."""
     d = F.col("publication_date")

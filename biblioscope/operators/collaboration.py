@@ -13,18 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblioscope.functions.combinations import explode_combinations
+from biblioscope.functions.combinations import PER_ROW, explode_combinations
 from biblioscope.operators.affiliations import article_countries
 
 TUPLE_NAMES = ("country_a", "country_b", "country_c", "country_d", "country_e")
 
 
-def country_tuples(doi_countries: DataFrame, k: int) -> DataFrame:
+def country_tuples(doi_countries: DataFrame, k: int, balanced: bool = False) -> DataFrame:
+    """Dois per k-tuple; ``balanced`` spreads the tuples of very large sets (for a written table)."""
     if not 2 <= k <= len(TUPLE_NAMES):
         raise ValueError(f"k must be in 2..{len(TUPLE_NAMES)}")
     names = list(TUPLE_NAMES[:k])
     sets = doi_countries.where(F.size("countries") >= k)
-    return (explode_combinations(sets, "countries", names)
+    return (explode_combinations(sets, "countries", names, per_row=PER_ROW if balanced else None)
             .groupBy(*names)
             .agg(F.count(F.lit(1)).alias("collaboration_count")))
 

@@ -1,10 +1,9 @@
 """Joining a large fact side to a dimension whose size is checked, not assumed.
 
-``join_dimension`` first counts the dimension.  Within
-the bound the dimension is broadcast and the fact side is not shuffled at all.
-The bound defaults to ``spark.sql.autoBroadcastJoinThreshold`` divided by a
-conservative row width, so the cluster's own broadcast budget applies; a
-threshold of -1 disables broadcasting.
+``join_dimension`` first measures the dimension: its rows and the bytes of their values.
+Within the bound the dimension is broadcast and the fact side is not shuffled at all.
+The bound is ``spark.sql.autoBroadcastJoinThreshold``, the cluster's own broadcast
+budget; a threshold of -1 disables broadcasting.
 
 Beyond the bound the join is a shuffle join in which only hot keys are salted:
 
@@ -33,32 +32,43 @@ from pyspark.sql import functions as F
 
 from biblioscope.session import checkpoint_root
 
-# Conservative bytes per dimension row when turning the broadcast budget into rows.
-ROW_BYTES_ESTIMATE = 64
+# What a value and a row take besides their text when a side is measured.
+VALUE_BYTES, ROW_BYTES = 8, 16
 
 
-def default_broadcast_rows(df: DataFrame) -> int:
+def broadcast_limit(df: DataFrame) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 where broadcasting is off."""
     spark = df.sparkSession
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    value = raw.strip().lower()
+    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
     units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
              "g": 1 << 30, "gb": 1 << 30}
     for suffix in sorted(units, key=len, reverse=True):
         if value.endswith(suffix) and value[: -len(suffix)].strip().lstrip("-").isdigit():
-            threshold = int(value[: -len(suffix)]) * units[suffix]
+            limit = int(value[: -len(suffix)]) * units[suffix]
             break
     else:
-        threshold = int(value)
-    return -1 if threshold < 0 else threshold // ROW_BYTES_ESTIMATE
+        limit = int(value)
+    return max(limit, -1)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def dimension_fits(dim: DataFrame, max_rows: int) -> bool:
-    """True when ``dim`` has at most ``max_rows`` rows (one partial count per task)."""
-    return max_rows >= 0 and dim.count() <= max_rows
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and the bytes its values take, both from one partial sum per task."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + VALUE_BYTES for c in df.columns), F.lit(ROW_BYTES))
+    row = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return row[0], row[1] or 0
+
+
+def dimension_fits(dim: DataFrame, max_rows: int | None = None) -> bool:
+    """True when ``dim`` may be broadcast: at most ``max_rows`` rows, or within the session's bytes."""
+    limit = broadcast_limit(dim)
+    if (max_rows if max_rows is not None else limit) < 0:
+        return False
+    rows, size = measured(dim)
+    return rows <= max_rows if max_rows is not None else size <= limit
 
 
 # Buckets per hot key = ceil(spread * share * partitions): each bucket then holds at
@@ -105,8 +115,7 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: str | list[str], how: st
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left"):
         raise ValueError("join_dimension supports inner and left joins (fact side kept)")
-    limit = default_broadcast_rows(dim) if max_broadcast_rows is None else max_broadcast_rows
-    if dimension_fits(dim, limit):
+    if dimension_fits(dim, max_broadcast_rows):
         return fact.join(F.broadcast(dim), keys, how)
     # Null keys match nothing: they stay out of the shuffle.
     null_key = reduce(or_, (F.col(k).isNull() for k in keys))

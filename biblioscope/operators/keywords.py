@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from biblioscope.functions.text import is_stop_word, normalized_keywords, word_tokens
 from biblioscope.operators.articles import articles_dated
+from biblioscope.operators.joins import join_dimension
 
 WORD_CLOUD_SIZE = 200
 
@@ -96,3 +97,74 @@ def category_words(journals_flat: DataFrame, k: int = WORD_CLOUD_SIZE, bigrams:
 def document_words(documents: DataFrame, bigrams: bool = False) -> DataFrame:
     """Every word of full document texts."""
     return word_frequencies(documents.select("text"), "text", bigrams)
+
+
+# A pair scoring above this is a collocation (fixed value: the usual threshold of the ratio).
+COLLOCATION_SCORE = 30.0
+
+
+def adjacent_pairs(texts: DataFrame, column: str) -> DataFrame:
+    """Occurrences (n) of each pair of adjacent words of a text, neither a stop word."""
+    t = F.col("_t")
+    following = F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+    pairs = (texts.select(word_tokens(F.col(column)).alias("_t")).where(F.size(t) > 1)
+             .select(F.explode(F.arrays_zip(F.slice(t, 1, F.size(t) - 1).alias("a"), following.alias("b"))).alias("p")))
+    return (pairs.select(F.col("p.a").alias("word_a"), F.col("p.b").alias("word_b"))
+            .where(~is_stop_word(F.col("word_a")) & ~is_stop_word(F.col("word_b")))
+            .groupBy("word_a", "word_b").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _entropy_term(k: F.Column, expected: F.Column) -> F.Column:
+    return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+
+
+def collocations(texts: DataFrame, column: str) -> DataFrame:
+    """Every adjacent pair with its log-likelihood ratio against independent words.
+
+    The ratio compares the pair's count with the counts of its first and second word
+    over all pairs (a 2 x 2 table); ``collocation`` marks pairs that stand together more
+    often than independence has it, by more than ``COLLOCATION_SCORE``.  The words' totals
+    come from the counted pairs; a word that begins very many pairs is a hot key of the
+    join, which ``join_dimension`` measures and salts.
+    """
+    pairs = adjacent_pairs(texts, column)
+    firsts = pairs.groupBy("word_a").agg(F.sum("n").alias("n_a"))
+    seconds = pairs.groupBy("word_b").agg(F.sum("n").alias("n_b"))
+    total = pairs.select(F.sum("n")).scalar()
+    both = join_dimension(join_dimension(pairs, firsts, "word_a"), seconds, "word_b").withColumn("all", total)
+    n, a, b, whole = (F.col(c).cast("double") for c in ("n", "n_a", "n_b", "all"))
+    score = 2 * (_entropy_term(n, a * b / whole) + _entropy_term(a - n, a * (whole - b) / whole)
+                 + _entropy_term(b - n, (whole - a) * b / whole)
+                 + _entropy_term(whole - a - b + n, (whole - a) * (whole - b) / whole))
+    return both.select("word_a", "word_b", "n", "n_a", "n_b", F.round(score, 6).alias("score"),
+                       ((n * whole > a * b) & (F.round(score, 6) > COLLOCATION_SCORE)).alias("collocation"))
+
+
+def fold_plurals(freq: DataFrame) -> DataFrame:
+    """Word counts with plurals added to their singular.
+
+    A word that ends in one ``s`` counts with the word without it, where the vocabulary
+    has that word.  A singular never ends in ``s`` itself, so one join of the vocabulary
+    with itself settles it; every word is one row, so no key is hot.
+    """
+    singular = F.when(F.col("word").endswith("s") & ~F.col("word").endswith("ss") & (F.length("word") > 1),
+                      F.expr("left(word, length(word) - 1)"))
+    known = freq.select(F.col("word").alias("singular"), F.lit(True).alias("known"))
+    return (freq.withColumn("singular", singular).join(known, "singular", "left")
+            .select(F.when(F.col("known"), F.col("singular")).otherwise(F.col("word")).alias("word"), "n")
+            .groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms")))
+
+
+def keyword_collocations(articles: DataFrame) -> DataFrame:
+    """Collocations of the distinct keywords."""
+    return collocations(articles.select(F.explode(normalized_keywords(F.col("keywords"))).alias("keyword")).distinct(), "keyword")
+
+
+def category_collocations(journals_flat: DataFrame) -> DataFrame:
+    """Collocations of the non-null categories of the flattened rankings."""
+    return collocations(journals_flat.where(F.col("category").isNotNull()).select("category"), "category")
+
+
+def document_words_folded(documents: DataFrame) -> DataFrame:
+    """Every word of full document texts, plurals with their singular."""
+    return fold_plurals(document_words(documents))

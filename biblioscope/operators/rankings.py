@@ -143,3 +143,16 @@ def unranked_by_country(labels: DataFrame) -> DataFrame:
     counts = labels.groupBy("country").agg(F.sum("n").alias("labelled"),
                                            F.coalesce(F.sum(F.when(other, n)), F.lit(0)).cast("long").alias("other"))
     return counts.withColumn("share", F.round(F.col("other").cast("double") / F.col("labelled"), 6))
+
+
+def quartile_strings(flat: DataFrame) -> DataFrame:
+    """Per (category, year), its quartiles in order, joined by a blank, repeats kept.
+
+    Rows are counted per label first, so a cell's aggregate sees one row a label and no
+    string is built over more than a cell.
+    """
+    counts = (flat.where(F.col("category").isNotNull() & F.col("year").isNotNull() & F.col("quartile").isNotNull())
+              .groupBy("category", "year", "quartile").agg(F.count(F.lit(1)).cast("int").alias("n")))
+    run = F.concat(F.repeat(F.concat("quartile", F.lit(" ")), F.col("n") - 1), "quartile")
+    return (counts.withColumn("run", run).groupBy("category", "year")
+            .agg(F.expr("listagg(run, ' ') WITHIN GROUP (ORDER BY quartile)").alias("quartiles")))

@@ -19,7 +19,7 @@ from biblioscope.operators import distributions as dist
 from biblioscope.operators import keywords as kw
 from biblioscope.operators import rankings as rk
 from biblioscope.operators.affiliations import article_affiliations, article_countries
-from biblioscope.sources.tables import Workspace, landed_workspace, workspace
+from biblioscope.sources.tables import Workspace, landed_workspace, spread_small_scan, workspace
 
 Result = Callable[[Workspace], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +58,16 @@ def _doi_countries(ws: Workspace) -> DataFrame:
 
 
 def _tuples(ws: Workspace, k: int) -> DataFrame:
-    return col.country_tuples(_doi_countries(ws), k)
+    return col.country_tuples(_doi_countries(ws), k, balanced=ws.materialize)
 
 
 def _edges(ws: Workspace) -> DataFrame:
     return col.collaboration_edges(_tuples(ws, 2))
 
 
+# Animation frames that ``articles_by_date_expanded`` shows.
+FRAME_RANGE = (0, 99)
+
 RESULTS: dict[str, Result] = {
     # cleaning and full tables
     "cleaning_report": lambda ws: ws.cleaning_report(),
@@ -78,7 +81,10 @@ RESULTS: dict[str, Result] = {
     "keyword_words": lambda ws: kw.keyword_words(ws.articles()),
     "category_word_counts": lambda ws: kw.category_word_counts(_flat(ws)),
     "category_words": lambda ws: kw.category_words(_flat(ws)),
-    "document_words": lambda ws: kw.document_words(ws.documents()),
+    "keyword_collocations": lambda ws: kw.keyword_collocations(ws.articles()),
+    "category_collocations": lambda ws: kw.category_collocations(_flat(ws)),
+    "document_words": lambda ws: kw.document_words(spread_small_scan(ws.documents())),
+    "document_words_folded": lambda ws: kw.document_words_folded(spread_small_scan(ws.documents())),
     # affiliations and collaboration
     "article_affiliations": lambda ws: article_affiliations(ws.articles(), ws.authors_labs()),
     "country_pairs": lambda ws: col.ordered_tuples(_tuples(ws, 2), 2),
@@ -88,6 +94,7 @@ RESULTS: dict[str, Result] = {
     # journal rankings
     "quartile_by_category": lambda ws: rk.quartile_by_category(_flat(ws)),
     "quartile_by_year": lambda ws: rk.quartile_by_year(_flat(ws)),
+    "quartile_strings": lambda ws: rk.quartile_strings(_flat(ws)),
     "best_quartile_heatmap": lambda ws: rk.best_quartile_heatmap(_flat(ws)),
     "countries_per_quartile": lambda ws: rk.countries_per_quartile(_flat(ws)),
     "quartile_by_country_wide": _country_wide,
@@ -106,6 +113,7 @@ RESULTS: dict[str, Result] = {
     "articles_by_year": lambda ws: art.articles_by_year(_dated(ws)),
     "articles_by_date": lambda ws: art.order_by_date(_date_counts(ws)),
     "articles_by_date_frames": lambda ws: art.frames_from_counts(_date_counts(ws)),
+    "articles_by_date_expanded": lambda ws: art.expanded_frames(art.frames_from_counts(_date_counts(ws)), *FRAME_RANGE),
     "articles_by_year_month": lambda ws: art.articles_by_year_month(_dated(ws)),
     "articles_by_year_month_wide": lambda ws: art.articles_by_year_month_wide(_dated(ws)),
     "articles_by_journal": lambda ws: art.articles_by_journal(ws.articles()),

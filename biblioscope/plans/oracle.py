@@ -403,3 +403,38 @@ ORACLE_SQL["landed_author_labs"] = _with("authors_labs") + f"""
 SELECT name, lab, country FROM authors_labs
 WHERE name IN (SELECT c_name FROM customer WHERE c_custkey {_SOUND})"""
 ORACLE_SQL["landed_country_pairs"] = _with("doi_countries") + _LANDED_PAIRS
+
+
+def _collocations(source: str, column: str) -> str:
+    term = "CASE WHEN {k} > 0 THEN {k} * ln({k} / ({e})) ELSE 0 END"
+    a, b, n, t = (f"CAST({c} AS DOUBLE)" for c in ("n_a", "n_b", "n", "total"))
+    score = " + ".join(term.format(k=f"({k})", e=e) for k, e in (
+        (n, f"{a} * {b} / {t}"), (f"{a} - {n}", f"{a} * ({t} - {b}) / {t}"),
+        (f"{b} - {n}", f"({t} - {a}) * {b} / {t}"), (f"{t} - {a} - {b} + {n}", f"({t} - {a}) * ({t} - {b}) / {t}")))
+    return f"""
+, toks AS (SELECT regexp_extract_all(lower({column}), '{_WORD}') AS t FROM {source}),
+adjacent AS (SELECT t[i] AS word_a, t[i + 1] AS word_b FROM (SELECT t, unnest(range(1, len(t))) AS i FROM toks)),
+counted AS (SELECT word_a, word_b, count(*) AS n FROM adjacent
+            WHERE word_a NOT IN ({_STOP}) AND word_b NOT IN ({_STOP}) GROUP BY 1, 2),
+tables AS (SELECT *, sum(n) OVER (PARTITION BY word_a) AS n_a, sum(n) OVER (PARTITION BY word_b) AS n_b, sum(n) OVER () AS total
+           FROM counted),
+scored AS (SELECT *, round(2 * ({score}), 6) AS score FROM tables)
+SELECT word_a, word_b, CAST(n AS BIGINT) AS n, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, score,
+       {n} * {t} > {a} * {b} AND score > 30 AS collocation
+FROM scored"""
+
+
+ORACLE_SQL["keyword_collocations"] = _with("articles") + _collocations(_KEYWORDS, "keyword")
+ORACLE_SQL["category_collocations"] = _with("journals_flat") + _collocations(_CATEGORIES, "category")
+ORACLE_SQL["document_words_folded"] = f"""
+WITH v AS ({_words("documents", "text")}),
+folded AS (SELECT coalesce(s.word, v.word) AS word, v.n
+           FROM v LEFT JOIN v s ON v.word LIKE '%s' AND v.word NOT LIKE '%ss' AND s.word = left(v.word, length(v.word) - 1))
+SELECT word, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS forms FROM folded GROUP BY word"""
+ORACLE_SQL["quartile_strings"] = _with("journals_flat") + """
+SELECT category, year, string_agg(quartile, ' ' ORDER BY quartile) AS quartiles
+FROM journals_flat WHERE category IS NOT NULL AND year IS NOT NULL AND quartile IS NOT NULL GROUP BY 1, 2"""
+ORACLE_SQL["articles_by_date_expanded"] = f"""
+WITH points AS ({ORACLE_SQL["articles_by_date_frames"]})
+SELECT CAST(f.frame AS BIGINT) AS frame, publication_date, article_count
+FROM points JOIN (SELECT unnest(range(0, 100)) AS frame) f ON first_frame <= f.frame"""

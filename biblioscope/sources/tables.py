@@ -321,6 +321,16 @@ class Workspace:
         return self
 
 
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """``df``, a scan, dealt anew where it has fewer splits than the session has cores.
+
+    Such a scan is small (a split is at least some megabytes unless cores are idle), and
+    one row group may hold all its rows; a larger scan is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _WORKSPACES: dict[tuple[int, str, str, bool], Workspace] = {}
 _WORKSPACES_LOCK = threading.Lock()
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from biblioscope.operators.joins import (default_broadcast_rows, dimension_fits, hot_keys,
+from biblioscope.operators.joins import (broadcast_limit, dimension_fits, hot_keys,
                                          join_dimension)
 from helpers import as_set
 
@@ -47,4 +47,4 @@ def test_broadcast_bound(spark):
     _, dim = fact_and_dim(spark)
     assert dimension_fits(dim, 101) and not dimension_fits(dim, 100)
     assert not dimension_fits(dim, -1)
-    assert default_broadcast_rows(dim) > 0
+    assert broadcast_limit(dim) > 0
