@@ -252,3 +252,14 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         rows = stage(spark, rows, str(tmp_path))
         assert rows.columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_mixing_reaches_targets_with_null_and_shared_ids(spark):
+    rows = [(None if i % 3 else 7, f"word{i} " * (1 + i % 9), f"s{i % 4}") for i in range(1200)]
+    got = mixing.mix(_docs(spark, rows)).collect()
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        rate = own[0].target / own[0].source_size
+        f = rate - int(rate)
+        taken, spread = sum(r.copies * r.size for r in own), math.sqrt(sum(r.size ** 2 for r in own) * f * (1 - f))
+        assert len(own) >= 50 and abs(taken - own[0].target) <= 3 * spread + 1e-6, source
