@@ -58,7 +58,8 @@ def _doi_countries(ws: Workspace) -> DataFrame:
 
 
 def _tuples(ws: Workspace, k: int) -> DataFrame:
-    return col.country_tuples(_doi_countries(ws), k, balanced=ws.materialize)
+    """Pairs of a doi stay below what a task gets even if every country of the world takes part; triples do not."""
+    return col.country_tuples(_doi_countries(ws), k, balanced=ws.materialize and k > 2)
 
 
 def _edges(ws: Workspace) -> DataFrame:

@@ -61,7 +61,7 @@ def test_cli_writes_results(spark, tmp_path):
 def test_cli_list(capsys):
     assert cli(["list"]) == 0
     names = capsys.readouterr().out.split()
-    assert set(names) == set(RESULTS) and len(names) == 36
+    assert set(names) == set(RESULTS) and len(names) == 43
 
 
 def test_fingerprint_follows_the_data(spark, tmp_path):
