@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from biblioscope.llm import (arc_convert, fingerprints, jaccard_join, katz, line_dedup, mixing, packing, repetition,
@@ -89,6 +90,38 @@ def test_line_dedup(docs):
     assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "_n_lines", "_n_removed"]
 
 
+@pytest.mark.parametrize("n,long_words", [(2, 50), (2, None), (3, 4), (1, None)])
+def test_line_dedup_against_brute_force(spark, n, long_words):
+    rng = np.random.default_rng(n)
+    pool = ["A", " B", "c c", "", "five words in one line", "w " * 51, "d", "  "]
+    rows = [(i, "\n".join(rng.choice(pool, int(rng.integers(0, 12)))), "s") for i in range(40)]
+    rows += [(50, "z\nz\nz", "s"), (51, "p\nq\np\nq\np\nq", "s"), (52, "solo " * 80, "s"), (53, "solo " * 80, "s"), (54, None, "s"),
+             (None, "y\nx", "s"), (55, "y\nx", "s"), (56, "v\nu", "s"), (56, "t\nv\nu", "s"), (50, "z\nz\nz", "s"),
+             (57, "\n".join(f"k{j % 700}" for j in range(1500)), "s")]
+    docs = _docs(spark, rows)
+    got = Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs, n, long_words).collect())
+    # texts of one id stand in the order of their hash
+    keys = {r.text: r.key for r in docs.select("text", F.xxhash64("text").alias("key")).distinct().collect()}
+    first, want = {}, {}
+    for i, text in sorted(set((i, t) for i, t, _ in rows if t is not None), key=lambda r: (r[0] is not None, r[0] or 0, keys[r[1]])):
+        solid = [(j, x.strip(" ")) for j, x in enumerate(text.split("\n")) if x.strip(" ")]
+        gone = set()
+        for at in range(len(solid)):
+            sizes = [n] if at + n <= len(solid) else []
+            if long_words is not None and len(solid[at][1].split()) > long_words:
+                sizes.append(1)
+            for size in sizes:
+                run = tuple(x for _, x in solid[at:at + size])
+                own, start = first.setdefault((size, run), ((i, text), at))
+                if (own, start) != ((i, text), at):
+                    kept = set(range(start, start + size)) if own == (i, text) else set()
+                    gone.update(solid[k][0] for k in range(at, at + size) if k not in kept)
+        want[i, text] = "\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone)
+    assert got == Counter((i, want.get((i, t))) for i, t, _ in rows)
+    if (n, long_words) == (2, 50):
+        assert got[50, "z\nz"] == 2 and got[51, "p\nq"] == 1 and got[52, "solo " * 80] == 1 and got[53, ""] == 1 and got[55, ""] == 1
+
+
 def test_archives(spark):
     pages = [(1, "http://a b/", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "v", "x\r\n\r\ny\n"), (2, "w", "same")]
     out = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in arc_convert.round_trip(
