@@ -21,6 +21,14 @@ inequality on the distances to the region's pivot allows.  Pairs within a compon
 can add nothing and are never formed, so a large group of copies costs its size, not
 its square.
 
+*Signatures.*  A set's shingles are dealt to parts by their hash, and each part is summed
+up in one odd-weighted number: parts that differ in it hold a shingle that the other set
+lacks, or two where the numbers of shingles are both even or both odd.  The sum over the
+parts bounds the symmetric difference from below, so most pairs of texts that fill one
+template are told apart by signatures of an eighth of the sets' bytes at most, and only
+the others are compared whole.  The regions' first pivots are compared whole at once, as
+the triangle windows need their distances.
+
 Defined results: a null text is an empty text; a text without words has the empty
 set, is linked with nothing and is its own component; a text of fewer words than a
 shingle has its whole sequence as one shingle; copies share a component; rows with a
@@ -47,6 +55,8 @@ PERCENT = 90
 BLOCK = 1 << 19             # shingles packed at a time
 COUNT_BITS = 48             # of a hash, for counting: a collision only keeps a set in play
 
+SIGNATURE_PARTS = 512       # at most; beyond some 10,000 shingles the test only lets more pairs through
+
 PACKED = "bucket int, block long, kind int, a binary, b binary, c binary, d binary"
 MEMBERS = "doc_id long, text_key long, set_id long, n int, shared int"
 
@@ -180,13 +190,62 @@ def members(docs: DataFrame, shingle: int) -> DataFrame:
     return counted.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_gather, MEMBERS)
 
 
+def signature_parts(n: np.ndarray) -> np.ndarray:
+    """Parts of a signature for sets of ``n`` shingles: a power of two, four to eight shingles each."""
+    return np.minimum(1 << (np.frexp(np.maximum(n // 4, 1))[1] - 1), SIGNATURE_PARTS).astype(np.int64)
+
+
+def signatures(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set, the sum of 2x + 1 over each part's shingles: it is odd when their number is odd."""
+    n = np.diff(at)
+    k = signature_parts(n)
+    start = np.concatenate([[0], np.cumsum(k)])
+    part = np.repeat(start[:-1], n) + (h & np.repeat(k - 1, n).astype(T.U64)).astype(np.int64)
+    weight = (2 * (h >> T.U64(34)) + T.U64(1)).astype(np.float64)
+    total = np.bincount(part, weight, start[-1]).astype(np.uint64).astype(np.uint32)      # exact below 2^21 shingles a part
+    return [total[i:j].tobytes() for i, j in zip(start[:-1], start[1:])]
+
+
+def least_difference(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """A lower bound of the symmetric difference of each pair of sets, from their signatures."""
+    k_a, k_b = signature_parts(n_a), signature_parts(n_b)
+    out = np.zeros(len(a), np.int64)
+    sizes = k_a * (2 * SIGNATURE_PARTS) + k_b
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        k = int(min(k_a[rows[0]], k_b[rows[0]]))
+        x, y = (np.frombuffer(b"".join([sig[i] for i in rows]), np.uint32).reshape(len(rows), -1, k).sum(1, dtype=np.uint32) for sig in (a, b))
+        d = x - y
+        out[rows] = np.where(d == 0, 0, 2 - (d & 1)).sum(1)
+    return out
+
+
+def _may_link(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            least = least_difference(batch.column(4).to_pylist(), batch.column(5).to_pylist(), n_a, n_b)
+            may = (n_a + n_b - least) * 100 >= (n_a + n_b + least) * percent
+            yield batch.select([0, 1]).filter(pa.array(may))
+
+    return run
+
+
+def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their signatures let be linked."""
+    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("x"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    return written(both.mapInArrow(_may_link(percent), "a long, b long"), "screened")
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, h, at in text_sets(batch, shingle):
                 lists = pa.LargeListArray.from_arrays(at, T.unsigned_to_long(h)).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, at)), pa.array(np.diff(at).astype(np.int32)), lists],
-                                                 names=["set_id", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, at)), pa.array(np.diff(at).astype(np.int32)), lists,
+                                                  pa.array(signatures(h, at), pa.binary())], names=["set_id", "n", "hashes", "signature"])
 
     return run
 
@@ -258,7 +317,7 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
     # each component's most central member against the other components' members
     per = written(left.groupBy("cell", "comp").agg(pivot).select("cell", F.col("comp").alias("pivot_comp"), *as_pivot), "pivots")
     again = pivot_pairs(per, left, F.col("comp") != F.col("pivot_comp")).distinct().join(tested, ["a", "b"], "left_anti")
-    tested = written(tested.unionByName(_verify(again, sets, percent)), "tested")
+    tested = written(tested.unionByName(_verify(screened(again, sets, percent), sets, percent)), "tested")
     left = open_cells(tested.where("linked"))
     if left.isEmpty():
         return tested.where("linked").select("a", "b")
@@ -279,7 +338,7 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
     rest = (placed.join(other, "cell").where((F.col("set_id") < F.col("set_b")) & (F.col("comp") != F.col("comp_b")) & near
                                              & _can_link("n", "lack", "n_b", "lack_b", percent))
             .select(F.col("set_id").alias("a"), F.col("set_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    return tested.where("linked").select("a", "b").unionByName(_verify(rest, sets, percent).where("linked").select("a", "b"))
+    return tested.where("linked").select("a", "b").unionByName(_verify(screened(rest, sets, percent), sets, percent).where("linked").select("a", "b"))
 
 
 def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -291,7 +350,7 @@ def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     play = written(member.where((F.col("n") > 0) & (F.col("n") - F.col("shared") <= may_lack))
                    .groupBy("set_id").agg(F.min("doc_id").alias("rep")).groupBy("rep").agg(F.lit(True).alias("plays")), "players")
     texts = lookup(rows, play, "rep", F.xxhash64("text"), how="left_semi", left_key="doc_id")
-    sets = written(texts.mapInArrow(_sets(shingle), "set_id long, n int, hashes array<long>")
+    sets = written(texts.mapInArrow(_sets(shingle), "set_id long, n int, hashes array<long>, signature binary")
                    .where("n > 0").dropDuplicates(["set_id"]), "sets")
     comp = components(region_links(sets, percent))
     smallest = member.groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
