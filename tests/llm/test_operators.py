@@ -149,6 +149,33 @@ def test_resampling_keeps_good_text(spark):
     assert again == kept
 
 
+def test_resampling_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"W{x}" if x % 5 else f"w{x}" for x in rng.zipf(1.6, int(rng.integers(0, 40))) % 40 + 7 * (i % 3)), "s") for i in range(90)]
+    rows += [(90, None, "s"), (91, "", "s"), (None, "w1 w2 w3", "s"), (None, "w4 w4", "s"), (7, rows[7][1], "s"), (7, "other text", "s")]
+    given = [(i, int(i % 3 == 0), int(i == 12)) for i in range(60)] + [(3, 0, 0), (None, 1, 0), (61, None, 0)]
+    docs, labels = _docs(spark, rows), spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    got = resampling.resample(docs, labels).collect()
+    good = {i: all(q == 1 and not t for j, q, t in given if j == i) for i, quality, _ in given if i is not None and quality is not None}
+
+    def grams(text):
+        w = tokens(text, True)
+        return [*w, *zip(w, w[1:])]
+    raw = Counter(g for _, t, _ in rows for g in grams(t))
+    target = Counter(g for i, t, _ in rows if good.get(i) for g in grams(t))
+    r, n = raw.total(), target.total()
+    noise = {(x.doc_id, x.text): x.g for x in docs.select(
+        "doc_id", "text", resampling.gumbel(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("g")).collect()}
+    want = sorted((sum(math.log((target[g] + 2) / (raw[g] / r * n + 2)) for g in grams(t)), noise[i, t], i or -1) for i, t, _ in rows)
+    assert np.allclose([w[:2] for w in want], sorted((x.log_weight, x.noise) for x in got), atol=1e-9)
+    k = round(sum(good.values()) / len(good) * len(rows))
+    best = sorted(want, key=lambda w: -w[0] - w[1])
+    assert best[k - 1][2] != best[k][2] or best[k - 1][2] != 7        # the two equal rows go or stay together
+    kept = [x for x in got if x.kept]
+    assert 0 < k < len(rows) and len(kept) == k
+    assert np.allclose(sorted(x.gumbel_key for x in kept), sorted(w[0] + w[1] for w in best[:k]), atol=1e-9)
+
+
 def test_kth_largest(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 5, 3, 3, 3, -2]], "v double")
     assert resampling.kth_largest(df, "v", 1)[0] == 5 and resampling.kth_largest(df, "v", 4) == (3.0, 2)
