@@ -25,7 +25,8 @@ Then each block sends the mass of the bigrams that it was told to speak for, and
 often each of its documents backs off from each history, to the buckets of the
 histories, which hold the backoff weights and answer with each document's sum.
 
-``model_tables`` writes the same model as tables partitioned by bucket.
+``katz_tables`` stores the same model, and those of other orders, as tables partitioned
+by bucket and evaluates a text from them token by token.
 
 Defined results: a null text is an empty text (one end token); a null id counts as an
 empty text when folds are dealt, so its row trains; repeated rows count as often as they stand; with no training token the
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioscope.llm import blocks as B
@@ -307,33 +308,3 @@ def score(docs: DataFrame, least: int = 1) -> DataFrame:
     asked = B.with_texts(rows, answers, n, _score(model, starts, buckets), B.ROW)
     weighed = B.by_bucket(asked, buckets, _back_off)
     return (weighed.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_finish(model), SCORES))
-
-
-def model_tables(docs: DataFrame, path: str, least: int = 1) -> None:
-    """The model as Parquet tables partitioned by bucket: ``unigrams`` (word, c, p), ``bigrams``
-    (history, word, c, p) and ``backoff`` (history, weight), for use outside this scoring."""
-    spark: SparkSession = docs.sparkSession
-    n = parts(spark)
-    rows = _rows(docs)
-    _, model, starts = train(rows, least, text_buckets(rows))
-    test = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
-    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
-                             r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    tokens = docs.where(~test).select(F.concat(F.array(F.lit("<s>")), words, F.array(F.lit("</s>"))).alias("t"))
-    grams = tokens.select(F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("history"),
-                                                 F.slice("t", 2, F.size("t") - 1).alias("word"))).alias("g"))
-    pairs = grams.groupBy("g.history", "g.word").agg(F.count(F.lit(1)).alias("c"))
-    uni = pairs.groupBy("word").agg(F.sum("c").alias("c"))
-
-    def at(d: np.ndarray, c: F.Column) -> F.Column:
-        return F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(c, F.lit(LARGEST + 1)).cast("int") + 1)
-
-    uni = uni.withColumn("p", at(model.d1, F.col("c")) * F.col("c") / model.size)
-    histories = pairs.groupBy("history").agg(F.sum("c").alias("h"))
-    kept = (pairs.where(F.col("c") >= least).join(histories, "history")
-            .withColumn("p", at(model.d2, F.col("c")) * F.col("c") / (F.col("h") + 1)))
-    sums = kept.join(uni.select("word", F.col("p").alias("q")), "word").groupBy("history").agg(F.sum("p").alias("mass"), F.sum("q").alias("covered"))
-    backoff = sums.select("history", ((1 - F.col("mass")) / (1 - F.col("covered"))).alias("weight"))
-    for name, table, key in (("unigrams", uni, "word"), ("bigrams", kept.drop("h"), "history"), ("backoff", backoff, "history")):
-        (table.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(n, "bucket")
-         .write.partitionBy("bucket").parquet(f"{path}/{name}"))
