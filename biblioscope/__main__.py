@@ -4,7 +4,7 @@
     python -m biblioscope explain NAME (--testdata SF_DIR | --articles P ...)
     python -m biblioscope run NAME [NAME ...] --out DIR
         (--testdata SF_DIR | --articles P --journaux P --authors-labs P [--format jsonl|json|parquet])
-        [--documents P] [--write-format parquet|json|csv] [--refresh]
+        [--documents P] [--write-format parquet|json|csv] [--refresh] [--buckets N]
 
 Each result is written to ``DIR/NAME`` by Spark; nothing passes through the
 driver.  On a cluster, submit with ``spark-submit -m biblioscope`` settings of
@@ -38,6 +38,7 @@ def main(argv: list[str] | None = None) -> int:
         cmd.add_argument("--documents")
         cmd.add_argument("--format", default="jsonl", choices=["jsonl", "json", "parquet"])
         cmd.add_argument("--master")
+        cmd.add_argument("--buckets", type=int, help="keep articles and labs bucketed by doi and lab as well")
         cmd.add_argument("--refresh", action="store_true",
                          help="rebuild landed and cleaned tables even if a committed copy exists")
     args = p.parse_args(argv)
@@ -50,14 +51,14 @@ def main(argv: list[str] | None = None) -> int:
         p.error(f"unknown results {unknown}; see 'list'")
     spark = build_session(args.master)
     if args.testdata:
-        ws = Workspace.from_testdata(spark, args.testdata, refresh=args.refresh)
+        ws = Workspace.from_testdata(spark, args.testdata, refresh=args.refresh, buckets=args.buckets)
     else:
         paths = {"articles": args.articles, "journaux": args.journaux,
                  "authors_labs": args.authors_labs}
         if not all(paths.values()):
             p.error("give --testdata or all of --articles --journaux --authors-labs")
         ws = Workspace.from_landing(spark, paths, args.format, documents_path=args.documents,
-                                    refresh=args.refresh)
+                                    refresh=args.refresh, buckets=args.buckets)
     if args.cmd == "explain":
         for name in args.names:
             print(f"== {name} ==")

@@ -19,6 +19,11 @@ folder per write): landing -> cleaning -> analytics.  Later plans read them back
 * a one-line JSON array (one unsplittable task per file) is read only once.
 
 ``materialize=False`` keeps everything as one lazy plan.
+
+``buckets=n`` keeps a second copy of the cleaned articles and labs, bucketed by ``doi`` and
+``lab``: results that group by these then shuffle nothing for it.  The copy costs one
+shuffle of whole rows, so it is for inputs that many results or sessions read.  A
+collection with a key so frequent that its bucket would outgrow the others stays as it is.
 """
 
 from __future__ import annotations
@@ -48,6 +53,10 @@ EXPORT_FORMATS = {"articles": "jsonl", "journaux": "json", "authors_labs": "json
 
 ATTEMPT = "attempt-"
 
+# Keys of the bucketed copies, and how many times a bucket's fair share of the rows one key may hold.
+BUCKET_KEYS = {"articles": "doi", "authors_labs": "lab"}
+BUCKET_SHARE = 2
+
 Loader = Callable[[str], DataFrame]
 
 
@@ -114,8 +123,11 @@ class Workspace:
                  materialize: bool = True, land_raw: bool = False,
                  table_root: str | None = None,
                  documents: Callable[[], DataFrame] | None = None,
-                 refresh: bool = False):
+                 refresh: bool = False, buckets: int | None = None):
+        if buckets is not None and (buckets < 1 or not materialize):
+            raise ValueError("buckets must be positive, and need written tables")
         self.spark = spark
+        self.buckets = buckets
         self.loader = loader
         self.key = key
         self.materialize = materialize
@@ -190,14 +202,36 @@ class Workspace:
             return self._locks.setdefault(key, threading.RLock())
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.table_path(name)
-        found = None if self.refresh else _latest_attempt(self.spark, path)
-        if found is None:
-            found = f"{path}/{ATTEMPT}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        found, there = self._attempt(self.table_path(name))
+        if not there:
             # zstd: smaller intermediate tables than the default codec, similar decode cost
             df.write.option("compression", "zstd").parquet(found)
         return self.spark.read.parquet(found)
 
+    def _attempt(self, path: str) -> tuple[str, bool]:
+        """The folder to read a written table from, or to write it to, and whether it is there."""
+        found = None if self.refresh else _latest_attempt(self.spark, path)
+        return found or f"{path}/{ATTEMPT}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", found is not None
+
+    def _bucketed(self, df: DataFrame, collection: str) -> DataFrame:
+        """``df``, a written table, by buckets of the collection's key: a catalog table over files of the shared folder."""
+        key, n = BUCKET_KEYS[collection], self.buckets
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        largest, rows = counts.agg(F.max("n"), F.sum("n")).first()
+        # one row per key always fits: such a table has no frequent key, however few its rows
+        if rows and largest > max(1, BUCKET_SHARE * rows / n):
+            return df
+        path, there = self._attempt(self.table_path(f"bucketed-{n}/{collection}"))
+        name = f"biblioscope_{self.key}_{collection}_{hashlib.sha1(path.encode()).hexdigest()[:12]}"
+        if there:
+            self.spark.sql(f"create table if not exists `{name}` ({df.schema.toDDL()}) using parquet "
+                           f"clustered by (`{key}`) sorted by (`{key}`) into {n} buckets location '{path}'")
+        else:
+            # dealt by the bucket's own hash first, so that each bucket is one file
+            (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd")
+             .option("path", path).format("parquet").saveAsTable(name))
+        return self.spark.table(name)
+
     def _shared(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
         with self._lock(key):
             if key not in self._cache:
@@ -269,7 +303,11 @@ class Workspace:
                 df = clean_with_copies(self.raw(collection), collection)
                 if collection == "articles":
                     df = articles_dated(df)
-                self._cache[collection] = self._written(df, collection) if self.materialize else df
+                if self.materialize:
+                    df = self._written(df, collection)
+                    if self.buckets and collection in BUCKET_KEYS:
+                        df = self._bucketed(df, collection)
+                self._cache[collection] = df
             return self._cache[collection]
 
     def cleaning_report(self) -> DataFrame:
