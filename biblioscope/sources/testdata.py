@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biblioscope.operators.joins import shuffle_partitions
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -46,6 +48,9 @@ BAD_YEAR_EVERY, BAD_YEAR_REST = 31, 3       # p_partkey + entry: the year is "n/
 DAMAGE_EVERY, DAMAGE_REST = 53, 7           # the number in _id: the exported document is damaged
 DAMAGE_CHARS = 24                           # a document of a line is cut off there
 
+# Line items from which a shuffle partition is worth a task of its own.
+MIN_TASK_LINES = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -95,18 +100,26 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     # Per order: the set of its suppliers as authors and its lowest part as journal.
     # Partial aggregation runs before the shuffle, so even an order holding a large
-    # share of all lines reaches its reducer pre-combined per map task.
+    # share of all lines reaches its reducer pre-combined per map task.  Only the keys
+    # and names are shuffled and sorted; the labs follow from the key, once the order's
+    # row is put together.  Both sides are keyed by the doi, so that rows leave the join
+    # partitioned by a column of theirs and cleaning need not shuffle whole articles again.
     per_order = (
         lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
-        .groupBy("l_orderkey")
-        .agg(
-            # sorted: a recomputed task yields the same array, hence the same row
-            F.array_sort(F.collect_set(F.struct(
-                F.col("s_name").alias("name"),
-                author_labs(F.col("l_suppkey")).alias("labs")))).alias("authors_data"),
-            F.min("l_partkey").alias("first_part"),
-        )
+        .groupBy(F.col("l_orderkey").cast("string").alias("l_doi"))
+        .agg(F.collect_set(F.struct("s_name", "l_suppkey")).alias("suppliers"),
+             F.min("l_partkey").alias("first_part"))
     )
+    orders = orders.withColumn("doi", F.col("o_orderkey").cast("string"))
+    n = shuffle_partitions(lines)
+    if lines.count() >= n * MIN_TASK_LINES:
+        # a shuffle into a given number is not coalesced: its tasks, which group, sort and
+        # clean whole articles, stay small enough for memory
+        orders = orders.repartition(n, "doi")
+    # sorted: a recomputed task yields the same array, hence the same row; distinct: two
+    # suppliers of one name may have the same labs
+    authors = F.array_sort(F.array_distinct(F.transform("suppliers", lambda a: F.struct(
+        a["s_name"].alias("name"), author_labs(a["l_suppkey"]).alias("labs")))))
     k = F.col("o_orderkey")
     journal = (
         F.when(k % 50 == 0, F.lit(None).cast("string"))
@@ -118,21 +131,21 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(F.array(F.lit("a"))))
     text = publication_text(k, F.col("o_orderdate"))
     return (
-        orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
+        orders.join(per_order, orders.doi == per_order.l_doi, "left")
         .select(
             F.explode(copies).alias("copy"),
             F.col("o_orderkey"),
             F.concat(F.lit("Article "), k.cast("string")).alias("article_title"),
-            k.cast("string").alias("doi"),
+            "doi",
             F.when(F.col("copy") == "v", F.concat(F.lit("Available online "), text))
             .otherwise(text).alias("publication_date"),
             keyword_text(k).alias("keywords"),
             journal.alias("journal_name"),
-            F.col("authors_data"),
+            F.col("suppliers"),
         )
         .select(
             F.concat(F.col("copy"), k.cast("string")).alias("_id"),
-            "article_title", "doi", "publication_date", "keywords", "journal_name", "authors_data",
+            "article_title", "doi", "publication_date", "keywords", "journal_name", authors.alias("authors_data"),
         )
     )
 
