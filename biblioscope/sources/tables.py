@@ -50,6 +50,7 @@ from biblioscope.sources.landing import quarantined, read_records, sound, write_
 VIEW_VERSION = "12"
 COLLECTIONS = ("articles", "journaux", "authors_labs")
 EXPORT_FORMATS = {"articles": "jsonl", "journaux": "json", "authors_labs": "jsonl"}
+EXPORT_FILE_RECORDS = 100_000
 
 ATTEMPT = "attempt-"
 
@@ -331,7 +332,9 @@ class Workspace:
                 if EXPORT_FORMATS[collection] == "json":
                     write_json_arrays(documents, found)
                 else:
-                    documents.write.text(found)
+                    # a compressed file is read by one task: no file gets more than some records
+                    (documents.write.option("compression", "gzip")
+                     .option("maxRecordsPerFile", EXPORT_FILE_RECORDS).text(found))
             return found
 
     def articles(self) -> DataFrame:
