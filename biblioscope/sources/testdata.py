@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioscope.operators.joins import shuffle_partitions
+from biblioscope.operators.joins import dimension_fits, shuffle_partitions
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -50,6 +50,10 @@ DAMAGE_CHARS = 24                           # a document of a line is cut off th
 
 # Line items from which a shuffle partition is worth a task of its own.
 MIN_TASK_LINES = 50_000
+# Line items a task joins to their suppliers and combines, at most; and how many times the
+# lines of a task, on average, one supplier may hold.
+MAX_TASK_LINES = 400_000
+SUPPLIER_SHARE = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,10 +98,33 @@ def author_labs(suppkey: Column) -> Column:
     return F.when(suppkey % 2 == 0, F.array(first, second)).otherwise(F.array(first))
 
 
+def _spread_suppliers(suppliers: DataFrame, lines: DataFrame, n_lines: int) -> DataFrame:
+    """``suppliers`` dealt into so many partitions that no task joins more than some of the lines.
+
+    The lines follow into the same number, which is not coalesced: after the join each task
+    combines its lines by order, in memory several times what was shuffled.  Suppliers small
+    enough for a broadcast stay as they are, and so they do where one holds so many lines
+    that its partition has to be split.
+    """
+    if dimension_fits(suppliers):
+        return suppliers
+    n = max(shuffle_partitions(lines), -(-n_lines // MAX_TASK_LINES))
+    per_supplier = lines.where(F.col("l_suppkey").isNotNull()).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    largest = per_supplier.agg(F.max("n")).first()[0] or 0
+    return suppliers if largest * n > SUPPLIER_SHARE * n_lines else suppliers.repartition(n, "s_suppkey")
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    orders = orders.withColumn("doi", F.col("o_orderkey").cast("string"))
+    n, n_lines = shuffle_partitions(lines), lines.count()
+    if n_lines >= n * MIN_TASK_LINES:
+        # a shuffle into a given number is not coalesced: its tasks, which group, sort and
+        # clean whole articles, stay small enough for memory
+        orders = orders.repartition(n, "doi")
+        suppliers = _spread_suppliers(suppliers, lines, n_lines)
     # Per order: the set of its suppliers as authors and its lowest part as journal.
     # Partial aggregation runs before the shuffle, so even an order holding a large
     # share of all lines reaches its reducer pre-combined per map task.  Only the keys
@@ -110,12 +137,6 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.collect_set(F.struct("s_name", "l_suppkey")).alias("suppliers"),
              F.min("l_partkey").alias("first_part"))
     )
-    orders = orders.withColumn("doi", F.col("o_orderkey").cast("string"))
-    n = shuffle_partitions(lines)
-    if lines.count() >= n * MIN_TASK_LINES:
-        # a shuffle into a given number is not coalesced: its tasks, which group, sort and
-        # clean whole articles, stay small enough for memory
-        orders = orders.repartition(n, "doi")
     # sorted: a recomputed task yields the same array, hence the same row; distinct: two
     # suppliers of one name may have the same labs
     authors = F.array_sort(F.array_distinct(F.transform("suppliers", lambda a: F.struct(

@@ -79,6 +79,38 @@ def test_large_inputs_keep_every_shuffle_partition_a_task(spark, folder, monkeyp
     assert n * 100 > len(LINES) and sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
 
 
+@pytest.fixture
+def shuffled_suppliers(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(testdata, "MIN_TASK_LINES", 1)
+    yield monkeypatch
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_inputs_join_suppliers_in_tasks_of_some_lines(spark, folder, shuffled_suppliers):
+    shuffled_suppliers.setattr(testdata, "MAX_TASK_LINES", 1)
+    shuffled_suppliers.setattr(testdata, "SUPPLIER_SHARE", len(LINES))       # no supplier is frequent
+    assert len(LINES) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = clean_with_copies(testdata.articles(spark, folder), "articles")
+    p = plan(df)
+    for side in ("l_suppkey", "s_suppkey"):
+        assert re.search(rf"hashpartitioning\({side}#\d+L, {len(LINES)}\)", p)
+    assert p.count("REPARTITION_BY_NUM") == 2
+    key = lambda r: (str(r[0]), sorted(map(str, r[1] or ())))
+    got = shown(testdata.articles(spark, folder))
+    assert sorted(((k, a and frozenset(a)) for k, a in got), key=key) == sorted(expected(), key=key)
+
+
+def test_frequent_suppliers_are_left_to_be_split(spark, folder, shuffled_suppliers):
+    shuffled_suppliers.setattr(testdata, "SUPPLIER_SHARE", 0)
+    p = plan(testdata.articles(spark, folder))
+    assert p.count("REPARTITION_BY_NUM") == 1 and not re.search(r"hashpartitioning\(s_suppkey[^)]*\), REPARTITION_BY_NUM", p)
+    key = lambda r: (str(r[0]), sorted(map(str, r[1] or ())))
+    got = shown(testdata.articles(spark, folder))
+    assert sorted(((k, a and frozenset(a)) for k, a in got), key=key) == sorted(expected(), key=key)
+
+
 def test_exported_lines_are_compressed_files_of_some_records(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "EXPORT_FILE_RECORDS", 40)
     rows = spark.range(0, 250, 1, 1).select(F.concat(F.lit("c"), "id").alias("_id"), F.concat(F.lit("n"), "id").alias("name"),
