@@ -4,9 +4,9 @@ The original tool exports a collection as one JSON array, often on one line, whi
 Spark's ``multiLine`` reader hands to a single task.  Here the text reader cuts the
 files at every ``}``, wherever a split begins, and each fragment's role follows from
 two running sums: the quotes before it tell whether it begins inside a string, the
-braces outside strings tell how deep it ends.  Both are first summed within a split,
-under either assumption about where the split begins; the split totals (one row a
-split) then settle which one holds.  An object is the run of fragments up to the next
+braces outside strings tell how deep it ends.  Both are first summed within a piece of
+a split (some thousand fragments), under either assumption about where the piece begins;
+the totals (one row a piece) then settle which one holds.  An object is the run of fragments up to the next
 one that ends at depth 0.
 
 No task reads more than a split or holds more than one object.  An object that is
@@ -30,6 +30,8 @@ STRING = r'"[^"]*("|\z)'
 STRING_REST = r'\A[^"]*("|\z)'
 BETWEEN = r"\A[\s,\[\]\x{FEFF}]*"
 ONLY_BETWEEN = BETWEEN + r"\z"
+# A piece of a split has at most 2 to the power of this fragments.
+PIECE_BITS = 13
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -37,11 +39,13 @@ def _count(text: Column, mark: str) -> Column:
 
 
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
-    """Text up to each ``}`` with its file, split and order, its quotes, and the braces it
+    """Text up to each ``}`` with its file (a digest of the path), piece of a split and order, its quotes, and the braces it
     opens when it begins outside (``opens_0``) or inside (``opens_1``) a string."""
     text = spark.read.option("lineSep", BRACE).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.unhex(F.md5(F.col("_metadata.file_path"))).alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("n"), "value")
+    # a split in pieces: what is grouped and sorted together stays small, however large a split is
+    text = text.withColumn("split", F.struct("start", F.shiftright("n", PIECE_BITS).alias("piece"))).drop("start")
     plain = F.regexp_replace("value", ESCAPE, "")
     outside = F.regexp_replace(plain, STRING, "")
     outside_after = F.regexp_replace(F.regexp_replace(plain, STRING_REST, ""), STRING, "")
