@@ -12,7 +12,8 @@ they are read: a scan of files is, and so is a written table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from biblioscope.llm import textnp as T
 
 BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 1 << 20       # of the answers sent as one Arrow batch
 ROW = "block long, kind int, bucket int, seq int, doc_id long, text string, a binary, b binary, c binary, d binary"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
 TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
@@ -34,6 +36,19 @@ def rows(records: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in records], f.type) for f in SCHEMA], schema=SCHEMA)
 
 
+def batched(records: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    """``rows`` of many small records: a batch costs far more than a record."""
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += 64 + sum(len(x) for x in r.values() if isinstance(x, bytes))
+        if size >= BATCH_BYTES:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
 def ints(values: np.ndarray) -> bytes:
     """Non-negative 32-bit values as byte planes, which compress where they are small."""
     return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -59,10 +74,10 @@ def tagged(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             yield (part << 24) + seq, batch.slice(start)
 
 
-def tag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tag_rows(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Documents as rows of kind 0 of their block, numbered in order."""
     last, n = None, 0
-    for block, batch in tagged(batches):
+    for block, batch in tagged(batches, limit):
         n = 0 if block != last else n
         k, last = batch.num_rows, block
         none = pa.nulls(k, pa.binary())
@@ -72,10 +87,10 @@ def tag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += k
 
 
-def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[pa.Array]]]:
+def whole_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array, list[pa.Array]]]:
     """(block, doc ids, text arrays) of each block of a task."""
     block, ids, texts = None, [], []
-    for b, batch in tagged(batches):
+    for b, batch in tagged(batches, limit):
         if b != block and ids:
             yield block, pa.concat_arrays(ids), texts
             ids, texts = [], []
@@ -97,9 +112,10 @@ def by_bucket(packed: DataFrame, buckets: int, answer: Callable) -> DataFrame:
     return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(answer, ROW)
 
 
-def with_texts(docs: DataFrame, answers: DataFrame, partitions: int, finish: Callable, schema: str) -> DataFrame:
-    """Blocks with their texts and answers, in order of kind, bucket and sequence."""
-    both = docs.mapInArrow(tag_rows, ROW).unionByName(answers)
+def with_texts(docs: DataFrame, answers: DataFrame, partitions: int, finish: Callable, schema: str,
+               limit: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks (of ``limit`` bytes, as when they asked) with their texts and answers, in order of kind, bucket and sequence."""
+    both = docs.mapInArrow(partial(tag_rows, limit=limit), ROW).unionByName(answers)
     return (both.repartition(partitions, "block").sortWithinPartitions("block", "kind", "bucket", "seq")
             .mapInArrow(finish, schema))
 

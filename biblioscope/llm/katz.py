@@ -47,7 +47,9 @@ from biblioscope.llm import blocks as B
 from biblioscope.llm import textnp as T
 from biblioscope.llm.tables import parts, written
 
-BUCKET_TEXT = 3 << 20       # bytes of text whose distinct n-grams make a bucket
+# Every block has a message for every bucket, so few large ones keep their number down: bytes of text
+BLOCK_TEXT = 3 << 20        # of a block
+BUCKET_TEXT = 8 << 20       # whose distinct n-grams make a bucket
 LARGEST = 5                 # counts up to this are discounted
 FOLDS, HELD_OUT = 7, 2
 START, END = T.U64(0x5BD1E995A3C59AC3), T.U64(0x27D4EB2F165667C5)
@@ -93,7 +95,7 @@ class Tokens:
 
 def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in B.whole_blocks(batches):
+        for block, ids, texts in B.whole_blocks(batches, BLOCK_TEXT):
             t = Tokens(ids, texts)
             for kind, keys, n in ((UNI, t.words, t.trained(t.word, len(t.words))), (BI, t.pairs, t.trained(t.pair, len(t.pairs)))):
                 at = B.cut(keys, buckets)
@@ -109,7 +111,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> list[dict]:
     return sorted(out, key=lambda r: (r["kind"], r["block"]))
 
 
-def _totals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _totals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[dict]:
     """One bucket: training totals of its words and bigrams, in each block's order.
 
     A bigram's answer is twice its total (0 below ``least``), plus 1 for the first
@@ -135,10 +137,10 @@ def _totals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             value = np.where(value >= least, 2 * value, 0)
             value[first] += n[inverse[first]] >= least
         for r, i, j in zip(own, size[:-1], size[1:], strict=True):
-            yield B.rows([{"block": r["block"], "kind": kind, "bucket": r["bucket"], "seq": 0,
-                           "a": np.ascontiguousarray(value[i:j].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()}])
+            yield {"block": r["block"], "kind": kind, "bucket": r["bucket"], "seq": 0,
+                   "a": np.ascontiguousarray(value[i:j].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()}
     if asked:
-        yield B.rows([{"block": -1, "kind": STATS, "bucket": asked[0]["bucket"], "seq": 0, "a": stats.astype("<i8").tobytes()}])
+        yield {"block": -1, "kind": STATS, "bucket": asked[0]["bucket"], "seq": 0, "a": stats.astype("<i8").tobytes()}
 
 
 def _values(answers: list[dict]) -> np.ndarray:
@@ -231,12 +233,12 @@ def _score(model: Model, starts: int, buckets: int):
     return run
 
 
-def _back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """One bucket of histories: their weights, and each document's sum of their logarithms."""
     asked = _read(batches)
     for r in asked:
         if r["kind"] == DOCS:
-            yield B.rows([r | {"seq": 0}])
+            yield r | {"seq": 0}
     own = [r for r in asked if r["kind"] == SUMS]
     if not own:
         return
@@ -251,8 +253,8 @@ def _back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(doc):
             each = np.repeat(weight[inverse[i:j]], per) * times
             uniq, at = np.unique(doc, return_inverse=True)
-            yield B.rows([{"block": r["block"], "kind": SUMS, "bucket": r["bucket"], "seq": 0, "a": uniq.astype("<i4").tobytes(),
-                           "b": np.bincount(at, each).astype("<f8").tobytes()}])
+            yield {"block": r["block"], "kind": SUMS, "bucket": r["bucket"], "seq": 0, "a": uniq.astype("<i4").tobytes(),
+                   "b": np.bincount(at, each).astype("<f8").tobytes()}
 
 
 def _finish(model: Model):
@@ -291,7 +293,7 @@ def text_buckets(docs: DataFrame) -> int:
 
 def train(docs: DataFrame, least: int, n: int) -> tuple[DataFrame, Model, int]:
     """Totals for every block (a written table), the model's few numbers, and the number of training texts."""
-    totals = written(B.by_bucket(docs.mapInArrow(_ask(n), B.ROW), n, lambda batches: _totals(batches, least)), "totals")
+    totals = written(B.by_bucket(docs.mapInArrow(_ask(n), B.ROW), n, lambda batches: B.batched(_totals(batches, least))), "totals")
     stats = sum((np.frombuffer(r["a"], "<i8").reshape(2, -1) for r in totals.where(F.col("kind") == STATS).select("a").collect()),
                 np.zeros((2, LARGEST + 4), np.int64))          # one row a bucket
     test = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
@@ -305,6 +307,6 @@ def score(docs: DataFrame, least: int = 1) -> DataFrame:
     buckets = text_buckets(rows)
     totals, model, starts = train(rows, least, buckets)
     answers = totals.where(F.col("kind") != STATS)
-    asked = B.with_texts(rows, answers, n, _score(model, starts, buckets), B.ROW)
-    weighed = B.by_bucket(asked, buckets, _back_off)
+    asked = B.with_texts(rows, answers, n, _score(model, starts, buckets), B.ROW, BLOCK_TEXT)
+    weighed = B.by_bucket(asked, buckets, lambda batches: B.batched(_back_off(batches)))
     return (weighed.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_finish(model), SCORES))
