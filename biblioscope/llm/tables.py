@@ -54,7 +54,8 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, spread: Column, how: st
     ``table`` must be a written table: its bytes are measured, and it is broadcast
     only within ``broadcast_bytes``.  Beyond that a fact row takes one of ``SALTS``
     salts from ``spread`` (a hash of its other columns) and ``table`` is copied once
-    per salt, so a key with a third of all rows is dealt to ``SALTS`` tasks.
+    per salt, so a key with a third of all rows is dealt to ``SALTS`` tasks; these
+    copies are joined by sorting and never reach the driver.
     """
     left_key = left_key or key
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(16))
@@ -67,7 +68,8 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, spread: Column, how: st
         out = facts.join(F.broadcast(right), facts[left_key].eqNullSafe(right[joined]), how)
     else:
         left = facts.withColumn(salt, F.pmod(spread, F.lit(SALTS)).cast("int"))
-        right = right.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # Spark's estimate sees compressed files and not the copies, so left to itself it may broadcast them
+        right = right.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
         out = left.join(right, left[left_key].eqNullSafe(right[joined]) & (left[salt] == right[copy]), how)
     return out.drop(joined, salt, copy)
 

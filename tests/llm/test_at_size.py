@@ -4,10 +4,12 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from biblioscope.llm import blocks as B
 from biblioscope.llm import katz
 from biblioscope.llm import textnp as T
+from biblioscope.llm.tables import lookup, text_key, without, written
 
 
 def test_katz_answers_of_many_blocks_leave_in_few_batches():
@@ -47,3 +49,34 @@ def test_katz_scores_do_not_hang_on_blocks_buckets_or_batches(spark, monkeypatch
     cut = scores()
     assert [r[:5] for r in cut] == [r[:5] for r in whole] and len(cut) == len(rows)
     assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(cut, whole) for x, y in zip(a[5:], b[5:]))
+
+
+def joins(df):
+    df.collect()                                        # the plan as it ran
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {kind for kind in ("BroadcastHashJoin", "ShuffledHashJoin", "SortMergeJoin") if kind in plan.split("== Initial Plan ==")[0]}
+
+
+def test_copies_of_a_table_above_the_bound_are_not_broadcast(spark):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10485760", "10MB", "10m")
+    facts = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(300)], "k long, x long")
+    table = written(spark.createDataFrame([(0, "a"), (1, "b"), (None, "n")], "key long, v string"), "table")
+    want = {0: "a", 1: "b", None: "n"}
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got = lookup(facts, table, "key", F.xxhash64("x"), how=how, left_key="k", broadcast_bytes=0)
+        assert joins(got) == {"SortMergeJoin"}, how
+        small = lookup(facts, table, "key", F.xxhash64("x"), how=how, left_key="k")
+        assert joins(small) == {"BroadcastHashJoin"}
+        rows = [tuple(r) for r in facts.collect()]
+        rows = {"left": [(k, x, want.get(k)) for k, x in rows], "inner": [(k, x, want[k]) for k, x in rows if k in want],
+                "left_semi": [(k, x) for k, x in rows if k in want], "left_anti": [(k, x) for k, x in rows if k not in want]}[how]
+        for df in (got, small):
+            assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(rows, key=repr), how
+
+
+def test_rejected_documents_above_the_bound_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)] + [(None, "t"), (3, "other")], "doc_id long, text string")
+    gone = docs.where("doc_id % 2 = 1 and text <> 'other' or doc_id is null").select("doc_id", text_key(F.col("text")).alias("text_key"))
+    left = without(docs, gone, broadcast_bytes=0)
+    assert joins(left) == {"SortMergeJoin"}
+    assert sorted(tuple(r) for r in left.collect()) == sorted([(i, f"t{i}") for i in range(0, 40, 2)] + [(3, "other")])
