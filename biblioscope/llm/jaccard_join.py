@@ -279,7 +279,8 @@ def region_links(sets: DataFrame, percent: int) -> DataFrame:
     may_lack = F.floor(F.col("n") * (100 - percent) / 100)
     tokens = sets.select("set_id", "n", F.explode("hashes").alias("h"))
     df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = (tokens.join(df, "h").groupBy("set_id", "n")
+    # Spark's estimate sees the sets' compressed file and not their shingles, so left to itself it may broadcast ``df``
+    ranked = (tokens.join(df.hint("merge"), "h").groupBy("set_id", "n")
               .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("pivots")))       # bounded by the text
     window = may_lack + 1 - (F.col("n") - F.size("pivots"))      # the pivots held by no other set come first
     alone = F.col("n") - F.size("pivots")

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from biblioscope.llm import blocks as B
-from biblioscope.llm import katz
+from biblioscope.llm import jaccard_join, katz
 from biblioscope.llm import textnp as T
 from biblioscope.llm.tables import lookup, text_key, without, written
 
@@ -80,3 +80,21 @@ def test_rejected_documents_above_the_bound_are_not_broadcast(spark):
     left = without(docs, gone, broadcast_bytes=0)
     assert joins(left) == {"SortMergeJoin"}
     assert sorted(tuple(r) for r in left.collect()) == sorted([(i, f"t{i}") for i in range(0, 40, 2)] + [(3, "other")])
+
+
+def test_jaccard_joins_players_and_shingles_by_sorting(spark, monkeypatch):
+    seen = {}
+
+    def kept(df, name):
+        seen.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    monkeypatch.setattr(jaccard_join, "lookup", lambda *a, **b: lookup(*a, broadcast_bytes=0, **b))
+    base = [f"w{j}" for j in range(40)]
+    texts = {i: " ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in (1, 2)} | {3: " ".join(base), 4: " ".join(base), 5: "a b c d", 6: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_components(docs, percent=80).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+    for name, key in (("sets", "Join LeftSemi"), ("cells", "Join Inner")):
+        lines = [x for x in seen[name][0].splitlines() if key in x]
+        assert lines and all("strategy=merge" in x for x in lines), seen[name][0]
